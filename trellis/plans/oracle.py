@@ -18,7 +18,10 @@ def _cte(name: str, deps: tuple[str, ...], body: str) -> None:
     _CTES[name] = (deps, body)
 
 
-def sql(body: str, *names: str) -> str:
+def sql(body: str, *names: str, extra: tuple[tuple[str, str], ...] = (),
+        recursive: bool = False) -> str:
+    """``body`` prefixed with the named CTEs (and their dependencies), then
+    the ``extra`` (name, text) CTEs, which may refer to all of them."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -30,10 +33,12 @@ def sql(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    if not order:
-        return body
     parts = [f"{n} AS (\n{_CTES[n][1]}\n)" for n in order]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    parts += [f"{n} AS (\n{t}\n)" for n, t in extra]
+    if not parts:
+        return body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(parts) + "\n" + body
 
 
 # ------------------------------------------------------------- warehouse
@@ -163,3 +168,115 @@ SELECT customer_id, churn_probability,
   TIMESTAMP '{STAMP}' AS predicted_at, '2.1' AS model_version
 FROM (SELECT *, CAST(customer_id % 100 AS DOUBLE) / 100.0 AS churn_probability
       FROM churn_features)""")
+
+
+# ------------------------------------------------------------- lineage
+
+
+def _raw_name(x: str) -> str:
+    return (f"CASE {x} % 4 WHEN 0 THEN 's3/lake/raw/ds_' || {x} "
+            f"WHEN 1 THEN 'lake/hudi/ds_hudi_' || {x} WHEN 2 THEN 'lake/ds_' || {x} "
+            f"ELSE '/lake/staging/ds_' || {x} END")
+
+
+def _ns(raw: str) -> str:
+    parts = f"string_split({raw}, '/')"
+    return (f"CASE WHEN len({parts}) >= 3 THEN "
+            f"array_to_string(({parts})[1:len({parts}) - 1], '_') ELSE '' END")
+
+
+def _nm(raw: str) -> str:
+    parts = f"string_split({raw}, '/')"
+    return f"CASE WHEN len({parts}) >= 3 THEN ({parts})[len({parts})] ELSE {raw} END"
+
+
+_cte("lin_ev", (), """
+SELECT event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS event_time, user_id AS u,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type,
+  CASE event_type WHEN 'purchase' THEN 'COMPLETE' WHEN 'error' THEN 'FAIL'
+       WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'START' WHEN 'signup' THEN 'START' END
+    AS ol_type,
+  'job_etl_user_' || user_id AS job_name, 'job::shop/job_etl_user_' || user_id AS job_key
+FROM events""")
+
+_cte("lin_sight_ids", ("lin_ev",), """
+SELECT seq, event_time, job_key, u, k, 0 AS io, 3 * u + k % 5 AS ds_id, CAST(NULL AS BIGINT) AS src_id
+FROM lin_ev WHERE event_type IN ('view', 'click')
+UNION ALL
+SELECT seq, event_time, job_key, u, k, 1 AS io, 3 * u + 4 + k % 5 AS ds_id, 3 * u + k % 5
+FROM lin_ev WHERE event_type = 'purchase'""")
+
+_cte("lin_sight", ("lin_sight_ids",), f"""
+SELECT *, 'dataset::' || namespace || '/' || name AS key,
+  CASE WHEN lower(name) LIKE '%hudi%' THEN 'hudi' WHEN lower(name) LIKE '%delta%' THEN 'delta'
+       WHEN lower(name) LIKE '%iceberg%' THEN 'iceberg'
+       WHEN ds_id % 4 = 1 THEN 'hudi' ELSE 'parquet' END AS format,
+  'id (bigint), value_' || (k % 3) || ' (double)' AS schema_text
+FROM (SELECT *, {_ns(_raw_name('ds_id'))} AS namespace, {_nm(_raw_name('ds_id'))} AS name,
+             {_nm(_raw_name('src_id'))} AS src_table
+      FROM lin_sight_ids)""")
+
+_cte("lin_datasets", ("lin_sight",), """
+SELECT key, namespace, name, format, schema_text AS schema, last_seen, first_time, first_seq
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY event_time DESC, seq DESC, io DESC)
+                  AS rn_last,
+             max(event_time) OVER (PARTITION BY key) AS last_seen,
+             min(event_time) OVER (PARTITION BY key) AS first_time,
+             arg_min(seq, event_time) OVER (PARTITION BY key) AS first_seq
+      FROM lin_sight) WHERE rn_last = 1""")
+
+_cte("lin_jobs", ("lin_ev",), """
+SELECT DISTINCT job_key AS key, 'shop' AS namespace, job_name AS name FROM lin_ev""")
+
+_cte("lin_edges", ("lin_sight",), """
+SELECT DISTINCT key AS src, job_key AS dst, 'feeds' AS relation FROM lin_sight WHERE io = 0
+UNION ALL
+SELECT DISTINCT job_key AS src, key AS dst, 'produces' AS relation FROM lin_sight WHERE io = 1""")
+
+_cte("lin_nodes", ("lin_datasets", "lin_jobs"), """
+SELECT key, 'dataset' AS kind, namespace, name FROM lin_datasets
+UNION ALL SELECT key, 'job' AS kind, namespace, name FROM lin_jobs""")
+
+_cte("lin_cl_rows", ("lin_sight",), """
+SELECT key AS dataset_key, 'value_' || (k % 3) AS out_field, src_table,
+  'value_' || ((k + 1) % 3) AS src_field, 'DIRECT' AS type,
+  CASE WHEN k % 2 = 0 THEN 'IDENTITY' ELSE 'AGGREGATION' END AS subtype,
+  event_time, seq, 0 AS fpos
+FROM lin_sight WHERE io = 1
+UNION ALL
+SELECT key, 'id', src_table, 'id', 'DIRECT', 'IDENTITY', event_time, seq, 1
+FROM lin_sight WHERE io = 1""")
+
+_cte("lin_cl", ("lin_cl_rows",), """
+SELECT dataset_key, out_field, src_table, src_field, type, subtype,
+  min(event_time) OVER (PARTITION BY dataset_key, out_field) AS f_time
+FROM (SELECT *, row_number() OVER (PARTITION BY dataset_key, out_field, src_table, src_field
+                                   ORDER BY event_time, seq, fpos) AS rn
+      FROM lin_cl_rows) WHERE rn = 1""")
+
+_cte("lin_runs", ("lin_ev",), """
+SELECT job_key, ol_type AS event_type, event_time, seq FROM lin_ev
+WHERE ol_type IS NOT NULL AND ol_type <> '' AND event_time IS NOT NULL""")
+
+_cte("lin_sources", ("lin_datasets", "lin_edges"), """
+SELECT * FROM lin_datasets
+WHERE key NOT IN (SELECT dst FROM lin_edges WHERE relation = 'produces')""")
+
+
+def impact_sql(roots_sql: str, max_depth: int = 6, select: str | None = None) -> str:
+    """Recursive-CTE BFS oracle over ``roots(key)``: ``impact(root_key,
+    node_key, depth)`` at minimum depth, then ``select`` over it."""
+    walk = f"""
+  SELECT key AS root_key, key AS node_key, 0 AS d FROM roots
+  UNION
+  SELECT w.root_key, e.dst, w.d + 1 FROM walk w JOIN lin_edges e ON e.src = w.node_key
+  WHERE w.d < {max_depth}"""
+    imp = """
+SELECT root_key, node_key, CAST(min(d) AS INTEGER) AS depth
+FROM walk WHERE node_key <> root_key GROUP BY root_key, node_key"""
+    body = select or """
+SELECT i.root_key, i.node_key, i.depth, n.kind, n.name
+FROM impact i JOIN lin_nodes n ON n.key = i.node_key"""
+    return sql(body, "lin_datasets", "lin_edges", "lin_nodes", "lin_sources",
+               extra=(("roots", roots_sql), ("walk(root_key, node_key, d)", walk),
+                      ("impact", imp)), recursive=True)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import warehouse_queries
+from . import graph_queries, warehouse_queries
 
-_MODULES = [warehouse_queries]
+_MODULES = [warehouse_queries, graph_queries]
 
 QUERIES = {}
 ORACLE_SQL = {}
