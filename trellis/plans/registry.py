@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, warehouse_queries
+from . import code_queries, graph_queries, warehouse_queries
 
-_MODULES = [warehouse_queries, graph_queries]
+_MODULES = [warehouse_queries, graph_queries, code_queries]
 
 QUERIES = {}
 ORACLE_SQL = {}
