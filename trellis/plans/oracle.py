@@ -249,10 +249,14 @@ FROM lin_sight WHERE io = 1""")
 
 _cte("lin_cl", ("lin_cl_rows",), """
 SELECT dataset_key, out_field, src_table, src_field, type, subtype,
-  min(event_time) OVER (PARTITION BY dataset_key, out_field) AS f_time
+  event_time AS s_time, seq AS s_seq, fpos AS s_fpos,
+  first_value(event_time) OVER wf AS f_time, first_value(seq) OVER wf AS f_seq,
+  first_value(fpos) OVER wf AS f_fpos
 FROM (SELECT *, row_number() OVER (PARTITION BY dataset_key, out_field, src_table, src_field
                                    ORDER BY event_time, seq, fpos) AS rn
-      FROM lin_cl_rows) WHERE rn = 1""")
+      FROM lin_cl_rows) WHERE rn = 1
+WINDOW wf AS (PARTITION BY dataset_key, out_field ORDER BY event_time, seq, fpos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 
 _cte("lin_runs", ("lin_ev",), """
 SELECT job_key, ol_type AS event_type, event_time, seq FROM lin_ev

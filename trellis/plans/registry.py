@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import code_queries, graph_queries, warehouse_queries
+from . import chunk_queries, code_queries, graph_queries, warehouse_queries
 
-_MODULES = [warehouse_queries, graph_queries, code_queries]
+_MODULES = [warehouse_queries, graph_queries, code_queries, chunk_queries]
 
 QUERIES = {}
 ORACLE_SQL = {}
