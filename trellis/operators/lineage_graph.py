@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..functions.lineage import (dataset_key, dataset_name, dataset_ns, first_transform,
                                  infer_format, job_key, job_short_name, render_schema)
 
@@ -46,6 +47,13 @@ class LineageGraph:
             df.persist()
         return self
 
+    def materialize(self) -> "LineageGraph":
+        """Write the five tables to the shared checkpoint folder and read them
+        back: later plans start from them instead of re-exploding events, and
+        a lost executor does not send the work back to the raw events."""
+        return LineageGraph(*(cut_lineage(df) for df in (
+            self.datasets, self.jobs, self.edges, self.runs, self.column_lineage)))
+
 
 def _event_ord() -> list[Column]:
     return [F.coalesce(F.col("eventTime"), F.lit("")).alias("t"),

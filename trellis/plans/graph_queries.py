@@ -24,7 +24,8 @@ CENTRAL_JOB = "job_etl_user_1"
 
 
 def graph(spark, d):
-    return build_graph(lineage_events(spark, d))
+    """The lineage graph of ``events``, materialised once per query."""
+    return build_graph(lineage_events(spark, d)).materialize()
 
 
 def q_datasets(spark, d):

@@ -13,8 +13,8 @@ def read_job_code(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.py`` under ``path`` (local folder or object-store
     prefix) as ``(file_name without .py, code)``, one row per whole file."""
     try:
-        df = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*.py").text(path))
+        df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py")
+              .text(path, wholetext=True))
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], JOB_CODE)
