@@ -84,3 +84,82 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         price.alias("price"),
         (F.col("p_size") * 2).alias("stock"),
     )
+
+
+# Fixed header texts of the spreadsheet layouts.
+SHEET_HEADER = ("Campo", "Nombre", "Descripción", "Maestro")
+SUMMARY_HEADER = ("Entidad", "Tipo de entidad", "Descripción", "Dataset")
+
+
+def spreadsheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbook cells ``(workbook, sheet, sheet_idx, row_idx, col_idx, value)``:
+    one workbook per region, one sheet per nation listing its suppliers as
+    field rows, and a ``Resumen`` sheet of the nations.
+
+    Even nations declare their source systems on a row above the header as
+    (TIPO, MAPEO) pairs; odd nations name them inline in the header row.
+    Supplier rows sit at row ``4 + s_suppkey`` (row-major order without a
+    numbering window).
+    """
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey",
+                                               "s_acctbal")
+    nr = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.lower("r_name").alias("workbook"), F.col("n_name").alias("sheet"),
+        F.col("n_nationkey").cast("int").alias("sheet_idx"), "n_nationkey", "n_name")
+    even = F.col("n_nationkey") % 2 == 0
+
+    def cell(row, col, value):
+        return F.struct(F.lit(row).cast("int").alias("row_idx") if isinstance(row, int)
+                        else row.cast("int").alias("row_idx"),
+                        F.lit(col).alias("col_idx"), value.cast("string").alias("value"))
+
+    desc = F.concat(F.lit("Proveedores de "), F.col("n_name"),
+                    F.lit(" con saldo y nombre por sistema"))
+    header = [cell(3, i, F.lit(v)) for i, v in enumerate(SHEET_HEADER)]
+    paired_head = [cell(2, 4, F.lit("ERP")), cell(2, 6, F.lit("CRM")), cell(2, 8, F.lit("ERP"))] \
+        + [cell(3, 4 + i, F.lit("TIPO" if i % 2 == 0 else "MAPEO")) for i in range(6)]
+    inline_head = [cell(3, 4, F.lit("ERP")), cell(3, 5, F.lit("CRM")), cell(3, 6, F.lit("PK")),
+                   cell(3, 7, F.lit("ERP")), cell(3, 8, F.lit("notas"))]
+    top = nr.select("workbook", "sheet", "sheet_idx", F.explode(F.concat(
+        F.array(cell(0, 0, F.col("n_name")), cell(1, 0, desc), *header),
+        F.when(even, F.array(*paired_head)).otherwise(F.array(*inline_head)),
+        F.array(cell(1 << 30, 0, F.lit("Notas finales"))))).alias("c"))
+
+    sr = s.join(nr, s.s_nationkey == nr.n_nationkey)
+    row = F.col("s_suppkey") + 4
+    sid = F.col("s_suppkey").cast("string")
+    bal = F.col("s_acctbal").cast("decimal(12,2)").cast("string")
+    common = [cell(row, 0, F.concat(F.lit("supp_"), sid)), cell(row, 1, F.col("s_name")),
+              cell(row, 2, F.concat(F.lit("Saldo "), bal)),
+              cell(row, 3, F.when(F.col("s_acctbal") > 0, F.lit("SI")))]
+    paired_vals = [cell(row, 4, F.lit("decimal")), cell(row, 5, F.lit("s_acctbal")),
+                   cell(row, 6, F.when(F.col("s_suppkey") % 3 != 0, F.lit("string"))),
+                   cell(row, 7, F.col("s_name")),
+                   cell(row, 9, F.when(F.col("s_suppkey") % 5 == 0,
+                                       F.concat(F.lit("legacy_"), sid)))]
+    inline_vals = [cell(row, 4, F.lit("s_acctbal")), cell(row, 5, F.col("s_name")),
+                   cell(row, 6, F.lit("x")),
+                   cell(row, 7, F.when(F.col("s_suppkey") % 3 != 0,
+                                       F.concat(F.lit("erp2_"), sid)))]
+    body = sr.select("workbook", "sheet", "sheet_idx", F.explode(F.concat(
+        F.array(*common),
+        F.when(even, F.array(*paired_vals)).otherwise(F.array(*inline_vals)))).alias("c"))
+
+    summary_rows = nr.select("workbook", F.lit("Resumen").alias("sheet"),
+                             F.lit(-1).alias("sheet_idx"), F.explode(F.array(
+                                 cell(F.col("n_nationkey") + 1, 0, F.col("n_name")),
+                                 cell(F.col("n_nationkey") + 1, 1, F.lit("maestro")),
+                                 cell(F.col("n_nationkey") + 1, 2, desc),
+                                 cell(F.col("n_nationkey") + 1, 3,
+                                      F.concat(F.lit("lake/suppliers_"),
+                                               F.lower("n_name"))))).alias("c"))
+    summary_head = (r.select(F.lower("r_name").alias("workbook"), F.lit("Resumen").alias("sheet"),
+                             F.lit(-1).alias("sheet_idx"),
+                             F.explode(F.array(*[cell(0, i, F.lit(v))
+                                                 for i, v in enumerate(SUMMARY_HEADER)]))
+                             .alias("c")))
+    allc = top.unionByName(body).unionByName(summary_rows).unionByName(summary_head)
+    return (allc.select("workbook", "sheet", "sheet_idx", "c.row_idx", "c.col_idx", "c.value")
+            .filter(F.col("value").isNotNull()))
