@@ -107,10 +107,12 @@ def build_nodes_datasets(s: DataFrame) -> DataFrame:
                  F.max_by("schema", F.when(F.size("schema") > 0, F.col("ord")))
                  .alias("schema"),
                  F.max("eventTime").alias("last_seen"),
-                 F.min("ord").alias("first_ord"))
+                 F.min("ord").alias("first_ord"),
+                 F.max("ord").alias("last_ord"),
+                 F.max(F.when(F.size("schema") > 0, F.col("ord"))).alias("schema_ord"))
             .select("key", "id.namespace", "id.name", "format",
                     F.coalesce("schema", F.array().cast("array<string>")).alias("schema"),
-                    "last_seen", "first_ord"))
+                    "last_seen", "first_ord", "last_ord", "schema_ord"))
 
 
 def build_jobs(ev: DataFrame) -> DataFrame:

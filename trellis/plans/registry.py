@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from . import (chunk_queries, code_queries, dictionary_queries, graph_queries,
-               retrieve_queries, warehouse_queries)
+               retrieve_queries, runtime_queries, warehouse_queries)
 
 _MODULES = [warehouse_queries, graph_queries, code_queries, chunk_queries, retrieve_queries,
-            dictionary_queries]
+            dictionary_queries, runtime_queries]
 
 QUERIES = {}
 ORACLE_SQL = {}
