@@ -32,6 +32,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions.lineage import norm_job_name
+from ..session import cut_lineage
 
 # Fixed value: minimum similarity for a fuzzy match.
 SIMILARITY_THRESHOLD = 0.75
@@ -171,14 +172,16 @@ def match_fuzzy(jobs: DataFrame, idx: DataFrame,
 def match_code(jobs: DataFrame, code: DataFrame,
                threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """Exact -> suffix -> fuzzy, each on the jobs still unmatched;
-    ``match_kind`` records the tier, unmatched jobs get ``miss``."""
-    idx = code_index(code)
+    ``match_kind`` records the tier, unmatched jobs get ``miss``.  Each tier's
+    (small) result is written once so later tiers do not recompute it."""
+    idx = cut_lineage(code_index(code), "code_idx")
     js = jobs.select("key", "name")
-    exact = match_exact(js, idx)
+    exact = cut_lineage(match_exact(js, idx), "match_exact")
     rest = js.join(exact.select(F.col("job_key").alias("key")), "key", "left_anti")
-    suffix = match_suffix(rest, idx)
-    rest = rest.join(suffix.select(F.col("job_key").alias("key")), "key", "left_anti")
-    fuzzy = match_fuzzy(rest, idx, threshold)
+    suffix = cut_lineage(match_suffix(rest, idx), "match_suffix")
+    rest = cut_lineage(rest.join(suffix.select(F.col("job_key").alias("key")), "key",
+                                 "left_anti"), "match_rest")
+    fuzzy = cut_lineage(match_fuzzy(rest, idx, threshold), "match_fuzzy")
     rest = rest.join(fuzzy.select(F.col("job_key").alias("key")), "key", "left_anti")
     miss = rest.select(F.col("key").alias("job_key"), F.col("name").alias("job_name"),
                        F.lit(None).cast("string").alias("file_name"),

@@ -299,75 +299,61 @@ def dataset_schema(g: LineageGraph, name: str, ns: str | None = None) -> DataFra
 def column_trace(g: LineageGraph, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Backwards walk through column lineage from ``roots(key[, field])``.
 
-    Nodes are ``(table name, field)``; a table name resolves to its first
-    dataset by lower-cased name (first homonym, as the reference does).
-    Breadth-first: each node is expanded once per root at its minimum depth.
-    Output rows are the expanded edges ``(root_key, root_field, depth,
-    dataset, field, src_dataset, src_field, type, subtype, revisited,
-    truncated)``; ``revisited`` marks a source already reached (cycle or
-    diamond), ``truncated`` one past the depth cap.
+    Nodes are ``(lower-cased table name, field)``; a table name resolves to
+    its first dataset by lower-cased name (first homonym, as the reference
+    does).  Breadth-first over nodes, each reached once per (root, field) at
+    its minimum depth; nodes up to ``max_depth`` are expanded.  Output rows
+    are the expanded lineage edges ``(root_key, root_field, depth, dataset,
+    field, src_dataset, src_field, type, subtype, revisited, truncated)``:
+    ``revisited`` marks a source reached earlier (cycle or diamond),
+    ``truncated`` a first reach beyond the depth cap.
     """
     resolve = (g.datasets.select(F.lower("name").alias("lname"), "key", "first_ord")
                .groupBy("lname").agg(F.min_by("key", "first_ord").alias("rkey")))
-    cl = g.column_lineage.select(
+    cl = g.column_lineage.filter(F.col("src_table").isNotNull()).select(
         F.col("dataset_key").alias("rkey"), F.col("out_field").alias("field"),
-        "src_table", "src_field", "type", "subtype").filter(F.col("src_table").isNotNull())
-    names = g.datasets.select(F.col("key").alias("root_key"), F.col("name").alias("dataset"))
+        F.col("src_table").alias("src_dataset"), "src_field", "type", "subtype")
+    edges = cut_lineage(resolve.join(cl, "rkey").drop("rkey")
+                        .withColumn("lsrc", F.lower("src_dataset")), "trace_edges")
+    hop = edges.select("lname", "field", F.col("lsrc").alias("nl"),
+                       F.col("src_field").alias("nf")).distinct()
+    names = g.datasets.select(F.col("key").alias("root_key"), F.lower("name").alias("lname"))
     r = roots.select(F.col("key").alias("root_key"),
-                     *( [F.col("field").alias("root_field")] if "field" in roots.columns
-                        else []))
+                     *([F.col("field").alias("root_field")] if "field" in roots.columns else []))
     if "root_field" not in r.columns:
         r = r.join(g.column_lineage.select(F.col("dataset_key").alias("root_key"),
                                            F.col("out_field").alias("root_field")).distinct(),
                    "root_key")
-    frontier = (r.join(names, "root_key")
-                .select("root_key", "root_field", "dataset",
-                        F.col("root_field").alias("field")))
-    frontier = cut_lineage(frontier)
-    seen = frontier.select("root_key", "root_field", F.lower("dataset").alias("ldataset"),
-                           "field")
-    out = []
-    for depth in range(0, max_depth + 1):
-        step = (frontier.withColumn("lname", F.lower("dataset"))
-                .join(resolve, "lname")
-                .join(cl, ["rkey", "field"])
-                .select("root_key", "root_field", F.lit(depth).alias("depth"), "dataset",
-                        "field", F.col("src_table").alias("src_dataset"), "src_field",
-                        "type", "subtype"))
-        step = cut_lineage(step)
-        if step.isEmpty():
-            break
-        nodes = step.select("root_key", "root_field",
-                            F.lower("src_dataset").alias("ldataset"),
-                            F.col("src_field").alias("field"))
-        fresh = nodes.join(seen, ["root_key", "root_field", "ldataset", "field"],
-                           "left_anti").distinct()
-        flag = fresh.withColumn("_fresh", F.lit(True))
-        step = (step.withColumn("ldataset", F.lower("src_dataset"))
-                .join(flag.withColumnRenamed("field", "src_field"),
-                      ["root_key", "root_field", "ldataset", "src_field"], "left")
-                .withColumn("revisited", F.col("_fresh").isNull())
-                .withColumn("truncated", F.lit(depth + 1 > max_depth) & F.col("_fresh").isNotNull())
-                .drop("_fresh", "ldataset"))
-        out.append(step)
-        if depth + 1 > max_depth:
+    keys = ["root_key", "root_field", "lname", "field"]
+    frontier = cut_lineage(r.join(names, "root_key")
+                           .select("root_key", "root_field", "lname",
+                                   F.col("root_field").alias("field")), "trace_level")
+    levels = [frontier.withColumn("depth", F.lit(0))]
+    visited = frontier
+    for depth in range(1, max_depth + 2):
+        nxt = (frontier.join(hop, ["lname", "field"])
+               .select("root_key", "root_field", F.col("nl").alias("lname"),
+                       F.col("nf").alias("field"))
+               .join(visited, keys, "left_anti").distinct())
+        nxt = cut_lineage(nxt, "trace_level")
+        if nxt.isEmpty():
             break
-        # next level: fresh nodes, named as written in the lineage
-        frontier = (step.filter(~F.col("revisited"))
-                    .select("root_key", "root_field", F.col("src_dataset").alias("dataset"),
-                            F.col("src_field").alias("field"))
-                    .dropDuplicates(["root_key", "root_field", "dataset", "field"]))
-        frontier = cut_lineage(frontier)
-        seen = seen.unionByName(fresh)
-    if not out:
-        return roots.sparkSession.createDataFrame(
-            [], "root_key string, root_field string, depth int, dataset string, field string,"
-                " src_dataset string, src_field string, type string, subtype string,"
-                " revisited boolean, truncated boolean")
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        levels.append(nxt.withColumn("depth", F.lit(depth)))
+        visited = visited.unionByName(nxt)
+        frontier = nxt
+    nodes = levels[0]
+    for lv in levels[1:]:
+        nodes = nodes.unionByName(lv)
+    src_depth = nodes.select("root_key", "root_field", F.col("lname").alias("lsrc"),
+                             F.col("field").alias("src_field"),
+                             F.col("depth").alias("src_depth"))
+    out = (nodes.filter(F.col("depth") <= max_depth).join(edges, ["lname", "field"])
+           .join(src_depth, ["root_key", "root_field", "lsrc", "src_field"], "left"))
+    fresh = F.col("src_depth") == F.col("depth") + 1
+    return out.select("root_key", "root_field", "depth", F.col("lname").alias("dataset"),
+                      "field", "src_dataset", "src_field", "type", "subtype",
+                      (~fresh).alias("revisited"),
+                      (fresh & (F.col("depth") + 1 > max_depth)).alias("truncated"))
 
 
 def sort_distinct(df: DataFrame, col: str) -> DataFrame:

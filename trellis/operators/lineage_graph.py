@@ -171,17 +171,26 @@ def build_column_lineage(s: DataFrame) -> DataFrame:
     return merged.withColumn("field_ord", F.min("field_ord").over(w))
 
 
-def build_graph(events: DataFrame) -> LineageGraph:
-    """Events -> datasets, jobs, edges, runs, column lineage."""
+def build_graph(events: DataFrame, materialize: bool = False) -> LineageGraph:
+    """Events -> datasets, jobs, edges, runs, column lineage.
+
+    ``materialize=True`` writes the cleaned events and the sightings once,
+    then each of the five tables, to the shared checkpoint folder.
+    """
     ev = clean_events(events)
+    if materialize:
+        ev = cut_lineage(ev, "graph_events")
     s = sightings(ev)
-    return LineageGraph(
+    if materialize:
+        s = cut_lineage(s, "graph_sightings")
+    g = LineageGraph(
         datasets=build_nodes_datasets(s),
         jobs=build_jobs(ev),
         edges=build_edges(s),
         runs=build_runs(ev),
         column_lineage=build_column_lineage(s),
     )
+    return g.materialize() if materialize else g
 
 
 def run_stats(runs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ CENTRAL_JOB = "job_etl_user_1"
 
 def graph(spark, d):
     """The lineage graph of ``events``, materialised once per query."""
-    return build_graph(lineage_events(spark, d)).materialize()
+    return build_graph(lineage_events(spark, d), materialize=True)
 
 
 def q_datasets(spark, d):

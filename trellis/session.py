@@ -60,13 +60,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint (never a local one) to keep loop plans flat."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut the plan: write ``df`` once as parquet under the shared checkpoint
+    folder and continue from the written table.
+
+    One job per cut (an eager ``checkpoint()`` runs the plan twice unless
+    cached), and the table lives on shared storage, so losing an executor
+    never sends later stages back through the whole lineage.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame over the default parallelism when its scan yields
+    fewer partitions (a small single-file table); a no-op for large inputs,
+    whose file splits already give enough tasks."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EVENT, EVENT_ROW
+from ..session import spread
 from .tables import table
 
 EVENT_FILE_GLOB = "*.{ndjson,json}"
@@ -103,17 +104,27 @@ def lineage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``3u + k % 5``; purchases write dataset ``3u + 4 + k % 5`` with column
     lineage from the read dataset; signups and errors touch no dataset.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
-                                               "props")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id",
+                                                      "event_type", "props"))
+    # scalar parts first, as plain columns, so the JSON is parsed once per row
+    # and the struct building below only references columns
+    u0 = F.col("user_id")
+    k0 = F.get_json_object("props", "$.k").cast("bigint")
+    base = ev.select("event_id", "ts", "user_id", "event_type", k0.alias("k")).select(
+        "event_id", "ts", "user_id", "event_type", "k",
+        (3 * u0 + F.col("k") % 5).alias("in_id"),
+        (3 * u0 + 4 + F.col("k") % 5).alias("out_id"))
+    base = base.select("*", _raw_dataset_name(F.col("in_id")).alias("in_name"),
+                       _raw_dataset_name(F.col("out_id")).alias("out_name"))
     u = F.col("user_id")
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = F.col("k")
     etype = None
     for src, dst in EVENT_TYPE_MAP:
         etype = (F.when(F.col("event_type") == src, dst) if etype is None
                  else etype.when(F.col("event_type") == src, dst))
-    in_id = 3 * u + k % 5
-    out_id = 3 * u + 4 + k % 5
-    src_name = _raw_dataset_name(in_id)
+    in_id = F.col("in_id")
+    out_id = F.col("out_id")
+    src_name = F.col("in_name")
     lineage = F.create_map(
         F.concat(F.lit("value_"), (k % 3).cast("string")),
         F.struct(F.array(_input_field(
@@ -125,18 +136,18 @@ def lineage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     empty = F.array().cast(EVENT["inputs"].dataType)
     in_ds = F.array(F.struct(
-        F.lit(JOB_NAMESPACE).alias("namespace"), _raw_dataset_name(in_id).alias("name"),
+        F.lit(JOB_NAMESPACE).alias("namespace"), src_name.alias("name"),
         F.struct(_schema_facet(in_id, k).alias("schema"),
                  F.lit(None).cast(EVENT["inputs"].dataType.elementType["facets"].dataType
                                   ["columnLineage"].dataType).alias("columnLineage"))
         .alias("facets")))
     out_ds = F.array(F.struct(
-        F.lit(JOB_NAMESPACE).alias("namespace"), _raw_dataset_name(out_id).alias("name"),
+        F.lit(JOB_NAMESPACE).alias("namespace"), F.col("out_name").alias("name"),
         F.struct(_schema_facet(out_id, k).alias("schema"),
                  F.struct(lineage.alias("fields")).alias("columnLineage")).alias("facets")))
     reads = F.col("event_type").isin("view", "click")
     writes = F.col("event_type") == "purchase"
-    return ev.select(
+    return base.select(
         etype.alias("eventType"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("eventTime"),
         F.struct(F.lit(JOB_NAMESPACE).alias("namespace"),
