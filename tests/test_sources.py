@@ -15,33 +15,33 @@ def _local(p):
 def _golden_events():
     """The example pipeline's twelve jobs, one COMPLETE event each."""
     jobs = [
-        ("orders_clean", ["raw/shopflow/orders"], "staging/shopflow/orders_clean"),
-        ("customers_enrich", ["raw/shopflow/customers"], "staging/shopflow/customers_enriched"),
-        ("products_normalize", ["raw/shopflow/products"], "staging/shopflow/products_normalized"),
-        ("gdpr_mask", ["staging/shopflow/customers_enriched"],
-         "compliance/shopflow/customers_anonymized"),
-        ("sales_fact", ["staging/shopflow/orders_clean", "staging/shopflow/customers_enriched"],
-         "analytics/shopflow/fact_sales"),
-        ("product_metrics", ["staging/shopflow/orders_clean",
-                             "staging/shopflow/products_normalized"],
-         "analytics/shopflow/product_metrics"),
-        ("daily_revenue", ["analytics/shopflow/fact_sales"], "reports/shopflow/daily_revenue"),
-        ("customer_360", ["analytics/shopflow/fact_sales", "analytics/shopflow/product_metrics"],
-         "reports/shopflow/customer_360"),
-        ("catalog_enriched", ["staging/shopflow/products_normalized",
-                              "ml/shopflow/inventory_forecast"],
-         "staging/shopflow/catalog_enriched"),
-        ("inventory_forecast", ["analytics/shopflow/product_metrics"],
-         "ml/shopflow/inventory_forecast"),
-        ("churn_model", ["analytics/shopflow/fact_sales", "reports/shopflow/customer_360"],
-         "ml/shopflow/churn_scores"),
-        ("marketing_segments", ["reports/shopflow/customer_360", "ml/shopflow/churn_scores"],
-         "reports/shopflow/marketing_segments"),
+        ("orders_clean", ["raw/retail/orders"], "staging/retail/orders_clean"),
+        ("customers_enrich", ["raw/retail/customers"], "staging/retail/customers_enriched"),
+        ("products_normalize", ["raw/retail/products"], "staging/retail/products_normalized"),
+        ("gdpr_mask", ["staging/retail/customers_enriched"],
+         "compliance/retail/customers_anonymized"),
+        ("sales_fact", ["staging/retail/orders_clean", "staging/retail/customers_enriched"],
+         "analytics/retail/fact_sales"),
+        ("product_metrics", ["staging/retail/orders_clean",
+                             "staging/retail/products_normalized"],
+         "analytics/retail/product_metrics"),
+        ("daily_revenue", ["analytics/retail/fact_sales"], "reports/retail/daily_revenue"),
+        ("customer_360", ["analytics/retail/fact_sales", "analytics/retail/product_metrics"],
+         "reports/retail/customer_360"),
+        ("catalog_enriched", ["staging/retail/products_normalized",
+                              "ml/retail/inventory_forecast"],
+         "staging/retail/catalog_enriched"),
+        ("inventory_forecast", ["analytics/retail/product_metrics"],
+         "ml/retail/inventory_forecast"),
+        ("churn_model", ["analytics/retail/fact_sales", "reports/retail/customer_360"],
+         "ml/retail/churn_scores"),
+        ("marketing_segments", ["reports/retail/customer_360", "ml/retail/churn_scores"],
+         "reports/retail/marketing_segments"),
     ]
     out = []
     for i, (j, ins, o) in enumerate(jobs):
         out.append({"eventType": "COMPLETE", "eventTime": f"2024-01-01T00:00:{i:02d}Z",
-                    "job": {"namespace": "shopflow", "name": f"job_shopflow_{j}.run"},
+                    "job": {"namespace": "retail", "name": f"job_retail_{j}.run"},
                     "inputs": [{"namespace": "s3", "name": n} for n in ins],
                     "outputs": [{"namespace": "s3", "name": o,
                                  "facets": {"schema": {"fields": [{"name": "id",
@@ -64,15 +64,15 @@ def test_golden_pipeline_graph_and_impact(spark):
     rel = {r.relation: r["count"] for r in g.edges.groupBy("relation").count().collect()}
     assert rel == {"feeds": 18, "produces": 12}
     assert g.jobs.count() == 12
-    imp = G.impact_by_name(g, "orders", ns="raw_shopflow", how="exact").collect()
+    imp = G.impact_by_name(g, "orders", ns="raw_retail", how="exact").collect()
     by_depth = {}
     for r in imp:
         by_depth.setdefault(r.depth, set()).add(r.name)
-    assert by_depth[1] == {"job_shopflow_orders_clean"}
+    assert by_depth[1] == {"job_retail_orders_clean"}
     assert by_depth[2] == {"orders_clean"}
-    assert by_depth[3] == {"job_shopflow_sales_fact", "job_shopflow_product_metrics"}
-    assert by_depth[5] == {"job_shopflow_daily_revenue", "job_shopflow_customer_360",
-                           "job_shopflow_churn_model", "job_shopflow_inventory_forecast"}
+    assert by_depth[3] == {"job_retail_sales_fact", "job_retail_product_metrics"}
+    assert by_depth[5] == {"job_retail_daily_revenue", "job_retail_customer_360",
+                           "job_retail_churn_model", "job_retail_inventory_forecast"}
     assert max(by_depth) == 6                        # capped: marketing_segments not reached
 
 
@@ -93,3 +93,23 @@ def test_job_code_and_markdown_readers(spark):
     assert code == {"job_a": "print(1)\nprint(2)\n"}
     md = [tuple(r) for r in read_markdown(spark, base).collect()]
     assert md == [("notes.md", "# t\n## s\nbody\n")]
+
+
+def test_parse_events_and_modified_since(spark):
+    import datetime as dt
+
+    from trellis.sources.events import parse_events
+    lines = spark.createDataFrame(
+        [('{"eventType": "START", "eventTime": "t", "job": {"namespace": "n", "name": "j.x"}}',),
+         ("not json",)], "value string")
+    got = [(r.eventType, r.job.name if r.job else None, r._corrupt is not None)
+           for r in parse_events(lines).collect()]
+    assert got == [("START", "j.x", False), (None, None, True)]
+    path = scratch_path(spark, "mtime")
+    os.makedirs(_local(path), exist_ok=True)
+    with open(os.path.join(_local(path), "a.ndjson"), "w") as f:
+        f.write(json.dumps(_golden_events()[0]) + "\n")
+    future = dt.datetime.now() + dt.timedelta(days=1)
+    assert read_events(spark, path, modified_since=future, recursive=True).count() == 0
+    past = dt.datetime(2000, 1, 1)
+    assert read_events(spark, path, modified_since=past, recursive=True).count() == 1

@@ -22,6 +22,29 @@ MIN_SECTION_CHARS = 60
 SECTION_MARK = "\n## "
 CHUNK_COLUMNS = ("id", "kind", "name", "namespace", "source", "document")
 
+# Line labels of the chunk documents, as the reference writes them.
+L_DATASET = "Dataset: "
+L_NAMESPACE = "Namespace: "
+L_FORMAT = "Format: "
+L_SCHEMA = "Schema: "
+L_PRODUCED = "Produced by jobs: "
+L_CONSUMED = "Consumed by jobs: "
+L_COLUMN_LINEAGE = "Column lineage:\n"
+L_JOB = "Job (ETL pipeline): "
+L_READS = "Reads from (inputs): "
+L_WRITES = "Writes to (outputs): "
+L_EXECUTIONS = "Executions: "
+L_SUCCESSFUL = " successful, "
+L_FAILED = " failed"
+L_LAST_EVENT = "Last event: "
+L_AT = " at "
+L_CODE = "Glue source code:\n"
+L_NONE = "none"
+L_IMPACT = "Impact chain for dataset: "
+L_CHAIN_JOB = "  -> job '"
+L_CHAIN_DATASET = "' -> dataset '"
+L_AFFECTED = "' changes schema or is deleted, the following are affected:"
+
 
 def _strip(c: Column) -> Column:
     """Python ``str.strip()``: leading/trailing Unicode whitespace."""
@@ -63,16 +86,16 @@ def dataset_chunks(g: LineageGraph) -> DataFrame:
         .join(ll, "key", "left")
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("Dataset: "), F.col("name")),
-        F.concat(F.lit("Namespace: "), F.col("namespace")),
-        F.concat(F.lit("Format: "), F.col("format")),
-        F.when(F.size("schema") > 0, F.concat(F.lit("Schema: "), F.array_join("schema", ", "))),
+        F.concat(F.lit(L_DATASET), F.col("name")),
+        F.concat(F.lit(L_NAMESPACE), F.col("namespace")),
+        F.concat(F.lit(L_FORMAT), F.col("format")),
+        F.when(F.size("schema") > 0, F.concat(F.lit(L_SCHEMA), F.array_join("schema", ", "))),
         F.when(F.size("producers") > 0,
-               F.concat(F.lit("Produced by jobs: "), F.array_join("producers", ", "))),
+               F.concat(F.lit(L_PRODUCED), F.array_join("producers", ", "))),
         F.when(F.size("consumers") > 0,
-               F.concat(F.lit("Consumed by jobs: "), F.array_join("consumers", ", "))),
+               F.concat(F.lit(L_CONSUMED), F.array_join("consumers", ", "))),
         F.when(F.size(F.coalesce("lines", F.array())) > 0,
-               F.concat(F.lit("Column lineage:\n"), F.array_join("lines", "\n"))))
+               F.concat(F.lit(L_COLUMN_LINEAGE), F.array_join("lines", "\n"))))
     return d.select(F.col("key").alias("id"), F.lit("dataset").alias("kind"), "name",
                     "namespace", F.lit(None).cast("string").alias("source"),
                     text.alias("text"))
@@ -99,21 +122,21 @@ def job_chunks(g: LineageGraph, job_code: DataFrame | None = None) -> DataFrame:
 
     def listing(c):
         return F.when(F.size(F.coalesce(c, F.array())) > 0, F.array_join(c, ", ")) \
-            .otherwise(F.lit("none"))
+            .otherwise(F.lit(L_NONE))
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("Job (ETL pipeline): "), F.col("name")),
-        F.concat(F.lit("Namespace: "), F.col("namespace")),
-        F.concat(F.lit("Reads from (inputs): "), listing(F.col("inputs"))),
-        F.concat(F.lit("Writes to (outputs): "), listing(F.col("outputs"))),
-        F.concat(F.lit("Executions: "), F.coalesce("n_complete", F.lit(0)).cast("string"),
-                 F.lit(" successful, "), F.coalesce("n_fail", F.lit(0)).cast("string"),
-                 F.lit(" failed")),
+        F.concat(F.lit(L_JOB), F.col("name")),
+        F.concat(F.lit(L_NAMESPACE), F.col("namespace")),
+        F.concat(F.lit(L_READS), listing(F.col("inputs"))),
+        F.concat(F.lit(L_WRITES), listing(F.col("outputs"))),
+        F.concat(F.lit(L_EXECUTIONS), F.coalesce("n_complete", F.lit(0)).cast("string"),
+                 F.lit(L_SUCCESSFUL), F.coalesce("n_fail", F.lit(0)).cast("string"),
+                 F.lit(L_FAILED)),
         F.when(F.col("last").isNotNull(),
-               F.concat(F.lit("Last event: "), F.col("last.event_type"), F.lit(" at "),
+               F.concat(F.lit(L_LAST_EVENT), F.col("last.event_type"), F.lit(L_AT),
                         F.col("last.event_time"))),
         F.when(F.coalesce(F.col("code"), F.lit("")) != "",
-               F.concat(F.lit("Glue source code:\n"), F.col("code"))))
+               F.concat(F.lit(L_CODE), F.col("code"))))
     return j.select(F.col("key").alias("id"), F.lit("job").alias("kind"), "name", "namespace",
                     F.lit(None).cast("string").alias("source"), text.alias("text"))
 
@@ -129,16 +152,16 @@ def impact_chunks(g: LineageGraph) -> DataFrame:
     src = source_datasets(g).select("key", "name")
     chains = (f.join(src.select("key"), "key", "left_semi").join(p, "job_key")
               .join(jobs, "job_key").join(outs, "out_key")
-              .select("key", F.concat(F.lit("  -> job '"), F.col("job_name"),
-                                      F.lit("' -> dataset '"), F.col("out_name"), F.lit("'"))
+              .select("key", F.concat(F.lit(L_CHAIN_JOB), F.col("job_name"),
+                                      F.lit(L_CHAIN_DATASET), F.col("out_name"), F.lit("'"))
                       .alias("line")))
     per = chains.groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     d = src.join(per, "key")
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("Impact chain for dataset: "), F.col("name")),
+        F.concat(F.lit(L_IMPACT), F.col("name")),
         F.concat(F.lit("If '"), F.col("name"),
-                 F.lit("' changes schema or is deleted, the following are affected:")),
+                 F.lit(L_AFFECTED)),
         F.array_join("lines", "\n"))
     return d.select(F.concat(F.lit("impact::"), F.col("key")).alias("id"),
                     F.lit("impact_chain").alias("kind"), "name", F.lit("").alias("namespace"),

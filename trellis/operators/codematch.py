@@ -222,7 +222,7 @@ def job_code(jobs: DataFrame, code: DataFrame, matches: DataFrame | None = None)
 
 def attach_code(jobs: DataFrame, code: DataFrame,
                 threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
-    """Jobs with their matched code (``glue_code``) and match tier."""
+    """Jobs with their matched code (``code``) and match tier."""
     m = match_code(jobs, code, threshold)
-    return jobs.join(m.select("job_key", F.col("code").alias("glue_code"), "match_kind",
+    return jobs.join(m.select("job_key", "code", "match_kind",
                               "file_name").withColumnRenamed("job_key", "key"), "key", "left")

@@ -174,15 +174,16 @@ def build_column_lineage(s: DataFrame) -> DataFrame:
 def build_graph(events: DataFrame, materialize: bool = False) -> LineageGraph:
     """Events -> datasets, jobs, edges, runs, column lineage.
 
-    ``materialize=True`` writes the cleaned events and the sightings once,
-    then each of the five tables, to the shared checkpoint folder.
+    ``materialize=True`` computes the cleaned events and the sightings once
+    (persisted; a lost partition is recomputed from its lineage) and writes
+    the five tables to the shared checkpoint folder.
     """
     ev = clean_events(events)
     if materialize:
-        ev = cut_lineage(ev, "graph_events")
+        ev = ev.persist()
     s = sightings(ev)
     if materialize:
-        s = cut_lineage(s, "graph_sightings")
+        s = s.persist()
     g = LineageGraph(
         datasets=build_nodes_datasets(s),
         jobs=build_jobs(ev),
@@ -190,7 +191,12 @@ def build_graph(events: DataFrame, materialize: bool = False) -> LineageGraph:
         runs=build_runs(ev),
         column_lineage=build_column_lineage(s),
     )
-    return g.materialize() if materialize else g
+    if not materialize:
+        return g
+    out = g.materialize()
+    s.unpersist()
+    ev.unpersist()
+    return out
 
 
 def run_stats(runs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def q_job_code(spark, d):
 def q_attach(spark, d):
     jobs, code = _inputs(spark, d)
     return C.attach_code(jobs, code).select("key", "name", "match_kind", "file_name",
-                                            F.length("glue_code").alias("code_len"))
+                                            F.length("code").alias("code_len"))
 
 
 def q_similarity(spark, d):

@@ -16,6 +16,7 @@ from ..sources import fixtures as X
 from ..sources.events import lineage_events
 from ..streaming import ingest as S
 from . import oracle as O
+from .chunk_queries import QUERIES as CQ
 from .graph_queries import QUERIES as GQ
 from .graph_queries import ROOT_NAME, ROOT_NS, SCHEMA_NAME, graph
 from .warehouse_queries import AS_OF, QUERIES as WQ, STAMP, _c360, _metrics
@@ -65,6 +66,14 @@ def q_warehouse_dag(spark, d):
     return spark.read.parquet(paths["marketing_segments"])
 
 
+def q_sync(spark, d):
+    from ..sources.code import job_code_files
+    from ..sources.markdown import markdown_files
+    from .sync import sync
+    return sync(spark, lineage_events(spark, d), job_code_files(spark, d),
+                markdown_files(spark, d), scratch_path(spark, "index_store"))
+
+
 def q_dataset_schema(spark, d):
     return run_tool(graph(spark, d), "get_dataset_schema", dataset_name=SCHEMA_NAME)
 
@@ -90,4 +99,5 @@ SELECT d.key, d.name, d.namespace, d.schema,
 FROM (SELECT * FROM lin_datasets WHERE contains(lower(name), '{SCHEMA_NAME}')
       ORDER BY first_time, first_seq LIMIT 1) d""", "lin_datasets", "lin_cl")),
     "m04_tool_impact": (q_tool_impact, GQ["g04_impact_contains"][1]),
+    "g15_sync": (q_sync, CQ["a09_graph_stats_chunks"][1]),
 }
