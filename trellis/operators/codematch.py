@@ -46,6 +46,33 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
                       else None for x, y in zip(a, b)], dtype="float64")
 
 
+def similarity_at_least(threshold: float):
+    """Like ``similarity`` but pairs whose cheap upper bounds
+    (``real_quick_ratio``, ``quick_ratio``) are below ``threshold`` get null
+    without computing the full ratio; every score at or above the threshold is
+    exact.  Rows sorted by ``b`` reuse one matcher per ``b`` (its index of
+    ``b`` is built once)."""
+    @pandas_udf(DoubleType())
+    def sim(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+        out = []
+        sm, cur = SequenceMatcher(None), None
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            if y != cur:
+                sm.set_seq2(y)
+                cur = y
+            sm.set_seq1(x)
+            if sm.real_quick_ratio() < threshold or sm.quick_ratio() < threshold:
+                out.append(None)
+            else:
+                out.append(sm.ratio())
+        return pd.Series(out, dtype="float64")
+    return sim
+
+
 def code_index(code: DataFrame) -> DataFrame:
     """Files keyed by normalised name; one file per name (greatest file name
     wins, as a later dict entry would), empty names dropped."""
@@ -159,10 +186,17 @@ def match_fuzzy(jobs: DataFrame, idx: DataFrame,
     left = j.select(F.col("job_key").alias("lkey"), F.col("job_norm").alias("ls"))
     right = idx.select(F.col("norm").alias("rkey"), F.col("norm").alias("rs"))
     cands = fuzzy_candidates(left, right, threshold)
-    scored = cands.withColumn("score", similarity(F.col("ls"), F.col("rs")))
+    # the ratio is CPU-bound Python: spread candidates over all task slots
+    # (AQE would otherwise coalesce these small rows into very few tasks)
+    # rows of one file stay together (sorted) so each task reuses one
+    # matcher per file; a salt on the job key splits a file hit by many jobs
+    slots = cands.sparkSession.sparkContext.defaultParallelism * 4
+    salt = F.abs(F.xxhash64("lkey")) % 16
+    scored = (cands.repartition(slots, "rkey", salt).sortWithinPartitions("rkey")
+              .withColumn("score", similarity_at_least(threshold)(F.col("ls"), F.col("rs")))
+              .filter(F.col("score") >= threshold))
     w = Window.partitionBy("lkey").orderBy(F.col("score").desc(), F.col("rkey"))
-    best = (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .filter(F.col("score") >= threshold))
+    best = scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     return (best.join(j, F.col("lkey") == F.col("job_key"))
             .join(idx, F.col("rkey") == F.col("norm"))
             .select("job_key", "job_name", "file_name", "code",
