@@ -200,8 +200,10 @@ def global_ordinal(df: DataFrame, order: list[str], out: str = "ordinal",
     """
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = cut_lineage(df.repartitionByRange(n, *order)
-                       .withColumn("_pid", F.spark_partition_id()))
+    src = df.persist()      # range bounds are sampled from it, then it is written
+    part = cut_lineage(src.repartitionByRange(n, *order)
+                       .withColumn("_pid", F.spark_partition_id()), "ordinal")
+    src.unpersist()
     w = Window.partitionBy("_pid").orderBy(*order)
     local = part.withColumn("_local", F.row_number().over(w) - 1)
     totals = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

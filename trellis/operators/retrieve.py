@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.scalars import contains_any, keep_lines, tokens
+from ..session import spread
 from .chunks import _ordered_join, lineage_lines
 from .graph_ops import find_jobs
 from .lineage_graph import LineageGraph, run_stats
@@ -153,7 +154,7 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int, metric: str = "l
         qids = np.array([r[0] for r in rows], dtype=object)
         qmat = np.array([list(r[1]) for r in rows], dtype=np.float64)
         fn = _topk_batches(qids, qmat, k, metric, id_col, vec_col)
-        parts.append(index.select(id_col, vec_col).mapInPandas(fn, out_schema))
+        parts.append(spread(index.select(id_col, vec_col)).mapInPandas(fn, out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema.add("rank", LongType()))
     cand = parts[0]
