@@ -209,7 +209,7 @@ def match_code(jobs: DataFrame, code: DataFrame,
     ``match_kind`` records the tier, unmatched jobs get ``miss``.  Each tier's
     (small) result is written once so later tiers do not recompute it."""
     idx = cut_lineage(code_index(code), "code_idx")
-    js = jobs.select("key", "name")
+    js = cut_lineage(jobs.select("key", "name"), "match_jobs")
     exact = cut_lineage(match_exact(js, idx), "match_exact")
     rest = js.join(exact.select(F.col("job_key").alias("key")), "key", "left_anti")
     suffix = cut_lineage(match_suffix(rest, idx), "match_suffix")

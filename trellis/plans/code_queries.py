@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import codematch as C
 from ..sources.code import job_code_files
 from . import oracle as O
-from .graph_queries import graph
+from ..operators.lineage_graph import build_jobs, clean_events
+from ..sources.events import lineage_events
 
 
 def _inputs(spark, d):
-    return graph(spark, d).jobs.select("key", "name"), job_code_files(spark, d)
+    """Jobs (the only graph table matching needs) and the code files."""
+    jobs = build_jobs(clean_events(lineage_events(spark, d))).select("key", "name")
+    return jobs, job_code_files(spark, d)
 
 
 def q_exact(spark, d):
