@@ -184,7 +184,8 @@ def split_sections(md: DataFrame, path_col: str = "path",
     title = F.when(F.col("idx") == 0, F.col("source")).otherwise(_strip(first_line))
     text = F.when(F.col("idx") == 0, _strip(F.col("section"))).otherwise(
         F.concat(F.lit("## "), _strip(first_line), F.lit("\n\n"), body))
-    out = parts.select("source", "idx", title.alias("name"), text.alias("text"))
+    out = parts.select("source", F.col("idx").cast("bigint").alias("idx"), title.alias("name"),
+                       text.alias("text"))
     return out.filter(F.length("text") >= MIN_SECTION_CHARS)
 
 

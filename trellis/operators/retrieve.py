@@ -161,7 +161,8 @@ def vector_search(index: DataFrame, queries: DataFrame, k: int, metric: str = "l
     for p in parts[1:]:
         cand = cand.unionByName(p)
     w = Window.partitionBy("q_id").orderBy("distance", id_col)
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(w).cast("bigint"))
+            .filter(F.col("rank") <= k)
             .select("q_id", "rank", id_col, "distance"))
 
 
