@@ -366,6 +366,3 @@ def longest_match(cands: DataFrame, key: Sequence[str], name: str = "name") -> D
     w = Window.partitionBy(*key).orderBy(F.length(name).desc(), F.col(name).asc())
     return cands.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
-
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from ..functions.scalars import contains_any, keep_lines, tokens
 from ..session import spread
 from .chunks import _ordered_join, lineage_lines
-from .graph_ops import find_jobs
+from .graph_ops import find_jobs, longest_match
 from .lineage_graph import LineageGraph, run_stats
 
 # Fixed values the retrieval rules must reproduce.
@@ -259,8 +259,7 @@ def detect_entities(questions: DataFrame, index: DataFrame, qcol: str = "questio
     terms = index_terms(index)
     hits = contained_terms(questions, terms, qcol).unionByName(
         token_subset_terms(questions, terms, qcol)).distinct()
-    w = Window.partitionBy("q_id", "term_kind").orderBy(F.length("term").desc(), "term")
-    best = hits.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    best = longest_match(hits, ["q_id", "term_kind"], "term")
     piv = best.groupBy("q_id").agg(
         F.max(F.when(F.col("term_kind") == "namespace", F.col("term"))).alias("ns"),
         F.max(F.when(F.col("term_kind") == "name", F.col("term"))).alias("name"))
