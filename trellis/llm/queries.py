@@ -4,12 +4,35 @@ can express the result; the others are tested against brute force."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trellis.sources.tables import table
 
+from .bpe import encode_documents
 from .exact_dedup import duplicate_groups
 from .mixing import mix_documents
+from .quality import score_quality
+from .simhash_dedup import near_duplicate_components
+from .toxicity import score_toxicity
+from .url_filter import RULES, SOFT, STRICT, judge_urls
+
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules and the vocabulary."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +45,59 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, digested, and their decoding."""
+    return encode_documents(table(spark, sf_dir, "documents"),
+                            public_tokenizers.path(RANK_FILE), with_ids=False)
+
+
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
+    "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
+    "op10_bpe": op10_bpe,
 }
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+
+
+def _distinct_terms(terms) -> str:
+    """DuckDB count of the terms that stand between boundaries in ``low``."""
+    return " + ".join(f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INT" for t in terms)
+
 _ASCII_LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
                 "'abcdefghijklmnopqrstuvwxyz')")
 
 ORACLE_SQL = {
+    "op2_url_filter": f"""
+        WITH parts AS (
+          SELECT page_id, translate(coalesce(url, ''), {_AZ}) AS low,
+                 coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), '') AS raw_host,
+                 coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2), '') AS path
+          FROM pages),
+        p AS (SELECT page_id, low, translate(raw_host, {_AZ}) AS host, path FROM parts),
+        rules(r_host, r_path, r_verdict) AS (VALUES {_RULE_ROWS}),
+        fit AS (
+          SELECT page_id, arg_max(r_host || r_path, length(r_host || r_path)) AS rule,
+                 arg_max(r_verdict, length(r_host || r_path)) AS r_verdict
+          FROM (SELECT DISTINCT page_id, host, path FROM p) p JOIN rules
+            ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+          GROUP BY page_id, host, path)
+        SELECT p.page_id, host, path, rule,
+               coalesce(r_verdict, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block'
+                                   ELSE 'allow' END) AS verdict, n_strict, n_soft
+        FROM (SELECT *, ({_distinct_terms(STRICT)}) AS n_strict,
+                     ({_distinct_terms(SOFT)}) AS n_soft FROM p) p
+        LEFT JOIN fit USING (page_id)""",
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_ASCII_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id,
