@@ -10,16 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from trellis.sources.tables import table
 
 from .bpe import encode_documents
+from .embedding_dedup import near_duplicate_vectors
 from .exact_dedup import duplicate_groups
 from .mixing import mix_documents
 from .quality import score_quality
 from .simhash_dedup import near_duplicate_components
+from .token_counts import cleaning_edits, count_with_edits
 from .toxicity import score_toxicity
 from .url_filter import RULES, SOFT, STRICT, judge_urls
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after a cleaning pass."""
+    docs = table(spark, sf_dir, "documents").withColumn("edits", cleaning_edits())
+    return count_with_edits(docs, public_tokenizers.path(RANK_FILE))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules and the vocabulary."""
     return judge_urls(table(spark, sf_dir, "pages"))
@@ -50,6 +58,11 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.93."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, digested, and their decoding."""
     return encode_documents(table(spark, sf_dir, "documents"),
@@ -57,12 +70,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
 }
 
