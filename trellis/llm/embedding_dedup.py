@@ -161,13 +161,9 @@ class NNDescent:
                    .join(self.nodes.select("node", "vec"), "node")
                    .withColumns({"fresh": F.lit(True), "floor": F.lit(-2.0),
                                  "dice": F.lit(0).cast("bigint")}))
-        # blocks are compared whole, however their sizes fall
-        self._merge(self._compare_blocks(members))
+        self._merge(self._compare(members))
         self.cuts.drop(placed, buckets)
 
-    def _compare_blocks(self, members: DataFrame) -> DataFrame:
-        return self._compare(members)
-
     def _merge(self, found: DataFrame) -> None:
         """Put offered pairs into the lists; lists keep all their links, and
         ``width`` places or twice their links, whichever is more."""

@@ -15,6 +15,7 @@ from .exact_dedup import duplicate_groups
 from .mixing import mix_documents
 from .quality import score_quality
 from .simhash_dedup import near_duplicate_components
+from .suffix_dedup import remove_repeats
 from .token_counts import cleaning_edits, count_with_edits
 from .toxicity import score_toxicity
 from .url_filter import RULES, SOFT, STRICT, judge_urls
@@ -58,6 +59,11 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 100 bytes met earlier."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.93."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
@@ -77,6 +83,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
 }
