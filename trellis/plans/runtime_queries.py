@@ -4,7 +4,6 @@ T01, T02, P13, G09)."""
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -50,9 +49,9 @@ def q_stream_ingest(spark, d):
 
 def q_stream_run_stats(spark, d):
     src = scratch_path(spark, "events")
-    S.write_event_files(lineage_events(spark, d), src, files=4)
-    name = "run_stats_" + uuid.uuid4().hex[:8]
-    t = S.stream_run_stats(spark, src, scratch_path(spark, "stats_ckpt"), name)
+    S.write_event_files(lineage_events(spark, d), src)
+    t = S.stream_run_stats(spark, src, scratch_path(spark, "stats_ckpt"),
+                           scratch_path(spark, "run_stats"))
     return t.select("job_key", "n_complete", "n_fail", F.col("last.event_type").alias("last_type"),
                     F.col("last.event_time").alias("last_time"))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +20,17 @@ from ..operators.chunks import build_chunks, upsert
 from ..operators.codematch import match_code
 from ..operators.graph_ops import graph_stats
 from ..operators.lineage_graph import build_graph
+from ..session import is_missing_path
 
 
 def index_versions(spark: SparkSession, store: str) -> list[int]:
     try:
         rows = (spark.read.text(os.path.join(store, "_versions"))
                 .select(F.col("value").cast("long")).distinct().collect())
-    except Exception:  # noqa: BLE001  (empty store)
-        return []
+    except AnalysisException as e:
+        if is_missing_path(e):          # no version yet
+            return []
+        raise
     return sorted(r[0] for r in rows)
 
 

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -87,3 +88,9 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < n:
         return df.repartition(n)
     return df
+
+
+def is_missing_path(error: Exception) -> bool:
+    """True only for "the path does not exist": any other read error must not
+    be taken for an empty store."""
+    return isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"

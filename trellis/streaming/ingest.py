@@ -13,19 +13,23 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage_graph import LineageGraph, build_graph, run_stats
 from ..schemas import EVENT
+from ..session import is_missing_path
 
 TABLES = ("datasets", "jobs", "edges", "runs", "column_lineage")
 
 
-def write_event_files(events: DataFrame, path: str, files: int = 4) -> None:
-    """Write events as NDJSON files (the shape a lineage listener emits)."""
+def write_event_files(events: DataFrame, path: str, files: int | None = None) -> None:
+    """Write events as NDJSON files (the shape a lineage listener emits), one per
+    partition unless ``files`` names a number."""
     cols = [f.name for f in EVENT.fields if f.name != "_corrupt"]
-    events.select(*cols).repartition(files).write.mode("overwrite").json(path)
+    events = events.select(*cols)
+    (events.repartition(files) if files else events).write.mode("overwrite").json(path)
 
 
 def merge_graph(a: LineageGraph, b: LineageGraph) -> LineageGraph:
@@ -75,8 +79,10 @@ def _versions(spark: SparkSession, store: str) -> list[int]:
     marks = os.path.join(store, "_versions")
     try:
         rows = spark.read.text(marks).select(F.col("value").cast("long")).distinct().collect()
-    except Exception:  # noqa: BLE001  (no version yet)
-        return []
+    except AnalysisException as e:
+        if is_missing_path(e):          # no version yet
+            return []
+        raise
     return sorted(r[0] for r in rows)
 
 
@@ -118,16 +124,25 @@ def stream_ingest(spark: SparkSession, src: str, store: str, checkpoint: str,
     return q
 
 
-def stream_run_stats(spark: SparkSession, src: str, checkpoint: str, name: str) -> DataFrame:
-    """Run counts per job kept up to date by a streaming aggregation
-    (complete mode into an in-memory table ``name``)."""
+def stream_run_stats(spark: SparkSession, src: str, checkpoint: str, store: str) -> DataFrame:
+    """Run counts per job kept up to date by a streaming aggregation.
+
+    Each trigger writes the complete statistics of that moment to its own
+    folder of ``store`` (a replayed trigger rewrites the same folder), so the
+    rows stay on the executors; the newest folder is the state.
+    """
     from ..operators.lineage_graph import build_runs, clean_events
     stream = (spark.readStream.schema(EVENT).json(src)
               .select("*", F.col("_metadata.file_path").alias("source_file"),
                       F.lit(0).cast("long").alias("seq")))
-    runs = build_runs(clean_events(stream))
-    stats = run_stats(runs)
-    q = (stats.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    last: dict[str, int] = {}
+
+    def per_batch(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(os.path.join(store, f"b={batch_id:010d}"))
+        last["id"] = batch_id
+
+    q = (run_stats(build_runs(clean_events(stream))).writeStream.outputMode("complete")
+         .foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(os.path.join(store, f"b={last['id']:010d}"))
