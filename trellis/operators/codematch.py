@@ -178,6 +178,18 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Dat
                     >= F.lit(t) * (F.length("ls") + F.length("rs"))))
 
 
+def upper_bound(a: Column, b: Column) -> Column:
+    """An upper bound of the similarity ratio, without Python.
+
+    The matched characters form a common subsequence, so with T characters in
+    both strings and M matched, at least T - 2M insertions and deletions turn
+    one into the other; an edit distance counts a replacement once instead of
+    twice, so it is at most T - 2M, and 2M/T <= 1 - distance/T.
+    """
+    total = F.length(a) + F.length(b)
+    return F.lit(1.0) - F.levenshtein(a, b) / total
+
+
 def match_fuzzy(jobs: DataFrame, idx: DataFrame,
                 threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """Best ratio per job (ties: file name order), kept when
@@ -185,14 +197,22 @@ def match_fuzzy(jobs: DataFrame, idx: DataFrame,
     j = _jobs(jobs).filter(F.col("job_norm") != "")
     left = j.select(F.col("job_key").alias("lkey"), F.col("job_norm").alias("ls"))
     right = idx.select(F.col("norm").alias("rkey"), F.col("norm").alias("rs"))
-    cands = fuzzy_candidates(left, right, threshold)
-    # the ratio is CPU-bound Python: spread candidates over all task slots
-    # (AQE would otherwise coalesce these small rows into very few tasks)
-    # rows of one file stay together (sorted) so each task reuses one
-    # matcher per file; a salt on the job key splits a file hit by many jobs
-    slots = cands.sparkSession.sparkContext.defaultParallelism * 4
-    salt = F.abs(F.xxhash64("lkey")) % 16
-    scored = (cands.repartition(slots, "rkey", salt).sortWithinPartitions("rkey")
+    bounded = cut_lineage(
+        fuzzy_candidates(left, right, threshold)
+        .withColumn("upper", upper_bound(F.col("ls"), F.col("rs")))
+        .filter(F.col("upper") >= threshold), "fuzzy_bounds")
+    # the nearest file of each job by that bound is scored first; its score is
+    # what any other file has to reach, and few bounds do
+    first = (bounded.groupBy("lkey").agg(
+        F.min_by(F.struct("ls", "rkey", "rs"), F.struct(-F.col("upper"), "rkey")).alias("p"))
+        .select("lkey", similarity(F.col("p.ls"), F.col("p.rs")).alias("lower")))
+    worth = (bounded.join(first, "lkey")
+             .filter(F.col("upper") >= F.greatest("lower", F.lit(threshold))))
+    # rows of one file stay together (sorted) so that a task reuses one matcher
+    # per file; a salt on the job key splits a file hit by many jobs
+    slots = worth.sparkSession.sparkContext.defaultParallelism
+    salt = F.pmod(F.xxhash64("lkey"), F.lit(slots))
+    scored = (worth.repartition(slots, "rkey", salt).sortWithinPartitions("rkey")
               .withColumn("score", similarity_at_least(threshold)(F.col("ls"), F.col("rs")))
               .filter(F.col("score") >= threshold))
     w = Window.partitionBy("lkey").orderBy(F.col("score").desc(), F.col("rkey"))

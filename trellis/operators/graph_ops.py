@@ -217,48 +217,59 @@ def graph_stats(g: LineageGraph, chunks: DataFrame | None = None) -> DataFrame:
 # ---------------------------------------------------------------- walks
 
 
-def impact(g: LineageGraph, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def impact(g: LineageGraph, roots: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """Downstream BFS from every root in ``roots(key)`` at once.
 
-    Returns ``(root_key, node_key, depth)``: each node reached once, at its
-    minimum depth (1..max_depth); the root itself is never reported.  The
-    frontier is keyed by ``(root, node)``; each level is one join with the
-    edges and one anti-join with what that root already reached.
+    Returns ``(root_key, node_key, depth, truncated)``: each node reached once,
+    at its minimum depth; the root itself is never reported.  With
+    ``max_depth=None`` the walk goes on until no root reaches a new node;
+    otherwise ``truncated`` marks the nodes at the last level beyond which the
+    walk would have reached more.  The frontier is keyed by ``(root, node)``;
+    each level is one join with the edges and one anti-join with what that root
+    already reached.
     """
     e = g.edges.select(F.col("src").alias("node_key"), F.col("dst").alias("nxt"))
-    frontier = roots.select(F.col("key").alias("root_key"),
-                            F.col("key").alias("node_key")).distinct()
-    frontier = cut_lineage(frontier)
-    visited = frontier
-    levels = []
-    for depth in range(1, max_depth + 1):
-        nxt = (frontier.join(e, "node_key")
-               .select("root_key", F.col("nxt").alias("node_key"))
-               .join(visited, ["root_key", "node_key"], "left_anti")
-               .distinct())
-        nxt = cut_lineage(nxt)
+    frontier = cut_lineage(roots.select(F.col("key").alias("root_key"),
+                                        F.col("key").alias("node_key")).distinct())
+    visited, levels, depth = frontier, [], 0
+
+    def beyond() -> DataFrame:
+        return (frontier.join(e, "node_key")
+                .select("root_key", F.col("node_key").alias("via"), F.col("nxt").alias("node_key"))
+                .join(visited, ["root_key", "node_key"], "left_anti"))
+
+    while max_depth is None or depth < max_depth:
+        nxt = cut_lineage(beyond().select("root_key", "node_key").distinct())
         if nxt.isEmpty():
             break
+        depth += 1
         levels.append(nxt.withColumn("depth", F.lit(depth)))
         visited = visited.unionByName(nxt)
         frontier = nxt
     if not levels:
         return roots.sparkSession.createDataFrame(
-            [], "root_key string, node_key string, depth int")
+            [], "root_key string, node_key string, depth int, truncated boolean")
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return out
+    if max_depth is None or depth < max_depth:
+        return out.withColumn("truncated", F.lit(False))
+    cut_at = (beyond().select("root_key", F.col("via").alias("node_key")).distinct()
+              .withColumn("_more", F.lit(True)))
+    return (out.join(cut_at, ["root_key", "node_key"], "left")
+            .select("root_key", "node_key", "depth",
+                    (F.coalesce("_more", F.lit(False)) & (F.col("depth") == depth))
+                    .alias("truncated")))
 
 
-def impact_named(g: LineageGraph, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def impact_named(g: LineageGraph, roots: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """Impact rows with the reached node's kind and name."""
     n = g.nodes.select(F.col("key").alias("node_key"), "kind", "name")
     return impact(g, roots, max_depth).join(n, "node_key")
 
 
 def impact_by_name(g: LineageGraph, name: str, ns: str | None = None,
-                   how: str = "exact", max_depth: int = MAX_DEPTH) -> DataFrame:
+                   how: str = "exact", max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """Impact of every dataset matching ``name`` (exact or substring)."""
     roots = find_datasets(g, name, ns, how).select("key")
     return impact_named(g, roots, max_depth)
@@ -271,8 +282,9 @@ def impact_layers(impact_rows: DataFrame) -> DataFrame:
                                                       F.col("name")))).alias("layer")))
 
 
-def transitive_chain(g: LineageGraph, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The documented transitive chain: impact of every source dataset."""
+def transitive_chain(g: LineageGraph, max_depth: int | None = None) -> DataFrame:
+    """The documented transitive chain: impact of every source dataset,
+    followed to its end unless ``max_depth`` stops it."""
     return impact_named(g, source_datasets(g).select("key"), max_depth)
 
 

@@ -398,6 +398,13 @@ def budget(ranked: DataFrame, n_col: str = "n") -> DataFrame:
     return r.filter(keep).drop("_p", "_i")
 
 
+def exact_boost(detected: DataFrame, index: DataFrame, seen: DataFrame) -> DataFrame:
+    """The chunks named exactly like a question's detected name, where the
+    question has not ``seen(q_id, name)`` that name already."""
+    return (detected.filter(F.col("name").isNotNull()).join(index, "name")
+            .join(seen, ["q_id", "name"], "left_anti"))
+
+
 def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame,
              index_vecs: DataFrame, query_vecs: DataFrame, n: int = DEFAULT_N,
              search_text: DataFrame | None = None) -> DataFrame:
@@ -422,15 +429,16 @@ def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame,
            .filter(F.col("rank") <= fetch_k(F.col("n")))
            .join(index.select("id", "name", "document"), "id"))
     sem = first_per_name(sem)
-    # the graph document's node name counts as already seen
-    sem = sem.join(ctx.join(g.nodes.select(F.col("key").alias("node_key"), "name"), "node_key")
-                   .select("q_id", "name"), ["q_id", "name"], "left_anti")
+    # the graph document's node name counts as already seen, in every tier below
+    named = (ctx.join(g.nodes.select(F.col("key").alias("node_key"), "name"), "node_key")
+             .select("q_id", "name").distinct())
+    sem = sem.join(named, ["q_id", "name"], "left_anti")
     det = detect_entities(qs.select("q_id", F.col("search").alias("question")), index)
-    boost = (det.filter(F.col("name").isNotNull()).join(index, "name")
-             .join(sem.select("q_id", "name"), ["q_id", "name"], "left_anti")
+    boost = (exact_boost(det, index, sem.select("q_id", "name").unionByName(named))
              .groupBy("q_id", "name").agg(F.min_by("document", "id").alias("document")))
     summ = namespace_summary(index, det)
-    seen = sem.select("q_id", "name").unionByName(boost.select("q_id", "name"))
+    seen = (sem.select("q_id", "name").unionByName(boost.select("q_id", "name"))
+            .unionByName(named))
     summ = summ.join(seen, ["q_id", "name"], "left_anti")
     summ_doc = (summ.groupBy("q_id", "ns")
                 .agg(_ordered_join(F.collect_list(F.struct(F.col("name").alias("o"),

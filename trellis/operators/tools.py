@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import codematch, graph_ops
 from .lineage_graph import LineageGraph
@@ -14,9 +15,9 @@ TOOL_NAMES = ("get_job_code", "get_dataset_schema", "search_field", "get_impact"
 def run_tool(g: LineageGraph, tool: str, code: DataFrame | None = None, **params) -> DataFrame:
     """Run one named lookup with its parameters."""
     if tool == "get_job_code":
-        jobs = g.jobs.filter(g.jobs["name"] == params["job_name"]) if params.get("job_name") \
-            else g.jobs
-        return codematch.job_code(jobs, code)
+        wanted = params.get("job_name")
+        jobs = g.jobs.filter(F.lower("name") == wanted.strip().lower()) if wanted else g.jobs
+        return codematch.job_code(jobs, code, codematch.match_code(jobs, code))
     if tool == "get_dataset_schema":
         return graph_ops.dataset_schema(g, params["dataset_name"], params.get("namespace"))
     if tool == "search_field":

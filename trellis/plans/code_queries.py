@@ -39,7 +39,7 @@ def q_cascade(spark, d):
 
 def q_job_code(spark, d):
     jobs, code = _inputs(spark, d)
-    return C.job_code(jobs, code).select("job_key", "job_name", "code")
+    return C.job_code(jobs, code, C.match_code(jobs, code)).select("job_key", "job_name", "code")
 
 
 def q_attach(spark, d):
@@ -49,7 +49,8 @@ def q_attach(spark, d):
 
 
 def q_similarity(spark, d):
-    """X12 on every (job, exact-tier file) pair: ratio of the normalised names."""
+    """X12 on every job and the file of its user (same last name part): ratio
+    of the normalised names."""
     jobs, code = _inputs(spark, d)
     idx = C.code_index(code)
     j = C._jobs(jobs)
@@ -64,9 +65,10 @@ _NORM = "regexp_replace(replace(lower({c}), '-', '_'), '^job_', '')"
 _cte_sql = {
     "code_files": """
 SELECT CASE user_id % 4 WHEN 0 THEN 'JOB-etl-user-' || user_id
-            WHEN 1 THEN 'x_etl_user_' || user_id WHEN 2 THEN 'etl_usr_' || user_id END
+            WHEN 1 THEN 'x_etl_user_' || user_id WHEN 2 THEN 'etl_usr_' || user_id
+            ELSE 'nightly-report-' || user_id END
          AS file_name
-FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 4 <> 3""",
+FROM (SELECT DISTINCT user_id FROM events)""",
 }
 
 
@@ -90,9 +92,7 @@ FROM jn JOIN code_idx c ON jn.job_norm <> '' AND (ends_with(jn.job_norm, c.norm)
 GROUP BY job_key""")),
     "j10_match_fuzzy": (q_fuzzy, None),
     "j11_match_code": (q_cascade, None),
-    "j13_job_code": (q_job_code, O.sql("""
-SELECT j.key AS job_key, j.name AS job_name, NULL::VARCHAR AS code FROM lin_jobs j""",
-                                       "lin_jobs")),
+    "j13_job_code": (q_job_code, None),
     "g14_attach_code": (q_attach, None),
     "x12_similarity": (q_similarity, None),
 }

@@ -61,14 +61,6 @@ def q_lines(spark, d):
     return D.dictionary_lines(_cells(spark, d))
 
 
-def q_changed(spark, d):
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
-             .select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"),
-                     F.col("modificationTime").alias("mtime")))
-    outputs = files.limit(0)
-    return D.changed_sources(files, outputs)
-
-
 _CELLS = """
 SELECT workbook, sheet, sheet_idx, CAST(row_idx AS INTEGER) AS row_idx,
        CAST(col_idx AS INTEGER) AS col_idx, value FROM (
@@ -183,5 +175,4 @@ WHERE c0 IS NOT NULL AND c0 <> '' AND c0 <> 'Entidad'""")),
 SELECT workbook, sheet, CAST(count(*) AS BIGINT) AS fields FROM fields GROUP BY ALL""",
                                              ("fields", _FIELDS))),
     "d09_dictionary_lines": (q_lines, None),
-    "d10_changed_sources": (q_changed, None),
 }

@@ -104,18 +104,18 @@ def q_search_field(spark, d):
 
 def q_impact_exact(spark, d):
     return G.impact_by_name(graph(spark, d), ROOT_NAME, how="exact").select(
-        "root_key", "node_key", "depth", "kind", "name")
+        "root_key", "node_key", "depth", "kind", "name", "truncated")
 
 
 def q_impact_contains(spark, d):
     return G.impact_by_name(graph(spark, d), ROOT_NAME, ROOT_NS, how="contains").select(
-        "root_key", "node_key", "depth", "kind", "name")
+        "root_key", "node_key", "depth", "kind", "name", "truncated")
 
 
 def q_impact_all(spark, d):
     g = graph(spark, d)
     return G.impact_named(g, g.datasets.select("key")).select(
-        "root_key", "node_key", "depth", "kind", "name")
+        "root_key", "node_key", "depth", "kind", "name", "truncated")
 
 
 def q_impact_layers(spark, d):
@@ -126,8 +126,8 @@ def q_impact_layers(spark, d):
 
 
 def q_transitive(spark, d):
-    return G.transitive_chain(graph(spark, d)).select(
-        "root_key", "node_key", "depth", "kind", "name")
+    """All nodes downstream of every source dataset, to the end of the chains."""
+    return G.transitive_chain(graph(spark, d)).select("root_key", "node_key", "kind", "name")
 
 
 def q_trace(spark, d):
@@ -280,7 +280,15 @@ SELECT i.root_key, i.depth,
     AS layer
 FROM impact i JOIN lin_nodes n ON n.key = i.node_key GROUP BY i.root_key, i.depth""")),
     "g05_impact_all": (q_impact_all, O.impact_sql("SELECT key FROM lin_datasets")),
-    "g07_transitive_chain": (q_transitive, O.impact_sql("SELECT key FROM lin_sources")),
+    "g07_transitive_chain": (q_transitive, O.sql("""
+SELECT w.root_key, w.node_key, n.kind, n.name
+FROM walk w JOIN lin_nodes n ON n.key = w.node_key WHERE w.node_key <> w.root_key""",
+        "lin_datasets", "lin_edges", "lin_nodes", "lin_sources", extra=(
+            ("walk(root_key, node_key)", """
+  SELECT key, key FROM lin_sources
+  UNION
+  SELECT w.root_key, e.dst FROM walk w JOIN lin_edges e ON e.src = w.node_key"""),),
+        recursive=True)),
     "g08_column_trace": (q_trace, O.sql("""
 SELECT root_key, root_field, ldataset AS dataset, field, CAST(min(d) AS INTEGER) AS depth
 FROM trace

@@ -278,8 +278,12 @@ def impact_sql(roots_sql: str, max_depth: int = 6, select: str | None = None) ->
     imp = """
 SELECT root_key, node_key, CAST(min(d) AS INTEGER) AS depth
 FROM walk WHERE node_key <> root_key GROUP BY root_key, node_key"""
-    body = select or """
-SELECT i.root_key, i.node_key, i.depth, n.kind, n.name
+    body = select or f"""
+SELECT i.root_key, i.node_key, i.depth, n.kind, n.name,
+  i.depth = {max_depth} AND EXISTS (
+    SELECT 1 FROM lin_edges e WHERE e.src = i.node_key AND e.dst <> i.root_key
+      AND NOT EXISTS (SELECT 1 FROM impact r WHERE r.root_key = i.root_key
+                      AND r.node_key = e.dst)) AS truncated
 FROM impact i JOIN lin_nodes n ON n.key = i.node_key"""
     return sql(body, "lin_datasets", "lin_edges", "lin_nodes", "lin_sources",
                extra=(("roots", roots_sql), ("walk(root_key, node_key, d)", walk),

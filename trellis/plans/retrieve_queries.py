@@ -95,7 +95,8 @@ def q_exact_boost(spark, d):
     g = graph(spark, d)
     idx = graph_index(g)
     det = R.detect_entities(questions(g), idx)
-    return (det.filter(F.col("name").isNotNull()).join(idx, "name")
+    nothing_seen = det.select("q_id", "name").limit(0)
+    return (R.exact_boost(det, idx, nothing_seen)
             .groupBy("q_id", "name").agg(F.min("id").alias("id")))
 
 

@@ -17,7 +17,7 @@ from ..streaming import ingest as S
 from . import oracle as O
 from .chunk_queries import QUERIES as CQ
 from .graph_queries import QUERIES as GQ
-from .graph_queries import ROOT_NAME, ROOT_NS, SCHEMA_NAME, graph
+from .graph_queries import FIELD, ROOT_NAME, ROOT_NS, SCHEMA_NAME, graph
 from .warehouse_queries import AS_OF, QUERIES as WQ, STAMP, _c360, _metrics
 
 
@@ -79,7 +79,26 @@ def q_dataset_schema(spark, d):
 
 def q_tool_impact(spark, d):
     return run_tool(graph(spark, d), "get_impact", dataset_name=ROOT_NAME,
-                    namespace=ROOT_NS).select("root_key", "node_key", "depth", "kind", "name")
+                    namespace=ROOT_NS).select("root_key", "node_key", "depth", "kind", "name",
+                                              "truncated")
+
+
+def q_tool_search_field(spark, d):
+    return run_tool(graph(spark, d), "search_field", field_name=FIELD).select(
+        "key", "name", "namespace", "source", "hit")
+
+
+def q_tool_find_jobs(spark, d):
+    return run_tool(graph(spark, d), "find_jobs", dataset_name="").select(
+        "key", "name", "namespace", F.array_join("producers", ", ").alias("producers"),
+        F.array_join("consumers", ", ").alias("consumers"))
+
+
+def q_tool_job_code(spark, d):
+    """The code of every job through the lookup, which compares names in any case."""
+    from ..sources.code import job_code_files
+    return run_tool(graph(spark, d), "get_job_code", code=job_code_files(spark, d)).select(
+        "job_key", "job_name", "code")
 
 
 QUERIES = {
@@ -98,5 +117,8 @@ SELECT d.key, d.name, d.namespace, d.schema,
 FROM (SELECT * FROM lin_datasets WHERE contains(lower(name), '{SCHEMA_NAME}')
       ORDER BY first_time, first_seq LIMIT 1) d""", "lin_datasets", "lin_cl")),
     "m04_tool_impact": (q_tool_impact, GQ["g04_impact_contains"][1]),
+    "m04_tool_search_field": (q_tool_search_field, GQ["f11_search_field"][1]),
+    "m04_tool_find_jobs": (q_tool_find_jobs, GQ["j07_find_jobs"][1]),
+    "m04_tool_job_code": (q_tool_job_code, None),
     "g15_sync": (q_sync, CQ["a09_graph_stats_chunks"][1]),
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import JOB_CODE
+from ..session import is_missing_path
 from .tables import table
 
 
@@ -13,10 +15,9 @@ def read_job_code(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.py`` under ``path`` (local folder or object-store
     prefix) as ``(file_name without .py, code)``, one row per whole file."""
     try:
-        df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py")
-              .text(path, wholetext=True))
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+        df = spark.read.option("pathGlobFilter", "*.py").text(path, wholetext=True)
+    except AnalysisException as e:
+        if is_missing_path(e):
             return spark.createDataFrame([], JOB_CODE)
         raise
     return df.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.py$", 1)
@@ -25,16 +26,17 @@ def read_job_code(spark: SparkSession, path: str) -> DataFrame:
 
 def job_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per user of ``events`` by ``u % 4``: an exact-name
-    file, a suffix-name file, a misspelt (fuzzy) file, or none."""
+    file, a suffix-name file, a misspelt (fuzzy) file, or a file of another
+    name that no tier matches."""
     u = F.col("user_id")
     m = u % 4
     su = u.cast("string")
     name = (F.when(m == 0, F.concat(F.lit("JOB-etl-user-"), su))
             .when(m == 1, F.concat(F.lit("x_etl_user_"), su))
-            .when(m == 2, F.concat(F.lit("etl_usr_"), su)))
+            .when(m == 2, F.concat(F.lit("etl_usr_"), su))
+            .otherwise(F.concat(F.lit("nightly-report-"), su)))
     code = F.concat(F.lit("# batch job for user "), su,
                     F.lit("\ndef run(spark):\n    return spark.read.parquet('lake/ds_"), su,
                     F.lit("')\n"))
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    return users.select(name.alias("file_name"), code.alias("code")) \
-        .filter(F.col("file_name").isNotNull())
+    return users.select(name.alias("file_name"), code.alias("code"))

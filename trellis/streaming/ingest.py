@@ -141,8 +141,11 @@ def stream_run_stats(spark: SparkSession, src: str, checkpoint: str, store: str)
         df.write.mode("overwrite").parquet(os.path.join(store, f"b={batch_id:010d}"))
         last["id"] = batch_id
 
-    q = (run_stats(build_runs(clean_events(stream))).writeStream.outputMode("complete")
+    stats = run_stats(build_runs(clean_events(stream)))
+    q = (stats.writeStream.outputMode("complete")
          .foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if not last:                        # no event file yet
+        return spark.createDataFrame([], stats.schema)
     return spark.read.parquet(os.path.join(store, f"b={last['id']:010d}"))
