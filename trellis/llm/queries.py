@@ -13,6 +13,7 @@ from .bpe import encode_documents
 from .embedding_dedup import near_duplicate_vectors
 from .exact_dedup import duplicate_groups
 from .mixing import mix_documents
+from .oracle_mixing import SQL as MIXING_SQL
 from .quality import score_quality
 from .simhash_dedup import near_duplicate_components
 from .suffix_dedup import remove_repeats
@@ -100,6 +101,7 @@ _ASCII_LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
                 "'abcdefghijklmnopqrstuvwxyz')")
 
 ORACLE_SQL = {
+    "op5_mixing": MIXING_SQL,
     "op2_url_filter": f"""
         WITH parts AS (
           SELECT page_id, translate(coalesce(url, ''), {_AZ}) AS low,
