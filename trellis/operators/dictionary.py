@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_ws, is_field_name
+from ..session import cut_lineage
 
 # Fixed values the dictionary must reproduce.
 HEADER_CELL = "Campo"
@@ -188,19 +189,20 @@ def dictionary_lines(cells: DataFrame) -> DataFrame:
     ``(workbook, sheet_idx, line_no, line)``; line order is carried by
     ``(part, row_idx, sub)`` so no sheet is gathered into one group.  Write
     them with ``sortWithinPartitions`` to get the file text."""
-    headers = find_header(cells)
+    cells = cut_lineage(cells, "cells")
+    headers = cut_lineage(find_header(cells), "headers")
     sheets = data_sheets(cells).select(*SHEET, "sheet_idx").distinct()
-    systems = sheet_systems(cells)
+    systems = cut_lineage(sheet_systems(cells), "systems")
     sys_list = systems.groupBy(*SHEET).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tipo_col", "system"))),
                     lambda x: x["system"]).alias("names"))
     desc = sheet_description(cells)
-    fields = field_rows(cells)
+    fields = cut_lineage(field_rows(cells), "fields")
     sc = system_cells(cells, fields, systems)
     row_cells = sc.groupBy(*SHEET, "row_idx").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tipo_col", "cell"))),
                     lambda x: x["cell"]).alias("cells"))
-    counts = field_counts(cells)
+    counts = fields.groupBy(*SHEET).agg(F.count("*").cast("bigint").alias("fields"))
     head = (sheets.join(headers, SHEET, "left").join(sys_list, SHEET, "left")
             .join(desc, SHEET, "left").join(counts, SHEET, "left"))
     n = F.size(F.coalesce("names", F.array().cast("array<string>")))

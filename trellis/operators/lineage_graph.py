@@ -18,6 +18,7 @@ position)``; a distributed read has no global line order, so event time leads.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,18 +43,6 @@ class LineageGraph:
         j = self.jobs.select("key", F.lit("job").alias("kind"), "namespace", "name")
         return d.unionByName(j)
 
-    def persist(self) -> "LineageGraph":
-        for df in (self.datasets, self.jobs, self.edges, self.runs, self.column_lineage):
-            df.persist()
-        return self
-
-    def materialize(self) -> "LineageGraph":
-        """Write the five tables to the shared checkpoint folder and read them
-        back: later plans start from them instead of re-exploding events, and
-        a lost executor does not send the work back to the raw events."""
-        return LineageGraph(*(cut_lineage(df) for df in (
-            self.datasets, self.jobs, self.edges, self.runs, self.column_lineage)))
-
 
 def _event_ord() -> list[Column]:
     return [F.coalesce(F.col("eventTime"), F.lit("")).alias("t"),
@@ -171,32 +160,53 @@ def build_column_lineage(s: DataFrame) -> DataFrame:
     return merged.withColumn("field_ord", F.min("field_ord").over(w))
 
 
-def build_graph(events: DataFrame, materialize: bool = False) -> LineageGraph:
-    """Events -> datasets, jobs, edges, runs, column lineage.
+class WrittenGraph(LineageGraph):
+    """The graph of some events whose tables are built when first read: each is
+    written once to the shared checkpoint folder, from cleaned events and
+    sightings written once, and a query that reads two tables builds two."""
 
-    ``materialize=True`` computes the cleaned events and the sightings once
-    (persisted; a lost partition is recomputed from its lineage) and writes
-    the five tables to the shared checkpoint folder.
-    """
-    ev = clean_events(events)
+    def __init__(self, events: DataFrame):
+        self._events = events
+
+    @cached_property
+    def _clean(self) -> DataFrame:
+        return cut_lineage(clean_events(self._events), "events")
+
+    @cached_property
+    def _sightings(self) -> DataFrame:
+        return cut_lineage(sightings(self._clean), "sightings")
+
+    @cached_property
+    def datasets(self) -> DataFrame:
+        return cut_lineage(build_nodes_datasets(self._sightings), "datasets")
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        return cut_lineage(build_jobs(self._clean), "jobs")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut_lineage(build_edges(self._sightings), "edges")
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return cut_lineage(build_runs(self._clean), "runs")
+
+    @cached_property
+    def column_lineage(self) -> DataFrame:
+        return cut_lineage(build_column_lineage(self._sightings), "column_lineage")
+
+
+def build_graph(events: DataFrame, materialize: bool = False) -> LineageGraph:
+    """Events -> datasets, jobs, edges, runs, column lineage; with
+    ``materialize`` the tables that are read are written once each."""
     if materialize:
-        ev = ev.persist()
+        return WrittenGraph(events)
+    ev = clean_events(events)
     s = sightings(ev)
-    if materialize:
-        s = s.persist()
-    g = LineageGraph(
-        datasets=build_nodes_datasets(s),
-        jobs=build_jobs(ev),
-        edges=build_edges(s),
-        runs=build_runs(ev),
-        column_lineage=build_column_lineage(s),
-    )
-    if not materialize:
-        return g
-    out = g.materialize()
-    s.unpersist()
-    ev.unpersist()
-    return out
+    return LineageGraph(datasets=build_nodes_datasets(s), jobs=build_jobs(ev),
+                        edges=build_edges(s), runs=build_runs(ev),
+                        column_lineage=build_column_lineage(s))
 
 
 def run_stats(runs: DataFrame) -> DataFrame:

@@ -125,7 +125,38 @@ WHERE regexp_matches(trim(v0), '^[a-z][a-z0-9_]{1,}$')"""
 
 def _dict_sql(body: str, *extra) -> str:
     return O.sql(body, extra=(("nr", _NR), ("sr", _SR), ("cells", _CELLS), ("hdr", _HDR),
-                              *extra))
+                              *extra), recursive=True)
+
+
+#: Systems declared in (TIPO, MAPEO) pairs: from the left, a named cell is taken
+#: and the next one that may be is two columns on.
+_PAIRED_CTES = (
+    ("sysrow", """
+SELECT c.workbook, c.sheet, min(c.row_idx) AS systems_row
+FROM cells c JOIN hdr h USING (workbook, sheet)
+WHERE c.row_idx < h.header_row AND c.col_idx >= h.campo_col + 4 AND trim(c.value) <> ''
+  AND upper(trim(c.value)) = trim(c.value)
+  AND trim(c.value) NOT IN ('TIPO', 'MAPEO', 'PK', 'ENTIDAD/MAESTRO', 'CAMPO', 'NOMBRE', 'RESUMEN')
+  AND length(trim(c.value)) > 1
+GROUP BY c.workbook, c.sheet"""),
+    ("named", """
+SELECT c.workbook, c.sheet, c.col_idx, trim(c.value) AS name
+FROM cells c JOIN hdr h USING (workbook, sheet) JOIN sysrow s USING (workbook, sheet)
+WHERE c.row_idx = s.systems_row AND c.col_idx >= h.campo_col + 4 AND trim(c.value) <> ''"""),
+    ("taken(workbook, sheet, col_idx)", """
+  SELECT workbook, sheet, min(col_idx) FROM named GROUP BY workbook, sheet
+  UNION
+  SELECT workbook, sheet, col_idx FROM (
+    SELECT n.workbook, n.sheet, min(n.col_idx) AS col_idx
+    FROM taken t JOIN named n ON n.workbook = t.workbook AND n.sheet = t.sheet
+      AND n.col_idx >= t.col_idx + 2
+    GROUP BY n.workbook, n.sheet)"""),
+    ("paired", """
+SELECT workbook, sheet, CASE WHEN k = 1 THEN name ELSE name || ' (' || k || ')' END AS system,
+  tipo_col, tipo_col + 1 AS mapeo_col
+FROM (SELECT workbook, sheet, name, col_idx AS tipo_col, row_number() OVER (
+        PARTITION BY workbook, sheet, name ORDER BY col_idx) AS k
+      FROM taken JOIN named USING (workbook, sheet, col_idx))"""))
 
 
 QUERIES = {
@@ -140,7 +171,8 @@ WHERE c.row_idx < h.header_row AND c.col_idx >= h.campo_col + 4 AND trim(c.value
   AND trim(c.value) NOT IN ('TIPO', 'MAPEO', 'PK', 'ENTIDAD/MAESTRO', 'CAMPO', 'NOMBRE', 'RESUMEN')
   AND length(trim(c.value)) > 1
 GROUP BY c.workbook, c.sheet""")),
-    "d03_paired_systems": (q_paired, None),
+    "d03_paired_systems": (q_paired, _dict_sql("""
+SELECT workbook, sheet, system, tipo_col, mapeo_col FROM paired""", *_PAIRED_CTES)),
     "d04_inline_systems": (q_inline, _dict_sql("""
 SELECT workbook, sheet,
   CASE WHEN k = 1 THEN name ELSE name || ' (' || k || ')' END AS system, tipo_col
@@ -152,7 +184,32 @@ FROM (SELECT c.workbook, c.sheet, trim(c.value) AS name, c.col_idx AS tipo_col,
         AND trim(c.value) <> '' AND upper(trim(c.value)) = trim(c.value)
         AND trim(c.value) NOT IN ('TIPO', 'MAPEO', 'PK', 'ENTIDAD/MAESTRO', 'CAMPO', 'NOMBRE'))""")),
     "d05_field_rows": (q_fields, _dict_sql("SELECT * FROM fields", ("fields", _FIELDS))),
-    "d06_system_cells": (q_system_cells, None),
+    "d06_system_cells": (q_system_cells, _dict_sql(r"""
+SELECT workbook, sheet, row_idx, system, substr(
+  CASE WHEN inline THEN CASE WHEN t <> '' THEN t ELSE '—' END
+       WHEN t <> '' AND m <> '' THEN '**' || t || '**: ' || m
+       WHEN t <> '' THEN t WHEN m <> '' THEN m ELSE '—' END, 1, 250) AS cell
+FROM (SELECT f.workbook, f.sheet, f.row_idx, s.system, s.inline,
+        coalesce(trim(regexp_replace(a.value, '\s+', ' ', 'g')), '') AS t,
+        coalesce(trim(regexp_replace(b.value, '\s+', ' ', 'g')), '') AS m
+      FROM fields f JOIN systems s USING (workbook, sheet)
+      LEFT JOIN cells a ON a.workbook = f.workbook AND a.sheet = f.sheet
+        AND a.row_idx = f.row_idx AND a.col_idx = s.tipo_col
+      LEFT JOIN cells b ON b.workbook = f.workbook AND b.sheet = f.sheet
+        AND b.row_idx = f.row_idx AND b.col_idx = s.mapeo_col)""",
+        *_PAIRED_CTES, ("fields", _FIELDS), ("systems", """
+SELECT workbook, sheet, system, tipo_col, mapeo_col, false AS inline FROM paired
+UNION ALL
+SELECT workbook, sheet, CASE WHEN k = 1 THEN name ELSE name || ' (' || k || ')' END, tipo_col,
+  NULL, true
+FROM (SELECT c.workbook, c.sheet, trim(c.value) AS name, c.col_idx AS tipo_col,
+        row_number() OVER (PARTITION BY c.workbook, c.sheet, trim(c.value)
+                           ORDER BY c.col_idx) AS k
+      FROM cells c JOIN hdr h USING (workbook, sheet)
+      WHERE c.row_idx = h.header_row AND c.col_idx >= h.campo_col + 4
+        AND trim(c.value) <> '' AND upper(trim(c.value)) = trim(c.value)
+        AND trim(c.value) NOT IN ('TIPO', 'MAPEO', 'PK', 'ENTIDAD/MAESTRO', 'CAMPO', 'NOMBRE'))
+WHERE (workbook, sheet) NOT IN (SELECT (workbook, sheet) FROM sysrow)"""))),
     "d07_sheet_description": (q_description, _dict_sql(r"""
 SELECT workbook, sheet, arg_min(trim(regexp_replace(value, '\s+', ' ', 'g')), [row_idx, col_idx])
   AS description

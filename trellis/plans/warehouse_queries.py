@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import warehouse as W
+from ..session import cut_lineage
 from ..sources import fixtures as X
 from . import oracle as O
 
@@ -42,7 +43,13 @@ def _metrics(spark, d):
 
 
 def _c360(spark, d, dedup=False):
-    return W.customer_360(_fact(spark, d), _metrics(spark, d), dedup_categories=dedup)
+    """Fact and metrics from one scan of the order lines: the cleaned orders are
+    written once, cut to the columns that either reads."""
+    clean = cut_lineage(W.as_partition_types(_orders_clean(spark, d)).select(
+        *W.FACT_FROM_ORDER, *W.FACT_PARTITION), "orders_clean")
+    fact = W.sales_fact(clean, _customers_enriched(spark, d))
+    metrics = W.product_metrics(clean, _products_normalized(spark, d))
+    return W.customer_360(fact, metrics, dedup_categories=dedup)
 
 
 def _forecast(spark, d):
@@ -50,9 +57,9 @@ def _forecast(spark, d):
                                 AS_OF)
 
 
-def _churn(spark, d):
-    return W.churn_scores(W.given_churn(W.churn_features(_c360(spark, d), AS_OF)),
-                          scored_at=STAMP)
+def _churn(spark, d, c360=None):
+    c360 = _c360(spark, d) if c360 is None else c360
+    return W.churn_scores(W.given_churn(W.churn_features(c360, AS_OF)), scored_at=STAMP)
 
 
 def q_raw_orders(spark, d):
@@ -89,7 +96,8 @@ def q_p10(spark, d):
 
 
 def q_p12(spark, d):
-    return W.marketing_segments(_c360(spark, d), _churn(spark, d))
+    c360 = cut_lineage(_c360(spark, d), "customer_360")
+    return W.marketing_segments(c360, _churn(spark, d, c360))
 
 
 def q_f04_tiers(spark, d):
