@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.lineage import norm_job_name
 from ..operators import graph_ops as G
 from ..operators.lineage_graph import build_graph, export_graph, run_stats
-from ..sources.events import lineage_events
+from ..schemas import EVENT
+from ..session import scratch_path
+from ..sources.events import lineage_events, parse_events, read_events
+from ..streaming.ingest import write_event_files
 from . import oracle as O
 
 # Fixed request parameters of the registered lookups.
@@ -57,6 +60,53 @@ def q_export_nodes(spark, d):
     return export_graph(graph(spark, d))[0]
 
 
+def q_export_edges(spark, d):
+    return export_graph(graph(spark, d))[1]
+
+
+def q_list_datasets(spark, d):
+    return G.list_datasets(graph(spark, d))
+
+
+_EVENT_COLUMNS = ("eventTime AS event_time", "eventType AS event_type",
+                  "job.namespace AS namespace", "substring_index(job.name, '.', 1) AS job_name",
+                  "coalesce(size(inputs), 0) AS n_inputs",
+                  "coalesce(size(outputs), 0) AS n_outputs")
+
+
+def q_read_events(spark, d):
+    """The events written as NDJSON files and read back."""
+    path = scratch_path(spark, "ndjson")
+    write_event_files(lineage_events(spark, d), path)
+    return read_events(spark, path).selectExpr(*_EVENT_COLUMNS)
+
+
+def q_read_events_prefix(spark, d):
+    """The same files below two folders of a prefix, read recursively."""
+    path = scratch_path(spark, "ndjson")
+    events = lineage_events(spark, d)
+    even = F.pmod(F.xxhash64("eventTime", "job.name"), F.lit(2)) == 0
+    write_event_files(events.where(even), path + "/a/b")
+    write_event_files(events.where(~even), path + "/c")
+    return read_events(spark, path, recursive=True).selectExpr(*_EVENT_COLUMNS)
+
+
+def q_parse_events(spark, d):
+    """The events as JSON text rows, parsed."""
+    events = lineage_events(spark, d)
+    cols = [f.name for f in EVENT.fields if f.name != "_corrupt"]
+    lines = events.select(F.to_json(F.struct(*cols)).alias("value"))
+    return parse_events(lines).selectExpr(*_EVENT_COLUMNS)
+
+
+_EVENTS_SQL = O.sql("""
+SELECT event_time, ol_type AS event_type, 'shop' AS namespace, job_name,
+  CASE WHEN event_type IN ('view', 'click', 'purchase') THEN n_in ELSE 0 END AS n_inputs,
+  CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS n_outputs
+FROM (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS n_in
+      FROM lin_ev)""", "lin_ev")
+
+
 def q_sources(spark, d):
     return G.source_datasets(graph(spark, d)).select("key", "name", "namespace")
 
@@ -215,6 +265,13 @@ SELECT n.key, n.kind, n.name, n.namespace, false AS has_code,
   coalesce(d.format, '') AS format
 FROM lin_nodes n LEFT JOIN lin_datasets d ON d.key = n.key""", "lin_nodes", "lin_datasets",
                                                 "lin_cl")),
+    "s14_export_edges": (q_export_edges, O.sql(
+        "SELECT src AS source, dst AS target, relation FROM lin_edges", "lin_edges")),
+    "f08_list_datasets": (q_list_datasets, O.sql(
+        "SELECT key, namespace, name FROM lin_datasets", "lin_datasets")),
+    "s05_read_events": (q_read_events, _EVENTS_SQL),
+    "s06_read_events_prefix": (q_read_events_prefix, _EVENTS_SQL),
+    "x13_parse_events": (q_parse_events, _EVENTS_SQL),
     "j04_source_datasets": (q_sources, O.sql("SELECT key, name, namespace FROM lin_sources",
                                              "lin_sources")),
     "j05_terminal_datasets": (q_terminals, O.sql("""

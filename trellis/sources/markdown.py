@@ -10,10 +10,9 @@ from .tables import table
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``*.md`` under ``path`` as ``(path = file name, content)``,
+    """Every ``*.md`` of the folder ``path`` (not of its sub-folders) as ``(path = file name, content)``,
     one row per whole file."""
-    df = (spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true")
-          .text(path, wholetext=True))
+    df = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return df.select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("content"))
 
 
