@@ -91,6 +91,12 @@ def test_job_code_and_markdown_readers(spark):
         f.write("# t\n## s\nbody\n")
     code = {r.file_name: r.code for r in read_job_code(spark, base).collect()}
     assert code == {"job_a": "print(1)\nprint(2)\n"}
+    assert read_job_code(spark, base, recursive=False).count() == 0     # one folder only
+    with open(os.path.join(base, "job_b.py"), "w") as f:
+        f.write("pass\n")
+    assert [r.file_name for r in read_job_code(spark, base, recursive=False).collect()] == ["job_b"]
+    with open(os.path.join(base, "sub", "notes.md"), "w") as f:
+        f.write("# deeper\n")
     md = [tuple(r) for r in read_markdown(spark, base).collect()]
     assert md == [("notes.md", "# t\n## s\nbody\n")]
 

@@ -11,11 +11,15 @@ from ..session import is_missing_path
 from .tables import table
 
 
-def read_job_code(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``*.py`` under ``path`` (local folder or object-store
-    prefix) as ``(file_name without .py, code)``, one row per whole file."""
+def read_job_code(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """Every ``*.py`` as ``(file_name without .py, code)``, one row per whole
+    file: below the prefix ``path`` (S08), or with ``recursive=False`` in the
+    folder ``path`` itself (S07)."""
+    reader = spark.read.option("pathGlobFilter", "*.py")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
     try:
-        df = spark.read.option("pathGlobFilter", "*.py").text(path, wholetext=True)
+        df = reader.text(path, wholetext=True)
     except AnalysisException as e:
         if is_missing_path(e):
             return spark.createDataFrame([], JOB_CODE)
