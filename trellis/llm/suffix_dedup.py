@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import Cuts, partitions_of, slices, texts_of
 
-CHUNK = 1 << 19             # bytes hashed at once; positions in it fit 20 bits
+CHUNK = 1 << 18             # bytes hashed at once; positions in it fit 20 bits
 POSITION_BITS = np.uint64(20)
-SEGMENT = 24 << 20          # bytes of text in which a task finds its own repeats
-RUN_SUFFIXES = 150_000      # suffixes per sorted run
+SEGMENT = 12 << 20          # bytes of text in which a task finds its own repeats
+RUN_SUFFIXES = 60_000      # suffixes per sorted run
 BUCKET_ANCHORS = 1_000_000
 RANGE_SUFFIXES = 150_000
 NO_ID = -(1 << 63)          # a null doc_id comes before all others
@@ -360,24 +360,29 @@ def covered_windows(group: list[tuple], length: int) -> Iterator[tuple]:
     for _, right, left, doc, mark, s in group:
         first = whole.setdefault((left, right), (doc, s))
         if first == (doc, s):
-            parts.append((left + right, doc, mark, s))
+            parts.append((left + right, left, right, doc, mark, s))
         else:
             yield doc, mark, s, s + len(left) + len(right) - length
     if len(parts) < 2:
         return
-    seen: dict[bytes, tuple] = {}
-    for text, doc, mark, s in parts:
-        begin = None
-        for o in range(len(text) - length + 1):
-            at = (doc, s + o)
-            if seen.setdefault(text[o:o + length], at) != at:
-                if begin is None:
-                    begin = s + o
-            elif begin is not None:
-                yield doc, mark, begin, s + o - 1
-                begin = None
-        if begin is not None:
-            yield doc, mark, begin, s + len(text) - length
+    # equal windows reach equally far to the left of the anchor, so one reach is
+    # compared at a time: one window of each member is held, not all of them
+    covered = [0] * len(parts)
+    for reach in range(max(len(left) for _, left, *_ in parts) + 1):
+        seen: dict[bytes, tuple] = {}
+        for i, (text, left, _, doc, _, s) in enumerate(parts):
+            o = len(left) - reach
+            if 0 <= o <= len(text) - length:
+                at = (doc, s + o)
+                if seen.setdefault(text[o:o + length], at) != at:
+                    covered[i] |= 1 << o
+    for bits, (_, _, _, doc, mark, s) in zip(covered, parts):
+        o = 0
+        while bits >> o:
+            o += ((bits >> o) & -(bits >> o)).bit_length() - 1
+            n = ((~(bits >> o)) & ((bits >> o) + 1)).bit_length() - 1
+            yield doc, mark, s + o, s + o + n - 1
+            o += n
 
 
 def _merged(batches: Iterator[pa.RecordBatch], length: int):
