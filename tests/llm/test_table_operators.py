@@ -6,11 +6,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trellis.llm import embedding_dedup, exact_dedup, mixing, quality, toxicity
+from trellis.llm.common import Cuts
 from trellis.llm.labelled import fold
 from trellis.llm.queries import ORACLE_SQL, QUERIES
 
@@ -204,6 +206,65 @@ def test_nn_descent_finds_the_links_of_a_table(spark):
     assert len(got) == len(rows)
 
 
+def test_a_crowded_group_is_compared_whole():
+    x = np.eye(60, 64)
+    x[50] = x[40] + 0.05 * x[41]
+    batch = pa.RecordBatch.from_pydict({
+        "grp": np.zeros(60, np.int64), "node": np.arange(60), "vec": x.tolist(),
+        "fresh": np.ones(60, bool), "floor": np.full(60, -2.0), "dice": np.zeros(60, np.int64)})
+    got = [r for b in embedding_dedup._compared(iter([batch]), 12, 0.93) for r in b.to_pylist()]
+    assert {(r["v"], r["u"]) for r in got if r["sim"] >= 0.93} >= {(40, 50), (50, 40)}
+
+
+def clustered(seed):
+    """Vectors of two labels: a hot cluster, pairs among many others."""
+    rng = np.random.default_rng(seed)
+    hot = rng.standard_normal(48) + 0.12 * rng.standard_normal((700, 48))
+    base = rng.standard_normal((200, 48))
+    pairs = base[:60] + 0.1 * rng.standard_normal((60, 48))
+    data = np.vstack([hot, base, pairs]).astype(np.float32)
+    label = np.array([0] * 700 + [1] * 260)
+    unit = data / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    return [(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(data, label))], link
+
+
+def test_links_missed_by_all_rounds_are_found_by_whole_labels(spark, monkeypatch):
+    rows, link = clustered(5)
+    monkeypatch.setattr(embedding_dedup.NNDescent, "_compare", lambda self, members:
+                        spark.createDataFrame([], embedding_dedup._PAIRS))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(
+        vectors(spark, rows), retries=0).collect()}
+    assert [got[i]["n_links"] for i in range(len(rows))] == link.sum(axis=1).tolist()
+    assert all(got[i]["component_id"] == got[int(j)]["component_id"]
+               for i, j in zip(*np.nonzero(link)))
+
+
+def test_audit_sees_a_small_label_beside_a_hot_cluster(spark):
+    rows, link = clustered(6)
+    near = link.sum(axis=1)
+    near[700:] = 0
+    counts = spark.createDataFrame(
+        [(i, y, v, 1, int(n)) for (i, v, y), n in zip(rows, near)],
+        "node bigint, label int, vec array<float>, copies bigint, near bigint")
+    assert embedding_dedup.audit(counts, 0.93, 256) < 0.1
+
+
+def test_a_dense_cluster_keeps_no_list_of_all_its_links(spark):
+    rows, link = clustered(7)
+    nodes = spark.createDataFrame(
+        [(i, v, y, len(v)) for i, v, y in rows],
+        "node bigint, vec array<float>, label int, dim int")
+    descent = embedding_dedup.NNDescent(nodes, Cuts(spark, "test"), 0.93, 12)
+    descent.seed([0, 1])
+    descent.refine()
+    assert descent.graph.count() <= 12 * len(rows)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(
+        vectors(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == link.sum(axis=1).tolist()
+
+
 def judged(spark, name, label):
     labels = spark.read.parquet(f"{SF_LABELS}/labels.parquet")
     got = QUERIES[name](spark, SF_LABELS)

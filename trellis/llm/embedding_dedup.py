@@ -1,14 +1,20 @@
-"""Embedding near-duplicates by NN-descent.
+"""Embedding near-duplicates by NN-descent, with link counts by blocked tiles.
 
 Equal vectors of one label are one node.  Random hyperplane codes deal the
 nodes into small blocks whose members become first neighbours; then rounds of
-neighbours-of-neighbours joins refine the graph: every node compares the
+neighbours-of-neighbours joins refine the graph: every node compares all
 members of its list, of which at least one must be new, and offers each what
-beats the last place of its own list.  A list keeps ``width`` neighbours, and
-twice as many as its links once links fill it, so a link is never dropped.
-Rounds go on until no link is new; then an audit compares a sample of nodes
-with all vectors, and more rounds follow, from new hyperplanes, while its
-recall is below ``recall``.  Cosines are computed in double precision.
+beats the last place of its own list of ``width`` places.  A group gives the
+links that span it to the components, so a link that no list has room for still
+joins them, and no list of all links is stored.
+
+Links are then counted inside each component by tiles of two blocks of at most
+about TILE nodes, as partial sums per node.  A block's centre and radius decide
+by the triangle inequality of angles which tiles hold links only or none; the
+others are compared.  An audit holds the counts of sampled nodes against all
+vectors, per label and per degree class; while a class stays below ``recall``
+more rounds follow from new hyperplanes, and at last a pass of tiles over whole
+labels, which misses nothing.  Cosines are computed in double precision.
 """
 
 from __future__ import annotations
@@ -26,10 +32,11 @@ from .graphs import connected_components
 
 CODE_BITS = 20              # hyperplanes per table; a label uses as many as its size asks for
 BLOCK = 48                  # members that a block aims at
-SCAN_ROWS = 8               # members of a crowded list that one node compares with all others
-CROWDED = 48
+TILE = 512                  # nodes that a counting block aims at
+STRIPE = 64                 # blocks of one group that meet all others in one task
+MARGIN = 1e-6               # radians left to rounding before a tile is decided unseen
 
-_PAIRS = "v bigint, u bigint, sim double"
+_PAIRS = "v bigint, u bigint, sim double, spans boolean"
 
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,66 +83,79 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
+def _spanning(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends (i, j) of links that connect all that a symmetric matrix links."""
+    waits = link.any(axis=1)
+    ends = [np.zeros((2, 0), np.int64)]
+    while waits.any():
+        front = np.flatnonzero(waits)[:1]
+        waits[front] = False
+        while len(front):
+            found = np.flatnonzero(link[front].any(axis=0) & waits)
+            ends.append(np.stack([front[link[np.ix_(front, found)].argmax(axis=0)], found]))
+            waits[found] = False
+            front = found
+    i, j = np.concatenate(ends, axis=1)
+    return i, j
+
+
 def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: float):
-    """Pairs (v, u, sim) that each group's members offer each other.  Columns:
-    grp, node, vec, fresh (new in this list), floor (the sim to beat), dice."""
+    """What each group's members offer each other: pairs (v, u, sim) for v's
+    list, and the links that span the group (spans).  Columns: grp, node, vec,
+    fresh (new in this list), floor (the sim to beat)."""
     for table in _groups(batches):
         table = table.combine_chunks()
         key, node = table.column("grp").to_numpy(), table.column("node").to_numpy()
         fresh, floor = table.column("fresh").to_numpy(), table.column("floor").to_numpy()
-        dice = table.column("dice").to_numpy()
         flat, at = _vectors(table.column("vec").combine_chunks())
         edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        out_v, out_u, out_s, held = [], [], [], 0
+        out, held = [], 0
         for a, b in zip(edges[:-1], edges[1:]):
             n = b - a
             if n < 2:
                 continue
             x = _unit(flat[at[a]:at[b]].reshape(n, -1))
-            rows = np.arange(n)
-            if n > CROWDED:
-                rows = np.argsort(dice[a:b], kind="stable")[:SCAN_ROWS]
-            sims = x[rows] @ x.T
-            useful = fresh[a:b][None, :] | fresh[a:b][rows][:, None]
-            useful &= (sims > floor[a:b][rows][:, None]) | (sims >= threshold)
-            useful[np.arange(len(rows)), rows] = False
-            links = useful & (sims >= threshold)
-            if n > width + 1:           # of the others only the best few can enter a list
-                others = np.where(useful & ~links, sims, -2.0)
-                cut = -np.partition(-others, width, axis=1)[:, width][:, None]
-                useful = links | (others > cut)
+            sims = x @ x.T
+            new = fresh[a:b][None, :] | fresh[a:b][:, None]
+            np.fill_diagonal(new, False)
+            link = sims >= threshold
+            np.fill_diagonal(link, False)
+            if (link & new).any():
+                i, j = _spanning(link | link.T)
+                out.append((node[a + i], node[a + j], sims[i, j], np.ones(len(i), bool)))
+            useful = new & (sims > floor[a:b][:, None])
+            if n > width + 1:           # only the best few can enter a list
+                ranked = np.where(useful, sims, -2.0)
+                useful &= ranked >= -np.partition(-ranked, width - 1, axis=1)[:, width - 1][:, None]
             i, j = np.nonzero(useful)
-            v, u, s = node[a + rows[i]], node[a + j], sims[i, j]
-            i, j = np.nonzero(links)    # links count for both ends
-            out_v += [v, node[a + j]]
-            out_u += [u, node[a + rows[i]]]
-            out_s += [s, sims[i, j]]
-            held += len(v) + len(i)
+            out.append((node[a + i], node[a + j], sims[i, j], np.zeros(len(i), bool)))
+            held += len(i)
             if held > 100_000:
-                yield _pairs(out_v, out_u, out_s)
-                out_v, out_u, out_s, held = [], [], [], 0
-        if held:
-            yield _pairs(out_v, out_u, out_s)
+                yield _pairs(out)
+                out, held = [], 0
+        if out:
+            yield _pairs(out)
 
 
-def _pairs(v, u, s) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(v)), pa.array(np.concatenate(u)), pa.array(np.concatenate(s))],
-        names=["v", "u", "sim"])
+def _pairs(parts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)],
+                                      names=["v", "u", "sim", "spans"])
 
 
 class NNDescent:
-    """The neighbour graph (v, u, sim, fresh) of ``nodes`` (node, label, vec)."""
+    """The neighbour graph (v, u, sim, fresh) of ``nodes`` (node, label, vec),
+    and the links met so far that connect what any compared group linked."""
 
     def __init__(self, nodes: DataFrame, cuts: Cuts, threshold: float, width: int):
         self.nodes, self.cuts, self.threshold, self.width = nodes, cuts, threshold, width
         self.parts = partitions_of(nodes.sparkSession)
         self.graph: DataFrame | None = None
+        self.spans: DataFrame | None = None
         self.round = 0
 
     def _compare(self, members: DataFrame) -> DataFrame:
         width, threshold = self.width, self.threshold
-        return (members.select("grp", "node", "vec", "fresh", "floor", "dice")
+        return (members.select("grp", "node", "vec", "fresh", "floor")
                 .repartition(self.parts, "grp").sortWithinPartitions("grp")
                 .mapInArrow(lambda b: _compared(b, width, threshold), _PAIRS))
 
@@ -145,11 +165,9 @@ class NNDescent:
                  .mapInArrow(lambda b: _codes(b, tables), "node bigint, codes array<bigint>")
                  .select("node", F.posexplode("codes").alias("tab", "code")))
         sizes = self.nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-        bits = F.least(F.lit(CODE_BITS), F.greatest(
-            F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK)).cast("int")))
         placed = self.cuts.cut(
             self.nodes.select("node", "label", "dim")
-            .join(sizes.withColumn("bits", bits), ["label", "dim"]).join(coded, "node")
+            .join(sizes.withColumn("bits", _bits(BLOCK)), ["label", "dim"]).join(coded, "node")
             .select("node", "label", "dim", "tab",
                     F.expr(f"shiftright(code, {CODE_BITS} - bits)").alias("code")), "codes")
         buckets = self.cuts.cut(placed.groupBy("label", "dim", "tab", "code")
@@ -159,76 +177,216 @@ class NNDescent:
         members = (placed.join(buckets, ["label", "dim", "tab", "code"])
                    .select("node", F.xxhash64("label", "dim", "tab", "code", lot).alias("grp"))
                    .join(self.nodes.select("node", "vec"), "node")
-                   .withColumns({"fresh": F.lit(True), "floor": F.lit(-2.0),
-                                 "dice": F.lit(0).cast("bigint")}))
+                   .withColumns({"fresh": F.lit(True), "floor": F.lit(-2.0)}))
         self._merge(self._compare(members))
         self.cuts.drop(placed, buckets)
 
-    def _merge(self, found: DataFrame) -> None:
-        """Put offered pairs into the lists; lists keep all their links, and
-        ``width`` places or twice their links, whichever is more."""
-        offered = found.withColumn("known", F.lit(False))
+    def _merge(self, compared: DataFrame) -> None:
+        """Put offered pairs into the lists, and spanning links to the others."""
+        found = self.cuts.cut(compared, "found")
+        spans = found.where("spans").select(F.least("v", "u").alias("a"),
+                                            F.greatest("v", "u").alias("b"))
+        if self.spans is not None:
+            spans = spans.unionByName(self.spans)
+        spans = self.cuts.cut(spans.distinct(), "spans")
+        offered = found.where("NOT spans").select("v", "u", "sim", F.lit(False).alias("known"))
         if self.graph is not None:
             offered = offered.unionByName(
                 self.graph.select("v", "u", "sim", F.lit(True).alias("known")))
         one = offered.groupBy("v", "u").agg(F.max("sim").alias("sim"),
                                             F.max("known").alias("known"))
-        link = F.col("sim") >= self.threshold
-        ranked = one.withColumn("links", F.sum(link.cast("int")).over(W.partitionBy("v"))).withColumn(
-            "place", F.row_number().over(W.partitionBy("v").orderBy(F.desc("sim"), "u")))
-        kept = ranked.where(link | (F.col("place") <= F.greatest(
-            F.lit(self.width), 2 * F.col("links"))))
+        kept = one.withColumn("place", F.row_number().over(
+            W.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("place") <= self.width)
         graph = self.cuts.cut(kept.select("v", "u", "sim", (~F.col("known")).alias("fresh")),
                               "graph")
         if self.graph is not None:
-            self.cuts.drop(self.graph)
-        self.graph = graph
+            self.cuts.drop(self.graph, self.spans)
+        self.cuts.drop(found)
+        self.graph, self.spans = graph, spans
 
     def refine(self) -> int:
-        """One neighbours-of-neighbours round; the number of new links."""
+        """One neighbours-of-neighbours round; the number of new links in lists."""
         self.round += 1
         g, width = self.graph, self.width
         floors = g.groupBy("v").agg(
             F.when(F.count("*") >= width, F.min("sim")).otherwise(F.lit(-2.0)).alias("floor"))
-        # a list's owner is a neighbour of its members too; links stand in both
-        # lists already, other popular members meet a random part of their lists
-        popular = (g.where(F.col("sim") < self.threshold).groupBy("u")
-                   .agg(F.count("*").alias("lists")))
-        back = (g.where(F.col("sim") < self.threshold).join(popular, "u")
-                .where(F.pmod(F.xxhash64("v", "u", F.lit(self.round)), F.col("lists")) < 2 * width)
-                .select(F.col("u").alias("grp"), F.col("v").alias("node"), "fresh"))
-        members = (g.select(F.col("v").alias("grp"), F.col("u").alias("node"), "fresh")
-                   .unionByName(back).groupBy("grp", "node").agg(F.max("fresh").alias("fresh")))
+        # a list's owner is a neighbour of its members too; those who have a
+        # popular member in their lists meet its own list in lots
+        lots = g.groupBy(F.col("u").alias("grp")).agg(
+            F.ceil(F.count("*") / (2 * width)).alias("lots"))
+        own = (g.select(F.col("v").alias("grp"), F.col("u").alias("node"), "fresh")
+               .join(lots, "grp", "left")
+               .select("grp", "node", "fresh", F.explode(F.sequence(
+                   F.lit(0).cast("bigint"), F.coalesce("lots", F.lit(1)) - 1)).alias("lot")))
+        back = (g.select(F.col("u").alias("grp"), F.col("v").alias("node"), "fresh")
+                .join(lots, "grp").select("grp", "node", "fresh", F.pmod(
+                    F.xxhash64("node", "grp", F.lit(self.round)), F.col("lots")).alias("lot")))
+        members = (own.unionByName(back).groupBy("grp", "lot", "node")
+                   .agg(F.max("fresh").alias("fresh"))
+                   .select(F.xxhash64("grp", "lot").alias("grp"), "node", "fresh"))
         known = self.cuts.cut(
             self.nodes.select("node", "vec").join(floors.withColumnRenamed("v", "node"), "node",
                                                   "left")
             .select("node", "vec", F.coalesce("floor", F.lit(-2.0)).alias("floor")), "vectors")
-        found = self._compare(members.join(known, "node").withColumn(
-            "dice", F.xxhash64("grp", "node", F.lit(self.round))))
-        self._merge(found)
+        self._merge(self._compare(members.join(known, "node")))
         self.cuts.drop(known)
         return self.graph.where(F.col("fresh") & (F.col("sim") >= self.threshold)).count()
 
-    def links(self) -> DataFrame:
-        return self.graph.where(F.col("sim") >= self.threshold).select("v", "u")
-
-    def audit(self, sample: int) -> float:
-        """Recall of the links of at most ``sample`` nodes, chosen by hash,
-        against all vectors of their labels (1.0 where they have none)."""
-        asked = self.nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(sample)
-        rows = asked.select("node", "label", "vec").collect()
-        if not rows:
-            return 1.0
-        queries = [(r["node"], r["label"], r["vec"]) for r in rows]
-        threshold = self.threshold
-        true = self.nodes.select("node", "label", "vec").mapInArrow(
-            lambda b: _exact(b, queries, threshold), _PAIRS).select("v", "u")
-        ids = F.broadcast(self.nodes.sparkSession.createDataFrame(
-            [(q[0],) for q in queries], "v bigint"))
-        held = self.links().join(ids, "v").withColumn("held", F.lit(1))
-        got = true.join(held, ["v", "u"], "left").agg(
-            F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
-        return got[1] / got[0] if got[0] else 1.0
+
+def _bits(size: int):
+    """Bits of a code that cut ``n`` nodes to about ``size``."""
+    return F.least(F.lit(CODE_BITS), F.greatest(
+        F.lit(0), F.ceil(F.log2(F.col("n") / size)).cast("int")))
+
+
+def _spheres(batches: Iterator[pa.RecordBatch]):
+    """Centre and radius (angle) of each block of a stream sorted by grp."""
+    for table in _groups(batches):
+        table = table.combine_chunks()
+        key, team = table.column("grp").to_numpy(), table.column("team").to_numpy()
+        copies, node = table.column("copies").to_numpy(), table.column("node").to_numpy()
+        flat, at = _vectors(table.column("vec").combine_chunks())
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        out = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            x = _unit(flat[at[a]:at[b]].reshape(b - a, -1))
+            total = x.sum(axis=0)
+            centre = _unit((total if np.abs(total).max() > 1e-6 else x[0])[None, :])[0]
+            radius = np.arccos(np.clip(x @ centre, -1, 1)).max()
+            out.append((key[a], team[a], centre.tolist(), radius, copies[a:b].sum(), node[a]))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+            names=["block", "team", "centre", "radius", "copies", "first"])
+
+
+def _tiled(batches: Iterator[pa.RecordBatch], threshold: float, with_spans: bool):
+    """Of each tile (grp): how many rows the nodes of its first side link with
+    on the other (node, near), and the links that span it (node, other)."""
+    for table in _groups(batches):
+        table = table.combine_chunks()
+        key, node = table.column("grp").to_numpy(), table.column("node").to_numpy()
+        copies, side = table.column("copies").to_numpy(), table.column("side").to_numpy()
+        flat, at = _vectors(table.column("vec").combine_chunks())
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        for a, b in zip(edges[:-1], edges[1:]):
+            x = _unit(flat[at[a]:at[b]].reshape(b - a, -1))
+            one, two = np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1)
+            link = (x[one] @ x[two].T >= threshold) & (node[a + one][:, None] != node[a + two])
+            near = link @ copies[a + two]
+            v, n, u = [node[a + one]], [near], [np.full(len(one), -1)]
+            if with_spans and link.any():
+                both = np.zeros((b - a, b - a), bool)
+                both[np.ix_(one, two)] = link
+                i, j = _spanning(both | both.T)
+                v, n, u = v + [node[a + i]], n + [np.full(len(i), -1)], u + [node[a + j]]
+            near = np.concatenate(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(v)), pa.array(near, mask=near < 0),
+                 pa.array(np.concatenate(u), mask=near >= 0)], names=["node", "near", "other"])
+
+
+def count_links(nodes: DataFrame, cuts: Cuts, threshold: float,
+                with_spans: bool = False) -> DataFrame:
+    """(node, near, other) over ``nodes`` (node, vec, copies, team): rows with
+    ``near``, whose sum is the rows that a node links with inside its team, and
+    with ``with_spans`` links (node, other) that connect what the teams link."""
+    parts, c = partitions_of(nodes.sparkSession), F.col
+    coded = (nodes.select("node", "vec")
+             .mapInArrow(lambda b: _codes(b, [0]), "node bigint, codes array<bigint>"))
+    sizes = nodes.groupBy("team").agg(F.count("*").alias("n")).withColumn("bits", _bits(TILE))
+    placed = cuts.cut(nodes.join(sizes, "team").join(coded, "node").select(
+        "node", "copies", "team", "vec",
+        F.expr(f"shiftright(codes[0], {CODE_BITS} - bits)").alias("cell")), "cells")
+    cells = placed.groupBy("team", "cell").agg(F.ceil(F.count("*") / TILE).alias("lots"))
+    dealt = cuts.cut(placed.join(cells, ["team", "cell"]).select(
+        "node", "copies", "vec", "team", F.xxhash64(
+            "team", "cell", F.pmod(F.xxhash64("node"), c("lots"))).alias("block")), "dealt")
+    blocks = cuts.cut(
+        dealt.withColumnRenamed("block", "grp").repartition(parts, "grp")
+        .sortWithinPartitions("grp").mapInArrow(
+            _spheres, "block bigint, team bigint, centre array<double>, radius double, "
+                      "copies bigint, first bigint"), "blocks")
+    stripes = blocks.groupBy("team").agg(F.ceil(F.count("*") / STRIPE).alias("stripes"))
+    striped = blocks.join(stripes, "team")
+    one = striped.select("team", F.pmod("block", c("stripes")).alias("stripe"),
+                         *[c(x).alias(f"{x}_1") for x in ("block", "centre", "radius", "first")])
+    two = striped.select("team", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), c("stripes") - 1)).alias("stripe"),
+        *[c(x).alias(f"{x}_2") for x in ("block", "centre", "radius", "first", "copies")])
+    cosine = F.aggregate(F.zip_with("centre_1", "centre_2", lambda x, y: x * y), F.lit(0.0),
+                         lambda x, y: x + y)
+    angle, reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))), float(
+        np.arccos(threshold))
+    tiles = cuts.cut(
+        one.join(two, ["team", "stripe"]).withColumn("angle", angle)
+        .withColumn("spread", c("radius_1") + c("radius_2"))
+        .where(c("angle") <= reach + c("spread") + MARGIN)
+        .select("block_1", "block_2", "first_1", "first_2", "copies_2",
+                (c("angle") + c("spread") <= reach - MARGIN).alias("whole")), "tiles")
+    compared = tiles.where("NOT whole").select(
+        F.xxhash64("block_1", "block_2").alias("grp"), F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), c("block_1").alias("block")),
+            F.struct(F.lit(1).alias("side"), c("block_2").alias("block")))).alias("s"))
+    counted = (compared.select("grp", "s.side", "s.block").join(dealt, "block")
+               .select("grp", "side", "node", "copies", "vec")
+               .repartition(parts, "grp").sortWithinPartitions("grp")
+               .mapInArrow(lambda b: _tiled(b, threshold, with_spans),
+                           "node bigint, near bigint, other bigint"))
+    nil = F.lit(None).cast("bigint")
+    sure = tiles.where("whole")
+    inside = sure.groupBy(c("block_1").alias("block")).agg(
+        F.sum("copies_2").alias("near"), F.max(c("block_1") == c("block_2")).alias("own"))
+    counted = counted.unionByName(dealt.join(inside, "block").select(
+        "node", (c("near") - F.when(c("own"), c("copies")).otherwise(0)).alias("near"),
+        nil.alias("other")))
+    if with_spans:
+        hub = sure.select(c("block_2").alias("block"), c("first_1").alias("node"))
+        counted = counted.unionByName(dealt.select("block", c("node").alias("other")).join(
+            hub, "block").where("node <> other").select("node", nil.alias("near"), "other"))
+    out = cuts.cut(counted, "counted")
+    cuts.drop(placed, dealt, blocks, tiles)
+    return out
+
+
+def _asked(counts: DataFrame, sample: int) -> list:
+    """About ``sample`` nodes, as many of each label and degree class as of any
+    other, with the nodes each stands for."""
+    kind = ["label", "class"]
+    ranked = (counts.withColumn("class", F.ceil(F.log2(F.col("near") + 1)))
+              .withColumn("place", F.row_number().over(
+                  W.partitionBy(*kind).orderBy(F.xxhash64("node", F.lit(11)), "node")))
+              .where(F.col("place") <= sample))
+    rows = (ranked.orderBy("place", F.xxhash64("node", F.lit(11)), "node").limit(sample)
+            .select("node", "label", "vec", "near", "class").collect())
+    sizes = {(r["label"], r["class"]): r["count"] for r in
+             counts.withColumn("class", F.ceil(F.log2(F.col("near") + 1))).groupBy(*kind).count()
+             .collect()}
+    drawn: dict[tuple, int] = {}
+    for r in rows:
+        drawn[r["label"], r["class"]] = drawn.get((r["label"], r["class"]), 0) + 1
+    return [(r["node"], r["label"], r["vec"], r["near"],
+             sizes[r["label"], r["class"]] / drawn[r["label"], r["class"]]) for r in rows]
+
+
+def audit(counts: DataFrame, threshold: float, sample: int) -> float:
+    """The least recall of any label or true degree class: the mean, over the
+    nodes with links that a sample of ``counts`` (node, label, vec, copies,
+    near) stands for, of the part of a node's links that was counted."""
+    asked = _asked(counts, sample)
+    queries = [q[:3] for q in asked]
+    true = {r["v"]: r["n"] for r in counts.select("node", "label", "vec", "copies").mapInArrow(
+        lambda b: _exact(b, queries, threshold), "v bigint, n bigint")
+        .groupBy("v").agg(F.sum("n").alias("n")).collect()}
+    sums: dict[tuple, list] = {}
+    for node, label, _, near, weight in asked:
+        n = true.get(node, 0)
+        if n:
+            for kind in (("label", label), ("links", n.bit_length())):
+                entry = sums.setdefault(kind, [0.0, 0.0])
+                entry[0] += weight * near / n
+                entry[1] += weight
+    return min((held / all_ for held, all_ in sums.values()), default=1.0)
 
 
 def _exact(batches: Iterator[pa.RecordBatch], queries, threshold: float):
@@ -237,19 +395,20 @@ def _exact(batches: Iterator[pa.RecordBatch], queries, threshold: float):
         by_kind.setdefault((label, len(vec)), []).append((node, vec))
     for batch in slices(batches, 4096):
         flat, at = _vectors(batch.column("vec"))
-        node = batch.column("node").to_numpy()
-        label, dim = batch.column("label").to_pylist(), np.diff(at)
-        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
+        label, dim = np.array(batch.column("label").to_pylist(), object), np.diff(at)
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for (want, size), asked in by_kind.items():
-            rows = np.array([r for r in np.flatnonzero(dim == size) if label[r] == want], int)
+            rows = np.flatnonzero((dim == size) & (label == want))
             if len(rows):
                 x = _unit(np.stack([flat[at[r]:at[r] + size] for r in rows]))
                 sims = _unit(np.array([q[1] for q in asked], np.float64)) @ x.T
                 ids = np.array([q[0] for q in asked])
-                i, j = np.nonzero((sims >= threshold) & (ids[:, None] != node[rows][None, :]))
-                for held, values in zip(out, (ids[i], node[rows[j]], sims[i, j])):
-                    held.append(values)
-        yield _pairs(*out)
+                link = (sims >= threshold) & (ids[:, None] != node[rows][None, :])
+                out[0].append(ids)
+                out[1].append(link @ copies[rows])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
+                                         names=["v", "n"])
 
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -277,21 +436,32 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
                      .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
                      .withColumn("dim", F.size("vec")), "nodes")
     descent = NNDescent(nodes, cuts, threshold, width)
+
+    def counted(found: DataFrame) -> DataFrame:
+        near = (found.where("near IS NOT NULL").groupBy("node").agg(F.sum("near").alias("near")))
+        return nodes.join(near, "node", "left").select(
+            "node", "label", "vec", "copies", F.coalesce("near", F.lit(0)).alias("near"))
+
     for attempt in range(retries + 1):
         descent.seed(list(range(attempt * tables, (attempt + 1) * tables)))
         for _ in range(max_rounds):
             if not descent.refine():
                 break
-        if descent.audit(sample) >= recall:
+        parts = connected_components(descent.spans, cuts)
+        counts = cuts.cut(counted(count_links(
+            nodes.join(parts, "node").withColumnRenamed("component", "team"), cuts, threshold)),
+            "counts")
+        if audit(counts, threshold, sample) >= recall:
             break
-    links = cuts.cut(descent.links(), "links")
-    parts = connected_components(links.where("v < u").select(c("v").alias("a"), c("u").alias("b")),
-                                 cuts)
-    sizes = nodes.select(c("node").alias("u"), "copies")
-    near = links.join(sizes, "u").groupBy(c("v").alias("node")).agg(F.sum("copies").alias("near"))
+    else:
+        found = count_links(nodes.withColumn("team", F.xxhash64("label", "dim")), cuts, threshold,
+                            with_spans=True)
+        parts = connected_components(found.where("other IS NOT NULL").select(
+            c("node").alias("a"), c("other").alias("b")), cuts)
+        counts = cuts.cut(counted(found), "counts")
     facts = cuts.cut(
-        nodes.join(near, "node", "left").join(parts, "node", "left")
-        .select("label", "vec", (F.coalesce("near", F.lit(0)) + c("copies") - 1).alias("n_links"),
+        counts.join(parts, "node", "left")
+        .select("label", "vec", (c("near") + c("copies") - 1).alias("n_links"),
                 F.coalesce("component", "node").alias("component_id")), "facts")
     placed = (given.where("sound").join(facts, ["label", "vec"])
               .select("vec_id", "n_links", "component_id"))
