@@ -184,10 +184,12 @@ def upper_bound(a: Column, b: Column) -> Column:
     The matched characters form a common subsequence, so with T characters in
     both strings and M matched, at least T - 2M insertions and deletions turn
     one into the other; an edit distance counts a replacement once instead of
-    twice, so it is at most T - 2M, and 2M/T <= 1 - distance/T.
+    twice, so it is at most T - 2M, and 2M/T <= (T - distance)/T.  One division
+    of whole numbers, as the ratio itself is: rounding keeps their order, which
+    ``1 - distance/T`` does not.
     """
     total = F.length(a) + F.length(b)
-    return F.lit(1.0) - F.levenshtein(a, b) / total
+    return (total - F.levenshtein(a, b)) / total
 
 
 def match_fuzzy(jobs: DataFrame, idx: DataFrame,
