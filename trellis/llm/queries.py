@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from trellis.sources.tables import table
 
 from .bpe import encode_documents
+from .conversation_repair import repair_damaged
 from .embedding_dedup import near_duplicate_vectors
 from .exact_dedup import duplicate_groups
 from .mixing import mix_documents
 from .oracle_mixing import SQL as MIXING_SQL
+from .packing import pack_documents
 from .quality import score_quality
 from .simhash_dedup import near_duplicate_components
 from .suffix_dedup import remove_repeats
 from .token_counts import cleaning_edits, count_with_edits
 from .toxicity import score_toxicity
 from .url_filter import RULES, SOFT, STRICT, judge_urls
+from .vector_codes import compress_vectors
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+PACK_FILE = "byte_bpe_50k.json"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +80,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.path(RANK_FILE), with_ids=False)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences of 1024 ids."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_FILE))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's code under whole-number codebooks of 256 entries."""
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by its turns' hashes, repaired and digested."""
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +106,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
+    "op11_packing": op11_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
