@@ -34,19 +34,28 @@ from .common import Cuts, slices, texts_of
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_PIECES = 200_000      # pre-tokens per generation of a worker's memo; two are held
+CACHE_PIECES = 400_000      # pre-tokens per generation of a worker's memo; two are held
 
 
 # ------------------------------------------------------------------ tokens
 
 
+def byte_characters() -> dict[int, str]:
+    """Fixed rule of byte-level vocabularies: a printable byte is written as
+    itself, the others as the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Ids(dict):
     """Ids of pre-tokens as little-endian bytes, in two generations of bounded
-    size; the library encodes what is not held."""
+    size; the library's merges encode what is not held."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.old = tokenizer, {}
+        self.merges, self.characters = tokenizer.model, byte_characters()
 
     def of(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -55,9 +64,11 @@ class Ids(dict):
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            found = self.of(piece)
+            written = piece.encode().decode("latin-1").translate(self.characters)
+            ids = [token.id for token in self.merges.tokenize(written)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
+            self.old = self.copy()
             self.clear()
         self[piece] = found
         return found
