@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_cut
 from .lineage_graph import LineageGraph
 
 MAX_DEPTH = 6
@@ -262,10 +262,71 @@ def impact(g: LineageGraph, roots: DataFrame, max_depth: int | None = MAX_DEPTH)
                     .alias("truncated")))
 
 
-def impact_named(g: LineageGraph, roots: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+def reach(g: LineageGraph, limit: int | None = None) -> DataFrame:
+    """``(root_key, node_key, depth)`` for every dataset and all it leads to, at
+    the least depth (``limit`` at most), by path doubling.
+
+    A round starts from all pairs up to ``step`` apart.  A shortest path of
+    ``step + 1`` to ``2 * step`` edges has a node exactly ``step`` from its
+    start, so joining the pairs of that distance with all pairs finds every
+    one of them, and the least sum is its length.  The rounds are the logarithm
+    of the greatest depth (two more at most), and cycles end by themselves: a
+    pair never returns.  Edges lead from datasets to jobs and back, so after
+    the first round only datasets start a path that can be continued.  Keys
+    travel as numbers; each round is written once and replaces the last.
+    """
+    nodes = cut_lineage(g.nodes.select("key", (F.col("kind") == "dataset").alias("_ds"))
+                        .withColumn("id", F.monotonically_increasing_id()), "reach_nodes")
+    ids = nodes.select("key", "id")
+    pairs = cut_lineage(
+        g.edges.join(ids.withColumnsRenamed({"key": "src", "id": "a"}), "src")
+        .join(ids.withColumnsRenamed({"key": "dst", "id": "b"}), "dst")
+        .where("a <> b").select("a", "b", F.lit(1).alias("dist")).distinct(), "reach")
+    step = 1
+    while ((limit is None or step < limit)
+           and not (tips := pairs.where(F.col("dist") == step)).isEmpty()):
+        onward = pairs.select(F.col("a").alias("mid"), F.col("b").alias("c"),
+                              (F.col("dist") + step).alias("dist"))
+        longer = (tips.select("a", F.col("b").alias("mid")).join(onward, "mid")
+                  .where("a <> c").select("a", F.col("c").alias("b"), "dist"))
+        if limit is not None:
+            longer = longer.where(F.col("dist") <= limit)
+        least = pairs.unionByName(longer).groupBy("a", "b").agg(F.min("dist").alias("dist"))
+        if step == 1:
+            least = least.join(nodes.where("_ds").select(F.col("id").alias("a")), "a", "left_semi")
+        done, pairs = pairs, cut_lineage(least, "reach")
+        drop_cut(done)
+        step *= 2
+    return (pairs.join(nodes.where("_ds").select(F.col("key").alias("root_key"),
+                                                 F.col("id").alias("a")), "a")
+            .join(ids.select(F.col("key").alias("node_key"), F.col("id").alias("b")), "b")
+            .select("root_key", "node_key", F.col("dist").alias("depth")))
+
+
+def impact_of_all(g: LineageGraph, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The rows of ``impact`` with every dataset as root, by path doubling
+    one level beyond the cap, where the truncated walks show."""
+    pairs = reach(g, max_depth + 1)
+    beyond = pairs.where(F.col("depth") == max_depth + 1).select(
+        "root_key", F.col("node_key").alias("dst"))
+    cut_at = (beyond.join(g.edges.select("src", "dst"), "dst")
+              .select("root_key", F.col("src").alias("node_key"),
+                      F.lit(max_depth).alias("depth")).distinct()
+              .withColumn("_more", F.lit(True)))
+    return (pairs.where(F.col("depth") <= max_depth)
+            .join(cut_at, ["root_key", "node_key", "depth"], "left")
+            .select("root_key", "node_key", "depth",
+                    F.coalesce("_more", F.lit(False)).alias("truncated")))
+
+
+def with_names(g: LineageGraph, rows: DataFrame) -> DataFrame:
     """Impact rows with the reached node's kind and name."""
-    n = g.nodes.select(F.col("key").alias("node_key"), "kind", "name")
-    return impact(g, roots, max_depth).join(n, "node_key")
+    return rows.join(g.nodes.select(F.col("key").alias("node_key"), "kind", "name"), "node_key")
+
+
+def impact_named(g: LineageGraph, roots: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """Impact rows of the roots with the reached node's kind and name."""
+    return with_names(g, impact(g, roots, max_depth))
 
 
 def impact_by_name(g: LineageGraph, name: str, ns: str | None = None,
@@ -284,8 +345,12 @@ def impact_layers(impact_rows: DataFrame) -> DataFrame:
 
 def transitive_chain(g: LineageGraph, max_depth: int | None = None) -> DataFrame:
     """The documented transitive chain: impact of every source dataset,
-    followed to its end unless ``max_depth`` stops it."""
-    return impact_named(g, source_datasets(g).select("key"), max_depth)
+    followed to its end (by path doubling) unless ``max_depth`` stops it."""
+    sources = source_datasets(g).select("key")
+    if max_depth is not None:
+        return impact_named(g, sources, max_depth)
+    rows = reach(g).join(sources.select(F.col("key").alias("root_key")), "root_key", "left_semi")
+    return with_names(g, rows.withColumn("truncated", F.lit(False)))
 
 
 def dataset_schema(g: LineageGraph, name: str, ns: str | None = None) -> DataFrame:

@@ -164,7 +164,7 @@ def q_impact_contains(spark, d):
 
 def q_impact_all(spark, d):
     g = graph(spark, d)
-    return G.impact_named(g, g.datasets.select("key")).select(
+    return G.with_names(g, G.impact_of_all(g)).select(
         "root_key", "node_key", "depth", "kind", "name", "truncated")
 
 
@@ -177,7 +177,8 @@ def q_impact_layers(spark, d):
 
 def q_transitive(spark, d):
     """All nodes downstream of every source dataset, to the end of the chains."""
-    return G.transitive_chain(graph(spark, d)).select("root_key", "node_key", "kind", "name")
+    return G.transitive_chain(graph(spark, d)).select("root_key", "node_key", "depth", "kind",
+                                                      "name")
 
 
 def q_trace(spark, d):
@@ -338,13 +339,16 @@ SELECT i.root_key, i.depth,
 FROM impact i JOIN lin_nodes n ON n.key = i.node_key GROUP BY i.root_key, i.depth""")),
     "g05_impact_all": (q_impact_all, O.impact_sql("SELECT key FROM lin_datasets")),
     "g07_transitive_chain": (q_transitive, O.sql("""
-SELECT w.root_key, w.node_key, n.kind, n.name
-FROM walk w JOIN lin_nodes n ON n.key = w.node_key WHERE w.node_key <> w.root_key""",
+SELECT w.root_key, w.node_key, CAST(min(w.d) AS INTEGER) AS depth, any_value(n.kind) AS kind,
+       any_value(n.name) AS name
+FROM walk w JOIN lin_nodes n ON n.key = w.node_key WHERE w.node_key <> w.root_key
+GROUP BY w.root_key, w.node_key""",
         "lin_datasets", "lin_edges", "lin_nodes", "lin_sources", extra=(
-            ("walk(root_key, node_key)", """
-  SELECT key, key FROM lin_sources
+            ("walk(root_key, node_key, d)", """
+  SELECT key, key, 0 FROM lin_sources
   UNION
-  SELECT w.root_key, e.dst FROM walk w JOIN lin_edges e ON e.src = w.node_key"""),),
+  SELECT w.root_key, e.dst, w.d + 1 FROM walk w JOIN lin_edges e ON e.src = w.node_key
+  WHERE w.d < (SELECT count(*) FROM lin_nodes)"""),),
         recursive=True)),
     "g08_column_trace": (q_trace, O.sql("""
 SELECT root_key, root_field, ldataset AS dataset, field, CAST(min(d) AS INTEGER) AS depth

@@ -3,12 +3,13 @@ T01, T02, P13, G09)."""
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import warehouse as W
+from ..operators.chunks import L_CODE
 from ..operators.tools import run_tool
 from ..session import scratch_path
 from ..sources import fixtures as X
@@ -20,6 +21,9 @@ from .graph_queries import QUERIES as GQ
 from .graph_queries import FIELD, ROOT_NAME, ROOT_NS, SCHEMA_NAME, graph
 from .warehouse_queries import AS_OF, QUERIES as WQ, STAMP, _c360, _metrics
 
+#: The end of a job's document that holds its code (matched names have no SQL form).
+CODE_TAIL = "(?s)\n" + re.escape(L_CODE) + ".*"
+
 
 def q_churn_model(spark, d):
     feats = W.churn_features(_c360(spark, d), AS_OF)
@@ -37,14 +41,34 @@ def q_demand_model(spark, d):
     return W.inventory_forecast(M.score_demand(M.load(path), feats), AS_OF)
 
 
-def q_stream_ingest(spark, d):
+def _streamed_graph(spark, d):
     src = scratch_path(spark, "events")
-    S.write_event_files(lineage_events(spark, d), src, files=4)
+    S.write_event_files(lineage_events(spark, d), src)
     store, ck = scratch_path(spark, "graph_store"), scratch_path(spark, "stream_ckpt")
-    S.stream_ingest(spark, src, store, ck, max_files_per_trigger=1)
-    g = S.latest_graph(spark, store)
-    return g.datasets.select("key", "namespace", "name", "format",
-                             F.array_join("schema", ", ").alias("schema"), "last_seen")
+    S.stream_ingest(spark, src, store, ck, max_files_per_trigger=4)
+    return S.stored_graph(spark, store)
+
+
+def q_stream_ingest(spark, d):
+    return _streamed_graph(spark, d).datasets.select(
+        "key", "namespace", "name", "format", F.array_join("schema", ", ").alias("schema"),
+        "last_seen")
+
+
+def q_stream_graph(spark, d):
+    """The other four tables of the streamed graph, as (table, a, b, c, detail)."""
+    g = _streamed_graph(spark, d)
+    none = F.lit(None).cast("string")
+
+    def rows(name, df, a, b, c, detail):
+        return df.select(F.lit(name).alias("table"), F.col(a).alias("a"), F.col(b).alias("b"),
+                         F.col(c).alias("c"), detail.alias("detail"))
+
+    return (rows("jobs", g.jobs, "key", "namespace", "name", none)
+            .unionByName(rows("edges", g.edges, "src", "dst", "relation", none))
+            .unionByName(rows("runs", g.runs, "job_key", "event_type", "event_time", none))
+            .unionByName(rows("column_lineage", g.column_lineage, "dataset_key", "out_field",
+                              "src_table", F.concat_ws("|", "src_field", "type", "subtype"))))
 
 
 def q_stream_run_stats(spark, d):
@@ -66,11 +90,18 @@ def q_warehouse_dag(spark, d):
 
 
 def q_sync(spark, d):
+    """The stored index after a sync of events, then of events, code and
+    markdown: the chunks as stored, a job's document without its code."""
     from ..sources.code import job_code_files
     from ..sources.markdown import markdown_files
     from .sync import sync
-    return sync(spark, lineage_events(spark, d), job_code_files(spark, d),
-                markdown_files(spark, d), scratch_path(spark, "index_store"))
+    store = scratch_path(spark, "index_store")
+    events = lineage_events(spark, d)
+    sync(spark, events, None, None, store)
+    _, index, _ = sync(spark, events, job_code_files(spark, d), markdown_files(spark, d), store)
+    text = F.when(F.col("kind") == "job", F.regexp_replace("document", CODE_TAIL, "")).otherwise(
+        F.col("document"))
+    return index.withColumn("document", text)
 
 
 def q_dataset_schema(spark, d):
@@ -105,6 +136,14 @@ QUERIES = {
     "m01_churn_model": (q_churn_model, None),
     "m02_demand_model": (q_demand_model, None),
     "t01_stream_ingest": (q_stream_ingest, GQ["g01_graph_datasets"][1]),
+    "t01_stream_graph": (q_stream_graph, O.sql("""
+SELECT 'jobs' AS "table", key AS a, namespace AS b, name AS c, NULL::VARCHAR AS detail
+FROM lin_jobs
+UNION ALL SELECT 'edges', src, dst, relation, NULL FROM lin_edges
+UNION ALL SELECT 'runs', job_key, event_type, event_time, NULL FROM lin_runs
+UNION ALL SELECT 'column_lineage', dataset_key, out_field, src_table,
+                 concat_ws('|', src_field, type, subtype) FROM lin_cl""",
+                                               "lin_jobs", "lin_edges", "lin_runs", "lin_cl")),
     "t02_stream_run_stats": (q_stream_run_stats, GQ["a04_run_stats"][1]),
     "p13_warehouse_dag": (q_warehouse_dag, WQ["p12_marketing_segments"][1]),
     "g09_dataset_schema": (q_dataset_schema, O.sql(f"""
@@ -120,5 +159,5 @@ FROM (SELECT * FROM lin_datasets WHERE contains(lower(name), '{SCHEMA_NAME}')
     "m04_tool_search_field": (q_tool_search_field, GQ["f11_search_field"][1]),
     "m04_tool_find_jobs": (q_tool_find_jobs, GQ["j07_find_jobs"][1]),
     "m04_tool_job_code": (q_tool_job_code, None),
-    "g15_sync": (q_sync, CQ["a09_graph_stats_chunks"][1]),
+    "g15_sync": (q_sync, CQ["r05_build_index"][1]),
 }

@@ -1,66 +1,43 @@
-"""Sync -- events, job code and markdown into graph tables and a
-versioned chunk index, reporting counts.
+"""Sync -- events, job code and markdown into the graph and a stored chunk
+index.
 
-The index store keeps one folder per version (``v=<n>``) plus a marker per
-finished version; readers take the newest marked version, so a failed or
-replayed sync never exposes a half-written index.  Each new version is the
-previous one upserted with the fresh chunks (stale ids stay, as in the
-reference).
+The index is a table kept by chunk id (``sources.keyed``).  A sync replaces the
+chunks that changed and leaves all others, so it rewrites only the buckets of
+changed ids; ids that are no longer built stay, as in the reference.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunks import build_chunks, upsert
+from ..operators.chunks import build_chunks
 from ..operators.codematch import match_code
 from ..operators.graph_ops import graph_stats
-from ..operators.lineage_graph import build_graph
-from ..session import is_missing_path
-
-
-def index_versions(spark: SparkSession, store: str) -> list[int]:
-    try:
-        rows = (spark.read.text(os.path.join(store, "_versions"))
-                .select(F.col("value").cast("long")).distinct().collect())
-    except AnalysisException as e:
-        if is_missing_path(e):          # no version yet
-            return []
-        raise
-    return sorted(r[0] for r in rows)
-
+from ..operators.lineage_graph import LineageGraph, build_graph
+from ..sources.keyed import KeyedTable
 
-def read_index(spark: SparkSession, store: str) -> DataFrame | None:
-    vs = index_versions(spark, store)
-    if not vs:
-        return None
-    return spark.read.parquet(os.path.join(store, f"v={vs[-1]:010d}"))
 
-
-def write_index(spark: SparkSession, chunks: DataFrame, store: str) -> int:
-    vs = index_versions(spark, store)
-    v = (vs[-1] + 1) if vs else 0
-    chunks.write.mode("overwrite").parquet(os.path.join(store, f"v={v:010d}"))
-    spark.createDataFrame([(str(v),)], "value string").write.mode("overwrite").text(
-        os.path.join(store, "_versions", f"m={v:010d}"))
-    return v
+def index_table(spark: SparkSession, store: str, buckets: int = 64) -> KeyedTable:
+    """The stored chunk index."""
+    return KeyedTable(spark, store, ["id"], buckets)
 
 
 def sync(spark: SparkSession, events: DataFrame, code: DataFrame | None,
-         markdown: DataFrame | None, store: str) -> DataFrame:
-    """Build the graph, attach code (G14), build chunks (R05), upsert them
-    into the index store (S12) and return the counts (A09)."""
+         markdown: DataFrame | None, store: str,
+         buckets: int = 64) -> tuple[LineageGraph, DataFrame, list[int]]:
+    """Build the graph, attach code (G14), build chunks (R05) and upsert them
+    (S12): the graph, the stored index and the buckets that were rewritten."""
     g = build_graph(events, materialize=True)
     job_code = None
     if code is not None:
         job_code = (match_code(g.jobs, code).filter(F.col("code").isNotNull())
                     .select("job_key", "code"))
-    chunks = build_chunks(g, job_code=job_code, markdown=markdown)
-    prev = read_index(spark, store)
-    index = upsert(prev, chunks) if prev is not None else chunks
-    v = write_index(spark, index, store)
-    return graph_stats(g, spark.read.parquet(os.path.join(store, f"v={v:010d}")))
+    index = index_table(spark, store, buckets)
+    touched = index.replace(build_chunks(g, job_code=job_code, markdown=markdown))
+    return g, index.read(), touched
+
+
+def sync_counts(g: LineageGraph, index: DataFrame) -> DataFrame:
+    """The counts that a sync reports."""
+    return graph_stats(g, index)

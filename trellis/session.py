@@ -74,6 +74,15 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete the written table of a ``cut_lineage`` that no later plan reads."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(conf).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)

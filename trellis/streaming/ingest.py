@@ -1,41 +1,36 @@
 """Near-real-time ingest of lineage events.
 
 ``stream_ingest`` reads new NDJSON event files with Structured Streaming and,
-per micro-batch, merges the batch's graph into the stored graph.  Every
-aggregate of the graph is mergeable (first/last by order, distinct sets), so
-``merge(stored, build(batch))`` equals ``build(all events)``.  Each batch
-writes its own version folder ``v=<batch id>`` and then a version marker; a
-replayed batch rewrites only its own version, so replays are idempotent and
-readers only see versions whose marker exists.
+per micro-batch, merges the batch's graph into the stored graph.  The five graph
+tables are kept by key (``sources.keyed``), and every aggregate of the graph is
+mergeable (first/last by order, distinct sets), so a batch reads and rewrites
+only the buckets of the keys it mentions, merging is idempotent for a replayed
+batch, and the stored graph equals ``build(all events)`` for any split of the
+events into files and batches.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lineage_graph import LineageGraph, build_graph, run_stats
+from ..operators.lineage_graph import (LineageGraph, build_graph, build_runs, clean_events,
+                                       run_stats)
 from ..schemas import EVENT
-from ..session import is_missing_path
+from ..sources.keyed import KeyedTable
 
-TABLES = ("datasets", "jobs", "edges", "runs", "column_lineage")
 
-
-def write_event_files(events: DataFrame, path: str, files: int | None = None) -> None:
-    """Write events as NDJSON files (the shape a lineage listener emits), one per
-    partition unless ``files`` names a number."""
+def write_event_files(events: DataFrame, path: str) -> None:
+    """Write events as NDJSON files (the shape a lineage listener emits), one
+    per partition."""
     cols = [f.name for f in EVENT.fields if f.name != "_corrupt"]
-    events = events.select(*cols)
-    (events.repartition(files) if files else events).write.mode("overwrite").json(path)
+    events.select(*cols).write.mode("overwrite").json(path)
 
 
-def merge_graph(a: LineageGraph, b: LineageGraph) -> LineageGraph:
-    """Union two graphs and re-apply the graph aggregates."""
-    d = a.datasets.unionByName(b.datasets)
-    datasets = (d.groupBy("key").agg(
+def _merge_datasets(d: DataFrame) -> DataFrame:
+    return (d.groupBy("key").agg(
         F.min_by(F.struct("namespace", "name"), "first_ord").alias("id"),
         F.max_by("format", "last_ord").alias("format"),
         F.max_by("schema", "schema_ord").alias("schema"),
@@ -46,76 +41,86 @@ def merge_graph(a: LineageGraph, b: LineageGraph) -> LineageGraph:
         .select("key", "id.namespace", "id.name", "format",
                 F.coalesce("schema", F.array().cast("array<string>")).alias("schema"),
                 "last_seen", "first_ord", "last_ord", "schema_ord"))
-    j = a.jobs.unionByName(b.jobs)
-    jobs = (j.groupBy("key").agg(F.min_by(F.struct("namespace", "name"), "first_ord").alias("id"),
+
+
+def _merge_jobs(j: DataFrame) -> DataFrame:
+    return (j.groupBy("key").agg(F.min_by(F.struct("namespace", "name"), "first_ord").alias("id"),
                                  F.min("first_ord").alias("first_ord"))
             .select("key", "id.namespace", "id.name", "first_ord"))
-    edges = a.edges.unionByName(b.edges).distinct()
-    runs = a.runs.unionByName(b.runs).dropDuplicates(
-        ["job_key", "event_type", "event_time", "source_file", "seq"])
-    cl = a.column_lineage.unionByName(b.column_lineage)
-    column_lineage = (cl.groupBy("dataset_key", "out_field", "src_table", "src_field")
-                      .agg(F.min_by(F.struct("src_key", "type", "subtype"), "src_ord").alias("a"),
-                           F.min("field_ord").alias("field_ord"),
-                           F.min("src_ord").alias("src_ord"))
-                      .select("dataset_key", "out_field", "src_table", "src_field", "a.src_key",
-                              "a.type", "a.subtype", "field_ord", "src_ord"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("dataset_key", "out_field")
-    column_lineage = column_lineage.withColumn("field_ord", F.min("field_ord").over(w))
-    return LineageGraph(datasets, jobs, edges, runs, column_lineage)
 
 
-def write_graph(g: LineageGraph, path: str) -> None:
-    for name in TABLES:
-        getattr(g, name).write.mode("overwrite").parquet(os.path.join(path, name))
+def _merge_edges(e: DataFrame) -> DataFrame:
+    return e.select("src", "dst", "relation").distinct()
+
+
+RUN_ID = ["job_key", "event_type", "event_time", "source_file", "seq"]
+
+
+def _merge_runs(r: DataFrame) -> DataFrame:
+    return r.dropDuplicates(RUN_ID)
+
+
+def _merge_column_lineage(cl: DataFrame) -> DataFrame:
+    rows = (cl.groupBy("dataset_key", "out_field", "src_table", "src_field")
+            .agg(F.min_by(F.struct("src_key", "type", "subtype"), "src_ord").alias("a"),
+                 F.min("field_ord").alias("field_ord"), F.min("src_ord").alias("src_ord"))
+            .select("dataset_key", "out_field", "src_table", "src_field", "a.src_key",
+                    "a.type", "a.subtype", "field_ord", "src_ord"))
+    field = Window.partitionBy("dataset_key", "out_field")
+    return rows.withColumn("field_ord", F.min("field_ord").over(field))
 
 
-def read_graph(spark: SparkSession, path: str) -> LineageGraph:
-    return LineageGraph(*(spark.read.parquet(os.path.join(path, n)) for n in TABLES))
+#: Graph table -> (key of its buckets, merge of stored and new rows).
+MERGES = {
+    "datasets": (["key"], _merge_datasets),
+    "jobs": (["key"], _merge_jobs),
+    "edges": (["src", "dst", "relation"], _merge_edges),
+    "runs": (RUN_ID, _merge_runs),
+    "column_lineage": (["dataset_key", "out_field"], _merge_column_lineage),
+}
 
 
-def _versions(spark: SparkSession, store: str) -> list[int]:
-    marks = os.path.join(store, "_versions")
-    try:
-        rows = spark.read.text(marks).select(F.col("value").cast("long")).distinct().collect()
-    except AnalysisException as e:
-        if is_missing_path(e):          # no version yet
-            return []
-        raise
-    return sorted(r[0] for r in rows)
+def graph_tables(spark: SparkSession, store: str, buckets: int = 16) -> dict[str, KeyedTable]:
+    """The five graph tables of a store, each kept by its key."""
+    return {name: KeyedTable(spark, os.path.join(store, name), key, buckets)
+            for name, (key, _) in MERGES.items()}
 
 
-def latest_graph(spark: SparkSession, store: str, before: int | None = None):
-    vs = [v for v in _versions(spark, store) if before is None or v < before]
-    if not vs:
-        return None
-    return read_graph(spark, os.path.join(store, f"v={vs[-1]:010d}"))
+def merge_into_store(spark: SparkSession, g: LineageGraph, store: str,
+                     buckets: int = 16) -> dict[str, list[int]]:
+    """Merge a graph into the stored one; the buckets rewritten, by table."""
+    return {name: kept.merge(getattr(g, name), MERGES[name][1])
+            for name, kept in graph_tables(spark, store, buckets).items()}
+
+
+def stored_graph(spark: SparkSession, store: str, buckets: int = 16) -> LineageGraph | None:
+    """The stored graph, or None before the first batch."""
+    tables = {n: t.read() for n, t in graph_tables(spark, store, buckets).items()}
+    return None if tables["jobs"] is None else LineageGraph(**tables)
+
+
+def event_stream(spark: SparkSession, src: str, max_files_per_trigger: int) -> DataFrame:
+    """New event files under ``src``, with the file of every row."""
+    return (spark.readStream.schema(EVENT)
+            .option("maxFilesPerTrigger", max_files_per_trigger)
+            .option("columnNameOfCorruptRecord", "_corrupt")
+            .json(src)
+            .select("*", F.col("_metadata.file_path").alias("source_file")))
 
 
 def stream_ingest(spark: SparkSession, src: str, store: str, checkpoint: str,
-                  max_files_per_trigger: int = 1, available_now: bool = True):
-    """Ingest event files under ``src`` into the versioned graph store.
+                  max_files_per_trigger: int = 1000, available_now: bool = True,
+                  buckets: int = 16):
+    """Ingest event files under ``src`` into the stored graph.
 
     Returns the streaming query (already finished when ``available_now``).
     """
-    stream = (spark.readStream.schema(EVENT)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .option("columnNameOfCorruptRecord", "_corrupt")
-              .json(src)
-              .select("*", F.col("_metadata.file_path").alias("source_file")))
-
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        ev = df.withColumn("seq", F.monotonically_increasing_id())
-        new = build_graph(ev)
-        prev = latest_graph(spark, store, before=batch_id)
-        merged = merge_graph(prev, new) if prev is not None else new
-        write_graph(merged, os.path.join(store, f"v={batch_id:010d}"))
-        spark.createDataFrame([(str(batch_id),)], "value string").write.mode("overwrite") \
-            .text(os.path.join(store, "_versions", f"b={batch_id:010d}"))
-
-    writer = (stream.writeStream.foreachBatch(per_batch)
-              .option("checkpointLocation", checkpoint))
+        numbered = df.withColumn("seq", F.monotonically_increasing_id())
+        merge_into_store(spark, build_graph(numbered, materialize=True), store, buckets)
+
+    writer = (event_stream(spark, src, max_files_per_trigger).writeStream
+              .foreachBatch(per_batch).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime="30 seconds")
     q = writer.start()
@@ -124,28 +129,23 @@ def stream_ingest(spark: SparkSession, src: str, store: str, checkpoint: str,
     return q
 
 
-def stream_run_stats(spark: SparkSession, src: str, checkpoint: str, store: str) -> DataFrame:
+def stream_run_stats(spark: SparkSession, src: str, checkpoint: str, store: str,
+                     max_files_per_trigger: int = 1000, buckets: int = 16) -> DataFrame:
     """Run counts per job kept up to date by a streaming aggregation.
 
-    Each trigger writes the complete statistics of that moment to its own
-    folder of ``store`` (a replayed trigger rewrites the same folder), so the
-    rows stay on the executors; the newest folder is the state.
+    The aggregation runs in update mode: a trigger emits the jobs whose counts
+    it changed, and they replace their rows in a table kept by job.  Late
+    events change their job's counts like any other (the state holds one row
+    per job, so no watermark drops them); an event delivered twice is two runs,
+    as in the batch counts.
     """
-    from ..operators.lineage_graph import build_runs, clean_events
-    stream = (spark.readStream.schema(EVENT).json(src)
-              .select("*", F.col("_metadata.file_path").alias("source_file"),
-                      F.lit(0).cast("long").alias("seq")))
-    last: dict[str, int] = {}
-
-    def per_batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(store, f"b={batch_id:010d}"))
-        last["id"] = batch_id
-
-    stats = run_stats(build_runs(clean_events(stream)))
-    q = (stats.writeStream.outputMode("complete")
-         .foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    stats = run_stats(build_runs(clean_events(
+        event_stream(spark, src, max_files_per_trigger)
+        .withColumn("seq", F.lit(0).cast("long")))))
+    kept = KeyedTable(spark, store, ["job_key"], buckets)
+    q = (stats.writeStream.outputMode("update")
+         .foreachBatch(lambda df, batch_id: kept.replace(df))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    if not last:                        # no event file yet
-        return spark.createDataFrame([], stats.schema)
-    return spark.read.parquet(os.path.join(store, f"b={last['id']:010d}"))
+    rows = kept.read()
+    return spark.createDataFrame([], stats.schema) if rows is None else rows
