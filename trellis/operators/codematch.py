@@ -6,10 +6,15 @@ No tier pairs every job with every file:
 
 * suffix: every suffix of a name is exploded (names are short identifiers),
   so "a ends with b" becomes an equi-join on ``b``;
-* fuzzy: candidates come from an exact q-gram filter (below), then a
-  vectorised pandas UDF computes the Ratcliff/Obershelp ratio on them only.
-
-Why the fuzzy filter is exact.  ``ratio = 2M/T`` with ``M`` matched
+* fuzzy: the best file of a job is looked for among the nearest names first.
+  Names at most two insertions or deletions apart share a string that both
+  become by deletions, so an equi-join on those strings finds all such pairs
+  and no others.  No file further away can beat ``2 la / (2 la + 3)`` (proof at
+  ``unseen_bound``), so a job whose best score is above that is settled; only
+  the others take candidates from an exact q-gram filter (below).  A vectorised
+  pandas UDF computes the Ratcliff/Obershelp ratio of candidates only.
+
+Why the q-gram filter is exact.  ``ratio = 2M/T`` with ``M`` matched
 characters and ``T = la + lb``.  ``M <= min(la, lb)`` gives the length bound
 ``2 min/T >= t``.  Matching blocks are separated by at least one unmatched
 character, so there are at most ``T - 2M + 1`` blocks and the strings share at
@@ -192,13 +197,70 @@ def upper_bound(a: Column, b: Column) -> Column:
     return (total - F.levenshtein(a, b)) / total
 
 
-def match_fuzzy(jobs: DataFrame, idx: DataFrame,
-                threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
-    """Best ratio per job (ties: file name order), kept when
-    ``>= threshold``."""
-    j = _jobs(jobs).filter(F.col("job_norm") != "")
-    left = j.select(F.col("job_key").alias("lkey"), F.col("job_norm").alias("ls"))
-    right = idx.select(F.col("norm").alias("rkey"), F.col("norm").alias("rs"))
+#: Longest name that is looked up by deletions (its square is the number of
+#: variants); a longer one goes to the q-gram filter, which finds the same.
+DELETION_MAX_LEN = 64
+
+
+def _deletions(df: DataFrame, key: str, s: str) -> DataFrame:
+    """(key, variant, gone): every string that ``s`` becomes by deleting
+    ``gone`` characters, two at most."""
+    c, n = F.col(s), F.length(s)
+
+    def without(i, j):
+        return F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, j - i - 1),
+                        F.substring(c, j + 1, n))
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    one = F.transform(places, lambda i: without(i, n + 1))
+    two = F.when(n < 2, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        lambda i: F.transform(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: without(i, j)))))
+    by_gone = F.array(F.array(c), F.array_distinct(one), F.array_distinct(two))
+    return (df.where(n.between(1, DELETION_MAX_LEN))
+            .select(key, F.posexplode(by_gone).alias("gone", "variants"))
+            .select(key, F.explode("variants").alias("variant"), "gone"))
+
+
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs ``(lkey, ls, rkey, rs)`` that at most two insertions and deletions
+    turn into each other (names up to ``DELETION_MAX_LEN``)."""
+    a = _deletions(left, "lkey", "ls").withColumnRenamed("gone", "lgone")
+    pairs = (a.join(_deletions(right, "rkey", "rs"), "variant")
+             .where("lgone + gone <= 2").select("lkey", "rkey").distinct())
+    return pairs.join(left, "lkey").join(right, "rkey")
+
+
+def unseen_bound(length: Column, distance: int) -> Column:
+    """No string further than ``distance`` insertions and deletions from one of
+    ``length`` characters has a ratio above this.
+
+    The matched characters are a common subsequence, so with ``d`` insertions
+    and deletions at least, ``T - 2M >= d`` and the ratio is at most ``1 - d/T``;
+    the other string has at most ``length + d`` characters, so ``T`` is at most
+    ``2 length + d``, and ``2 length / (2 length + d)`` falls as ``d`` grows.
+    """
+    return (2 * length) / (2 * length + distance + 1)
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """The best-scored file of each job (ties: file name order)."""
+    w = Window.partitionBy("lkey").orderBy(F.col("score").desc(), F.col("rkey"))
+    return scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that reach ``threshold`` with their score.  Rows of one file stay
+    together (sorted) so that a task reuses one matcher per file; a salt on the
+    job key splits a file hit by many jobs."""
+    slots = pairs.sparkSession.sparkContext.defaultParallelism
+    salt = F.pmod(F.xxhash64("lkey"), F.lit(slots))
+    return (pairs.repartition(slots, "rkey", salt).sortWithinPartitions("rkey")
+            .withColumn("score", similarity_at_least(threshold)(F.col("ls"), F.col("rs")))
+            .filter(F.col("score") >= threshold))
+
+
+def _best_of_all(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The best file of each job among the q-gram filter's candidates."""
     bounded = cut_lineage(
         fuzzy_candidates(left, right, threshold)
         .withColumn("upper", upper_bound(F.col("ls"), F.col("rs")))
@@ -210,15 +272,25 @@ def match_fuzzy(jobs: DataFrame, idx: DataFrame,
         .select("lkey", similarity(F.col("p.ls"), F.col("p.rs")).alias("lower")))
     worth = (bounded.join(first, "lkey")
              .filter(F.col("upper") >= F.greatest("lower", F.lit(threshold))))
-    # rows of one file stay together (sorted) so that a task reuses one matcher
-    # per file; a salt on the job key splits a file hit by many jobs
-    slots = worth.sparkSession.sparkContext.defaultParallelism
-    salt = F.pmod(F.xxhash64("lkey"), F.lit(slots))
-    scored = (worth.repartition(slots, "rkey", salt).sortWithinPartitions("rkey")
-              .withColumn("score", similarity_at_least(threshold)(F.col("ls"), F.col("rs")))
-              .filter(F.col("score") >= threshold))
-    w = Window.partitionBy("lkey").orderBy(F.col("score").desc(), F.col("rkey"))
-    best = scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    return _best(_scored(worth, threshold))
+
+
+def match_fuzzy(jobs: DataFrame, idx: DataFrame,
+                threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+    """Best ratio per job (ties: file name order), kept when
+    ``>= threshold``."""
+    j = _jobs(jobs).filter(F.col("job_norm") != "")
+    left = j.select(F.col("job_key").alias("lkey"), F.col("job_norm").alias("ls"))
+    right = idx.select(F.col("norm").alias("rkey"), F.col("norm").alias("rs"))
+    settled = cut_lineage(
+        _best(_scored(near_pairs(left, right), threshold))
+        .where(F.col("score") > unseen_bound(F.length("ls"), 2))
+        .select("lkey", "rkey", "score"), "fuzzy_near")
+    rest = cut_lineage(left.join(settled, "lkey", "left_anti"), "fuzzy_rest")
+    best = settled
+    if not rest.isEmpty():
+        best = settled.unionByName(_best_of_all(rest, right, threshold)
+                                   .select("lkey", "rkey", "score"))
     return (best.join(j, F.col("lkey") == F.col("job_key"))
             .join(idx, F.col("rkey") == F.col("norm"))
             .select("job_key", "job_name", "file_name", "code",
