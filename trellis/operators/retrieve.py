@@ -220,20 +220,40 @@ def index_terms(index: DataFrame) -> DataFrame:
     return ns.unionByName(nm).filter(F.coalesce(F.col("term"), F.lit("")) != "").distinct()
 
 
-def contained_terms(questions: DataFrame, terms: DataFrame, qcol: str = "question") -> DataFrame:
+GRAM = 4        # characters of the grams that anchor a term
+
+
+def _grams(c: Column, k: int) -> Column:
+    """The distinct substrings of ``k`` characters (the whole of a shorter text)."""
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))),
+        lambda i: F.substring(c, i, k)))
+
+
+def contained_terms(questions: DataFrame, terms: DataFrame, qcol: str = "question",
+                    k: int = GRAM) -> DataFrame:
     """``(q_id, term_kind, term)`` where ``lower(term)`` occurs in the
-    lower-cased question.  The distinct term lengths (a short list) are
-    read once to cut the question into substrings of exactly those lengths."""
+    lower-cased question.
+
+    A contained term's grams of ``k`` characters all occur in the question, so
+    joining each term's rarest gram (counted over all terms) with the
+    question's grams loses none, and ``contains`` decides the few candidates.
+    Terms shorter than ``k`` join the question's substrings of their length.
+    """
     t = terms.withColumn("lterm", F.lower("term"))
-    lens = sorted(r[0] for r in t.select(F.length("lterm")).distinct().collect())
-    if not lens:
-        return questions.sparkSession.createDataFrame([], "q_id string, term_kind string, term string")
-    q = F.lower(F.col(qcol))
-    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - L + 1, F.lit(1))),
-                          lambda i, L=L: F.substring(q, i, L)) for L in lens]
-    subs = questions.select("q_id", F.explode(F.array_distinct(F.flatten(F.array(*pieces))))
-                            .alias("lterm"))
-    return subs.join(t, "lterm").select("q_id", "term_kind", "term")
+    q = questions.select("q_id", F.lower(qcol).alias("_lq"))
+    by_gram = t.where(F.length("lterm") >= k).withColumn("gram", F.explode(_grams(F.col("lterm"), k)))
+    freq = by_gram.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
+    w = Window.partitionBy("term_kind", "term").orderBy("_f", "gram")
+    anchors = (by_gram.join(freq, "gram").withColumn("_r", F.row_number().over(w))
+               .where("_r = 1").select("gram", "term_kind", "term", "lterm"))
+    long = (q.select("q_id", F.explode(_grams(F.col("_lq"), k)).alias("gram"))
+            .join(anchors, "gram").join(q, "q_id")
+            .where(F.col("_lq").contains(F.col("lterm"))).select("q_id", "term_kind", "term"))
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("_lq"), n) for n in range(1, k)]))
+    short = (q.select("q_id", F.explode(pieces).alias("lterm"))
+             .join(t.where(F.length("lterm") < k), "lterm").select("q_id", "term_kind", "term"))
+    return long.unionByName(short)
 
 
 def token_subset_terms(questions: DataFrame, terms: DataFrame,

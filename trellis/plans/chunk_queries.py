@@ -9,7 +9,7 @@ from ..operators.graph_ops import graph_stats, source_datasets
 from ..sources.markdown import markdown_files
 from . import oracle as O
 from . import oracle_chunks  # noqa: F401  (registers the chunk CTEs)
-from .graph_queries import graph
+from .graph_queries import exact_code, graph
 
 NS = "s3_lake_raw"
 
@@ -22,6 +22,12 @@ def q_job_chunks(spark, d):
     return C.job_chunks(graph(spark, d))
 
 
+def q_job_chunks_code(spark, d):
+    """R02 with the code of the jobs that a file names exactly."""
+    g = graph(spark, d)
+    return C.job_chunks(g, exact_code(spark, d, g))
+
+
 def q_impact_chunks(spark, d):
     return C.impact_chunks(graph(spark, d))
 
@@ -64,6 +70,12 @@ QUERIES = {
     "r01_dataset_chunks": (q_dataset_chunks, O.sql("SELECT * FROM chunk_datasets",
                                                    "chunk_datasets")),
     "r02_job_chunks": (q_job_chunks, O.sql("SELECT * FROM chunk_jobs", "chunk_jobs")),
+    "r02_job_chunks_code": (q_job_chunks_code, O.sql("""
+SELECT id, kind, name, namespace, source, text || CASE WHEN CAST(u AS BIGINT) % 4 = 0
+  THEN chr(10) || 'Glue source code:' || chr(10) || '# batch job for user ' || u || chr(10)
+    || 'def run(spark):' || chr(10) || '    return spark.read.parquet(' || chr(39)
+    || 'lake/ds_' || u || chr(39) || ')' || chr(10) ELSE '' END AS text
+FROM (SELECT *, regexp_extract(name, '[0-9]+$') AS u FROM chunk_jobs)""", "chunk_jobs")),
     "r03_impact_chunks": (q_impact_chunks, O.sql("SELECT * FROM chunk_impact", "chunk_impact")),
     "x16_split_sections": (q_sections, O.sql("SELECT * FROM md_sections", "md_sections")),
     "r04_knowledge_chunks": (q_knowledge, O.sql("SELECT * FROM chunk_knowledge",

@@ -6,14 +6,18 @@ every query's work grows with it.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions.lineage import norm_job_name
+from ..operators import codematch as CM
 from ..operators import graph_ops as G
 from ..operators.lineage_graph import build_graph, export_graph, run_stats
 from ..schemas import EVENT
 from ..session import scratch_path
-from ..sources.events import lineage_events, parse_events, read_events
+from ..sources.code import job_code_files
+from ..sources.events import day_cutoff, lineage_events, parse_events, read_events
 from ..streaming.ingest import write_event_files
 from . import oracle as O
 
@@ -60,6 +64,16 @@ def q_export_nodes(spark, d):
     return export_graph(graph(spark, d))[0]
 
 
+def exact_code(spark, d, g):
+    """(job_key, code) of the jobs that a file names exactly."""
+    return CM.match_exact(g.jobs, CM.code_index(job_code_files(spark, d))).select("job_key", "code")
+
+
+def q_export_nodes_code(spark, d):
+    g = graph(spark, d)
+    return export_graph(g, exact_code(spark, d, g))[0]
+
+
 def q_export_edges(spark, d):
     return export_graph(graph(spark, d))[1]
 
@@ -91,6 +105,18 @@ def q_read_events_prefix(spark, d):
     return read_events(spark, path, recursive=True).selectExpr(*_EVENT_COLUMNS)
 
 
+def q_read_events_cutoff(spark, d):
+    """A scan of the files modified since the cut-off of a day: all of
+    them for a day long past, none for a day to come."""
+    path = scratch_path(spark, "ndjson")
+    write_event_files(lineage_events(spark, d), path)
+    days = {"past": dt.datetime(2000, 1, 1, 12, tzinfo=dt.timezone.utc),
+            "coming": dt.datetime(2999, 1, 1, 12, tzinfo=dt.timezone.utc)}
+    past, coming = (read_events(spark, path, modified_since=day_cutoff(now), recursive=True)
+                    .selectExpr(f"'{day}' AS day", *_EVENT_COLUMNS) for day, now in days.items())
+    return past.unionByName(coming)
+
+
 def q_parse_events(spark, d):
     """The events as JSON text rows, parsed."""
     events = lineage_events(spark, d)
@@ -264,6 +290,13 @@ FROM lin_runs GROUP BY job_key""", "lin_runs")),
 SELECT n.key, n.kind, n.name, n.namespace, false AS has_code,
   n.key IN (SELECT dataset_key FROM lin_cl) AS has_column_lineage,
   coalesce(d.format, '') AS format
+FROM lin_nodes n LEFT JOIN lin_datasets d ON d.key = n.key""", "lin_nodes", "lin_datasets",
+                                                "lin_cl")),
+    "s14_export_nodes_code": (q_export_nodes_code, O.sql("""
+SELECT n.key, n.kind, n.name, n.namespace,
+  n.kind = 'job' AND TRY_CAST(regexp_extract(n.name, '[0-9]+$') AS BIGINT) % 4 = 0 AS has_code,
+  n.key IN (SELECT dataset_key FROM lin_cl) AS has_column_lineage,
+  coalesce(d.format, '') AS format
 FROM lin_nodes n LEFT JOIN lin_datasets d ON d.key = n.key""", "lin_nodes", "lin_datasets",
                                                 "lin_cl")),
     "s14_export_edges": (q_export_edges, O.sql(
@@ -272,6 +305,9 @@ FROM lin_nodes n LEFT JOIN lin_datasets d ON d.key = n.key""", "lin_nodes", "lin
         "SELECT key, namespace, name FROM lin_datasets", "lin_datasets")),
     "s05_read_events": (q_read_events, _EVENTS_SQL),
     "s06_read_events_prefix": (q_read_events_prefix, _EVENTS_SQL),
+    "s06_read_events_cutoff": (q_read_events_cutoff,
+                               _EVENTS_SQL.replace("SELECT event_time, ol_type",
+                                                   "SELECT 'past' AS day, event_time, ol_type")),
     "x13_parse_events": (q_parse_events, _EVENTS_SQL),
     "j04_source_datasets": (q_sources, O.sql("SELECT key, name, namespace FROM lin_sources",
                                              "lin_sources")),

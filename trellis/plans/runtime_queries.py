@@ -89,6 +89,37 @@ def q_warehouse_dag(spark, d):
     return spark.read.parquet(paths["marketing_segments"])
 
 
+#: Table of the job chain -> its own query and the amount that the check sums.
+CHAIN = {"orders_clean": ("p01_orders_clean", "amount"),
+         "customers_enriched": ("p02_customers_enrich", "age_days"),
+         "products_normalized": ("p03_products_normalize", "price"),
+         "customers_anonymized": ("p04_gdpr_mask", "age_days"),
+         "fact_sales": ("p05_sales_fact", "amount"),
+         "product_metrics": ("p06_product_metrics", "total_sold"),
+         "daily_revenue": ("p07_daily_revenue", "total_revenue"),
+         "customer_360": ("p08_customer_360", "total_spent"),
+         "inventory_forecast": ("p09_inventory_forecast", "predicted_demand"),
+         "catalog_enriched": ("p10_catalog_enriched", "stock"),
+         "churn_scores": ("p11_churn_scores", "churn_probability"),
+         "marketing_segments": ("p12_marketing_segments", "customer_id")}
+
+
+def q_warehouse_tables(spark, d):
+    """Every table of the chain as written: rows and the sum of one
+    amount."""
+    from .warehouse_dag import run_warehouse
+    raw = {"orders": X.raw_orders(spark, d), "customers": X.raw_customers(spark, d),
+           "products": X.raw_products(spark, d)}
+    paths = run_warehouse(spark, raw, scratch_path(spark, "warehouse"), AS_OF, loaded_at=STAMP)
+    out = None
+    for name, (_, amount) in CHAIN.items():
+        row = spark.read.parquet(paths[name]).agg(
+            F.count("*").alias("n_rows"), F.round(F.sum(F.col(amount).cast("double")), 1)
+            .alias("total")).select(F.lit(name).alias("table"), "n_rows", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def q_sync(spark, d):
     """The stored index after a sync of events, then of events, code and
     markdown: the chunks as stored, a job's document without its code."""
@@ -146,6 +177,10 @@ UNION ALL SELECT 'column_lineage', dataset_key, out_field, src_table,
                                                "lin_jobs", "lin_edges", "lin_runs", "lin_cl")),
     "t02_stream_run_stats": (q_stream_run_stats, GQ["a04_run_stats"][1]),
     "p13_warehouse_dag": (q_warehouse_dag, WQ["p12_marketing_segments"][1]),
+    "p13_warehouse_tables": (q_warehouse_tables, "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS \"table\", count(*) AS n_rows, "
+        f"round(sum(CAST({amount} AS DOUBLE)), 1) AS total FROM ({WQ[query][1]})"
+        for name, (query, amount) in CHAIN.items())),
     "g09_dataset_schema": (q_dataset_schema, O.sql(f"""
 SELECT d.key, d.name, d.namespace, d.schema,
   coalesce((SELECT string_agg(line, chr(10) ORDER BY f_time, f_seq, f_fpos) FROM (

@@ -45,11 +45,20 @@ def read_events(spark: SparkSession, path: str, strict: bool = False,
             return spark.createDataFrame([], EVENT_ROW)
         raise
     if modified_since is not None:
-        df = df.filter(F.col("_metadata.file_modification_time")
-                       >= F.lit(modified_since.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp"))
+        since = (F.lit(modified_since.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+                 if modified_since.tzinfo is None
+                 else F.timestamp_seconds(F.lit(modified_since.timestamp())))
+        df = df.filter(F.col("_metadata.file_modification_time") >= since)
     return _with_arrival(df)
 
 
+def day_cutoff(now: _dt.datetime, hour: int = 5, utc_offset: int = 2) -> _dt.datetime:
+    """The instant of ``hour`` o'clock of the day of ``now`` at a fixed offset
+    from UTC.  Before that hour it lies ahead, so a scan from it loads nothing."""
+    zone = _dt.timezone(_dt.timedelta(hours=utc_offset))
+    return now.astimezone(zone).replace(hour=hour, minute=0, second=0, microsecond=0)
+
+
 def parse_events(lines: DataFrame, col: str = "value") -> DataFrame:
     """Parse JSON text rows into the event struct's columns."""
     parsed = F.from_json(F.col(col), EVENT, {"columnNameOfCorruptRecord": "_corrupt"})
