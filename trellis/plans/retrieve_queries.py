@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import as_passage, as_query, keep_lines, left, tokens
 from ..operators import chunks as C
 from ..operators import retrieve as R
+from ..operators.text_vectors import TextIndex
 from ..session import cut_lineage, scratch_path
 from ..sources import chatlog as H
 from ..sources.tables import table
@@ -59,6 +60,21 @@ def q_embed_text(spark, d):
                       F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("norm2"))
 
 
+def q_text_weights(spark, d):
+    """The sparse vector of every document."""
+    index = TextIndex(table(spark, d, "documents"), "doc_id")
+    return index.postings.select(F.col("id").alias("doc_id"), "term",
+                                 F.round("weight", 6).alias("weight"))
+
+
+def q_text_search(spark, d):
+    """The documents nearest to each benchmark passage."""
+    index = TextIndex(table(spark, d, "documents"), "doc_id")
+    return index.search(table(spark, d, "benchmark"), "item_id", K).select(
+        F.col("q_id").alias("item_id"), "rank", F.col("id").alias("doc_id"),
+        F.round("score", 6).alias("score"))
+
+
 def q_detect(spark, d):
     g = graph(spark, d)
     return R.detect_entities(questions(g), graph_index(g))
@@ -202,6 +218,21 @@ _COS = """1.0 - list_reduce(list_transform(list_zip(p.qvec, e.embedding),
                                     lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"""
 
 
+_TF = r"""
+SELECT {id} AS id, term, count(*) AS tf
+FROM (SELECT {id}, unnest(regexp_split_to_array(lower(text), '[\s_\-/]+')) AS term FROM {table})
+WHERE term <> '' GROUP BY ALL"""
+
+_TEXT_VECTORS = (
+    ("tf", _TF.format(id="doc_id", table="documents")),
+    ("idf", """
+SELECT term, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1) / (count(*) + 1)) AS idf
+FROM tf GROUP BY term"""),
+    ("raw", "SELECT id, term, tf * idf AS raw FROM tf JOIN idf USING (term) WHERE tf * idf > 0"),
+    ("vec", "SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw"),
+)
+
+
 def _knn_sql(dist: str, k: int, select: str = "SELECT q_id, rank, vec_id FROM ranked") -> str:
     return O.sql(select, extra=(
         ("protos", _PROTO),
@@ -307,6 +338,19 @@ QUERIES = {
     "r06_vector_search_cosine": (q_vector_cosine, _knn_sql(_COS, K)),
     "r07_approx_search": (q_approx, None),
     "r08_embed_text": (q_embed_text, None),
+    "r08_text_weights": (q_text_weights, O.sql(
+        "SELECT id AS doc_id, term, round(weight, 6) AS weight FROM vec", extra=_TEXT_VECTORS)),
+    "r08_text_search": (q_text_search, O.sql(f"""
+SELECT q.id AS item_id, CAST(row_number() OVER (PARTITION BY q.id ORDER BY s DESC, d) AS INTEGER)
+  AS rank, d AS doc_id, round(s, 6) AS score
+FROM (SELECT q.id, v.id AS d, round(sum(q.weight * v.weight), 9) AS s
+      FROM qvec q JOIN vec v USING (term) GROUP BY ALL) q
+QUALIFY rank <= {K}""", extra=_TEXT_VECTORS + (
+        ("qtf", _TF.format(id="item_id", table="benchmark")),
+        ("qraw", "SELECT id, term, tf * idf AS raw FROM qtf JOIN idf USING (term) "
+                 "WHERE tf * idf > 0"),
+        ("qvec", "SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight "
+                 "FROM qraw")))),
     "r09_detect_entities": (q_detect, O.sql("SELECT * FROM detected", "detected")),
     "u05_tokens_subset": (q_tokens_subset, O.sql(f"""
 SELECT DISTINCT q.q_id, t.term_kind, t.term FROM questions q JOIN terms t
