@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.scalars import contains_any, keep_lines, tokens
-from ..session import spread
+from ..session import cut_lineage, spread
 from .chunks import _ordered_join, lineage_lines
 from .graph_ops import find_jobs, longest_match
 from .lineage_graph import LineageGraph, run_stats
@@ -407,14 +407,14 @@ def namespace_summary(index: DataFrame, detected: DataFrame) -> DataFrame:
     return detected.filter(F.col("ns").isNotNull()).select("q_id", "ns").join(ds, "ns")
 
 
-def budget(ranked: DataFrame, n_col: str = "n") -> DataFrame:
-    """Priority rows (tier 0/1) always, then the first ``max(n - p, 4)``
-    of the rest by position."""
+def budget(ranked: DataFrame, n_col: str = "n", min_rest: int = MIN_REST) -> DataFrame:
+    """Priority rows (tier 0/1) always, then the first ``max(n - p,
+    min_rest)`` of the rest by position."""
     p = ranked.groupBy("q_id").agg(F.count_if(F.col("tier") < 2).alias("_p"))
     w = Window.partitionBy("q_id").orderBy("tier", "pos")
     r = ranked.join(p, "q_id").withColumn("_i", F.row_number().over(w))
     keep = (F.col("tier") < 2) | (F.col("_i") - F.col("_p")
-                                  <= F.greatest(F.col(n_col) - F.col("_p"), F.lit(MIN_REST)))
+                                  <= F.greatest(F.col(n_col) - F.col("_p"), F.lit(min_rest)))
     return r.filter(keep).drop("_p", "_i")
 
 
@@ -425,16 +425,30 @@ def exact_boost(detected: DataFrame, index: DataFrame, seen: DataFrame) -> DataF
             .join(seen, ["q_id", "name"], "left_anti"))
 
 
-def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame,
-             index_vecs: DataFrame, query_vecs: DataFrame, n: int = DEFAULT_N,
-             search_text: DataFrame | None = None) -> DataFrame:
+def hits_wanted(n: int = DEFAULT_N, cap: int = FETCH_CAP) -> int:
+    """The most hits that ``retrieve`` reads of any question."""
+    return min(2 * max(n, LIST_MIN_N), cap)
+
+
+def vector_hits(index_vecs: DataFrame, query_vecs: DataFrame, n: int = DEFAULT_N) -> DataFrame:
+    """Semantic hits ``(q_id, rank, id)`` from ``index_vecs(id, vec)`` and
+    ``query_vecs(q_id, qvec)``, the chunk and question vectors."""
+    return vector_search(index_vecs, query_vecs, hits_wanted(n), metric="cosine", id_col="id",
+                         vec_col="vec").select("q_id", "rank", "id")
+
+
+def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame, hits: DataFrame,
+             n: int = DEFAULT_N, search_text: DataFrame | None = None,
+             fetch_cap: int = FETCH_CAP, min_rest: int = MIN_REST) -> DataFrame:
     """The context rows of each question.
 
     tier 0: graph document of the node named in the question (R10);
     tier 1: the chunk whose name equals the detected name (R11);
-    tier 2: semantic hits, first per name (W04), then the namespace summary (R12);
-    the rest is cut to the budget (K04).  ``index_vecs(id, vec)`` and
-    ``query_vecs(q_id, qvec)`` are the chunk and question vectors.
+    tier 2: semantic ``hits(q_id, rank, id)``, first per name (W04), of which a
+    question reads ``min(2n, fetch_cap)``; then the namespace summary (R12);
+    the rest is cut to the budget, ``min_rest`` at least (K04).  Questions,
+    detected names and each tier are written once, since several tiers read
+    them.
     """
     qs = questions.select("q_id", "question",
                           recall_n(F.col("question"), n).alias("n"))
@@ -442,20 +456,21 @@ def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame,
         qs = qs.join(search_text.select("q_id", "search"), "q_id", "left")
     else:
         qs = qs.withColumn("search", F.col("question"))
-    ctx = graph_context(g, qs.select("q_id", "question"))
-    k = min(2 * max(n, LIST_MIN_N), FETCH_CAP)
-    sem = vector_search(index_vecs, query_vecs, k, metric="cosine", id_col="id", vec_col="vec")
-    sem = (sem.join(qs.select("q_id", "n"), "q_id")
-           .filter(F.col("rank") <= fetch_k(F.col("n")))
+    qs = cut_lineage(qs, "questions")
+    ctx = cut_lineage(graph_context(g, qs.select("q_id", "question")), "context")
+    sem = (hits.join(qs.select("q_id", "n"), "q_id")
+           .filter(F.col("rank") <= F.least(F.col("n") * 2, F.lit(fetch_cap)))
            .join(index.select("id", "name", "document"), "id"))
     sem = first_per_name(sem)
     # the graph document's node name counts as already seen, in every tier below
     named = (ctx.join(g.nodes.select(F.col("key").alias("node_key"), "name"), "node_key")
              .select("q_id", "name").distinct())
-    sem = sem.join(named, ["q_id", "name"], "left_anti")
-    det = detect_entities(qs.select("q_id", F.col("search").alias("question")), index)
+    sem = cut_lineage(sem.join(named, ["q_id", "name"], "left_anti"), "semantic")
+    det = cut_lineage(detect_entities(qs.select("q_id", F.col("search").alias("question")), index),
+                      "detected")
     boost = (exact_boost(det, index, sem.select("q_id", "name").unionByName(named))
              .groupBy("q_id", "name").agg(F.min_by("document", "id").alias("document")))
+    boost = cut_lineage(boost, "boost")
     summ = namespace_summary(index, det)
     seen = (sem.select("q_id", "name").unionByName(boost.select("q_id", "name"))
             .unionByName(named))
@@ -475,7 +490,7 @@ def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame,
                                     "document"))
             .unionByName(summ_doc.select("q_id", F.lit(3).alias("tier"),
                                          F.lit(1 << 30).alias("pos"), "document")))
-    return budget(rows.join(qs.select("q_id", "n"), "q_id"))
+    return budget(rows.join(qs.select("q_id", "n"), "q_id"), min_rest=min_rest)
 
 
 # ------------------------------------------------------------ chat history

@@ -140,10 +140,19 @@ def q_retrieve(spark, d):
     qv = model.transform(qs.withColumn("text", as_query(F.col("question"))))
     from pyspark.ml.functions import vector_to_array
     qv = qv.select("q_id", vector_to_array("_unit").alias("qvec"))
-    return R.retrieve(qs, g, idx, iv.select("id", "vec"), qv).select(
+    return R.retrieve(qs, g, idx, R.vector_hits(iv.select("id", "vec"), qv)).select(
         "q_id", "tier", "pos", F.length("document").alias("doc_len"))
 
 
+def q_retrieve_documents(spark, d):
+    """R13 with semantic hits by sparse text vectors: the whole documents."""
+    g = graph(spark, d)
+    idx = graph_index(g)
+    qs = cut_lineage(questions(g), "questions")
+    hits = TextIndex(idx, "id", "document").search(qs, "q_id", R.hits_wanted(), "question")
+    return R.retrieve(qs, g, idx, hits).select("q_id", "tier", "pos", "document")
+
+
 def q_history(spark, d):
     return R.history_query(table(spark, d, "conversations"))
 
@@ -220,17 +229,61 @@ _COS = """1.0 - list_reduce(list_transform(list_zip(p.qvec, e.embedding),
 
 _TF = r"""
 SELECT {id} AS id, term, count(*) AS tf
-FROM (SELECT {id}, unnest(regexp_split_to_array(lower(text), '[\s_\-/]+')) AS term FROM {table})
+FROM (SELECT {id}, unnest(regexp_split_to_array(lower({text}), '[\s_\-/]+')) AS term FROM {table})
 WHERE term <> '' GROUP BY ALL"""
 
-_TEXT_VECTORS = (
-    ("tf", _TF.format(id="doc_id", table="documents")),
-    ("idf", """
-SELECT term, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1) / (count(*) + 1)) AS idf
+def _text_vectors(table: str, id_: str, text: str) -> tuple:
+    return (
+        ("tf", _TF.format(id=id_, text=text, table=table)),
+        ("idf", f"""
+SELECT term, ln(((SELECT count(DISTINCT {id_}) FROM {table}) + 1) / (count(*) + 1)) AS idf
 FROM tf GROUP BY term"""),
-    ("raw", "SELECT id, term, tf * idf AS raw FROM tf JOIN idf USING (term) WHERE tf * idf > 0"),
-    ("vec", "SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw"),
-)
+        ("raw", "SELECT id, term, tf * idf AS raw FROM tf JOIN idf USING (term) "
+                "WHERE tf * idf > 0"),
+        ("vec", "SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight "
+                "FROM raw"))
+
+
+def _query_vectors(table: str, id_: str, text: str) -> tuple:
+    return (
+        ("qtf", _TF.format(id=id_, text=text, table=table)),
+        ("qraw", "SELECT id, term, tf * idf AS raw FROM qtf JOIN idf USING (term) "
+                 "WHERE tf * idf > 0"),
+        ("qvec", "SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight "
+                 "FROM qraw"))
+
+
+def _text_hits(k: int) -> str:
+    return f"""
+SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY s DESC, d) AS INTEGER) AS rank,
+       d AS id, s AS score
+FROM (SELECT q.id AS q_id, v.id AS d, round(sum(q.weight * v.weight), 9) AS s
+      FROM qvec q JOIN vec v USING (term) GROUP BY ALL)
+QUALIFY rank <= {k}"""
+
+
+_DOCUMENT_VECTORS = _text_vectors("documents", "doc_id", "text")
+
+_LIST_KW = ", ".join(f"'{k}'" for k in R.LIST_KEYWORDS)
+
+#: The tiers of a question's context: graph document, named chunk, semantic
+#: hits, namespace summary; then the budget.
+_TIERS = f"""
+SELECT q_id, 0 AS tier, 0 AS pos, context AS document FROM ctx
+UNION ALL SELECT q_id, 1, 0, document FROM boost
+UNION ALL SELECT q_id, 2, rank, document FROM sem
+UNION ALL
+SELECT q_id, 3, 1 << 30, 'Datasets in ' || ns || ':' || chr(10) || chr(10)
+       || string_agg(summary, chr(10) || chr(10) ORDER BY name, id)
+FROM (SELECT d.q_id, d.ns, g.name, g.id,
+        array_to_string(list_filter(string_split(g.document, chr(10)),
+          lambda l: starts_with(l, 'Dataset:') OR starts_with(l, 'Produced by')
+                    OR starts_with(l, 'Namespace:')), chr(10)) AS summary
+      FROM detected d JOIN graph_index g ON g.namespace = d.ns AND g.kind = 'dataset'
+      WHERE (d.q_id, g.name) NOT IN (SELECT q_id, name FROM sem UNION ALL
+                                     SELECT q_id, name FROM boost UNION ALL
+                                     SELECT q_id, name FROM named))
+GROUP BY q_id, ns"""
 
 
 def _knn_sql(dist: str, k: int, select: str = "SELECT q_id, rank, vec_id FROM ranked") -> str:
@@ -339,18 +392,10 @@ QUERIES = {
     "r07_approx_search": (q_approx, None),
     "r08_embed_text": (q_embed_text, None),
     "r08_text_weights": (q_text_weights, O.sql(
-        "SELECT id AS doc_id, term, round(weight, 6) AS weight FROM vec", extra=_TEXT_VECTORS)),
+        "SELECT id AS doc_id, term, round(weight, 6) AS weight FROM vec", extra=_DOCUMENT_VECTORS)),
     "r08_text_search": (q_text_search, O.sql(f"""
-SELECT q.id AS item_id, CAST(row_number() OVER (PARTITION BY q.id ORDER BY s DESC, d) AS INTEGER)
-  AS rank, d AS doc_id, round(s, 6) AS score
-FROM (SELECT q.id, v.id AS d, round(sum(q.weight * v.weight), 9) AS s
-      FROM qvec q JOIN vec v USING (term) GROUP BY ALL) q
-QUALIFY rank <= {K}""", extra=_TEXT_VECTORS + (
-        ("qtf", _TF.format(id="item_id", table="benchmark")),
-        ("qraw", "SELECT id, term, tf * idf AS raw FROM qtf JOIN idf USING (term) "
-                 "WHERE tf * idf > 0"),
-        ("qvec", "SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight "
-                 "FROM qraw")))),
+SELECT q_id AS item_id, rank, id AS doc_id, round(score, 6) AS score FROM ({_text_hits(K)})""",
+        extra=_DOCUMENT_VECTORS + _query_vectors("benchmark", "item_id", "text"))),
     "r09_detect_entities": (q_detect, O.sql("SELECT * FROM detected", "detected")),
     "u05_tokens_subset": (q_tokens_subset, O.sql(f"""
 SELECT DISTINCT q.q_id, t.term_kind, t.term FROM questions q JOIN terms t
@@ -396,6 +441,37 @@ SELECT q_id, tier, pos, vec_id FROM (
   FROM ranked)
 WHERE tier < 2 OR i - p <= greatest(12 - p, 4)""")),
     "r13_retrieve": (q_retrieve, None),
+    "r13_retrieve_documents": (q_retrieve_documents, O.sql("""
+SELECT q_id, tier, pos, document FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY tier, pos) AS i,
+    count(*) FILTER (WHERE tier < 2) OVER (PARTITION BY q_id) AS p
+  FROM tiers JOIN asked USING (q_id))
+WHERE tier < 2 OR i - p <= greatest(n - p, 4)""",
+        "questions", "lin_nodes", "lin_datasets", "lin_jobs", "lin_pc", "lin_lines", "lin_runs",
+        "lin_edges", "lin_cl", "graph_index", "detected",
+        extra=(("best", _BEST), ("blk", _BLK), ("ctx", f"{_GCTX_DS}\nUNION ALL\n{_GCTX_JOB}"),
+               ("named", "SELECT DISTINCT c.q_id, n.name FROM ctx c "
+                         "JOIN lin_nodes n ON n.key = c.node_key"),
+               ("asked", f"""
+SELECT q_id, CASE WHEN list_bool_or(list_transform([{_LIST_KW}],
+                    lambda k: contains(lower(question), k))) THEN 40 ELSE 20 END AS n
+FROM questions"""))
+        + _text_vectors("graph_index", "id", "document")
+        + _query_vectors("questions", "q_id", "question")
+        + (("hits", _text_hits(R.hits_wanted())),
+           ("sem", """
+SELECT q_id, name, rank, document FROM (
+  SELECT h.q_id, g.name, h.rank, g.document,
+    row_number() OVER (PARTITION BY h.q_id, g.name ORDER BY h.rank, h.id) AS r
+  FROM hits h JOIN asked USING (q_id) JOIN graph_index g ON g.id = h.id
+  WHERE h.rank <= least(2 * n, 40))
+WHERE r = 1 AND (q_id, name) NOT IN (SELECT q_id, name FROM named)"""),
+           ("boost", """
+SELECT d.q_id, d.name, arg_min(g.document, g.id) AS document
+FROM detected d JOIN graph_index g ON g.name = d.name
+WHERE (d.q_id, d.name) NOT IN (SELECT q_id, name FROM sem UNION ALL SELECT q_id, name FROM named)
+GROUP BY d.q_id, d.name"""),
+           ("tiers", _TIERS)))),
     "r15_history_query": (q_history, _HIST),
     "w05_last_pairs": (q_last_pairs, _PAIRS),
     "s11_chat_log_roundtrip": (q_chat_roundtrip, _CHAT),
