@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_passage
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_cut
 from .graph_ops import find_jobs, source_datasets
 from .lineage_graph import LineageGraph, run_stats
 
@@ -201,10 +201,10 @@ def global_ordinal(df: DataFrame, order: list[str], out: str = "ordinal",
     """
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = df.persist()      # range bounds are sampled from it, then it is written
+    src = cut_lineage(df, "ordinal_rows")   # range bounds are sampled from it, then it is read
     part = cut_lineage(src.repartitionByRange(n, *order)
                        .withColumn("_pid", F.spark_partition_id()), "ordinal")
-    src.unpersist()
+    drop_cut(src)
     w = Window.partitionBy("_pid").orderBy(*order)
     local = part.withColumn("_local", F.row_number().over(w) - 1)
     totals = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
