@@ -337,3 +337,16 @@ def test_pipeline_stages_take_effect(spark):
     assert set(out) == set(rows)
     assert all(out[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
                and out[i]["n_tokens"] == len(out[i]["token_ids"]) for i, t in rows.items())
+
+
+def test_block_length_follows_the_words():
+    sizes = [0, 1, 2 ** 24, 2 ** 24 + 1, 2 ** 25 + 1, 2 ** 29 + 1, 2 ** 40]
+    assert [mixing.block_length(n) for n in sizes] == [16, 16, 16, 32, 64, 1024, 1024]
+
+
+def test_hash_ranges_do_not_change_the_mix(spark, monkeypatch):
+    table = docs(spark, [(i, "some words " * (i % 40), f"s{i % 3}") for i in range(400)])
+    plain = sorted(map(tuple, mixing.mix_documents(table).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 0.01)
+    assert sorted(map(tuple, mixing.mix_documents(table).collect())) == plain
+    assert sorted(map(tuple, mixing.mix_documents(table, shard_slots=2).collect())) == plain
