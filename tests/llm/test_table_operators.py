@@ -194,16 +194,28 @@ def test_embeddings_of_odd_rows(spark):
 
 
 def test_nn_descent_finds_the_links_of_a_table(spark):
+    """The given vectors hold no links, so every tenth gets a near copy and one
+    label a hot group of them: many labels, links in each."""
     rows = spark.read.parquet(f"{SF_LABELS}/embeddings.parquet").collect()
+    rng = np.random.default_rng(9)
     x = np.array([r["embedding"] for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
     label = np.array([r["label"] for r in rows])
-    link = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    spread = 0.1 * np.linalg.norm(x, axis=1).mean() / np.sqrt(x.shape[1])
+    pick = np.concatenate([np.arange(0, len(x), 10), np.full(200, int(np.argmax(label)))])
+    x = np.vstack([x, x[pick] + spread * rng.standard_normal((len(pick), x.shape[1]))])
+    x, label = x.astype(np.float32), np.concatenate([label, label[pick]])
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(
+        vectors(spark, [(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label))])
+    ).collect()}
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(link, False)
-    got = {r["vec_id"]: r["n_links"] for r in QUERIES["op9_embedding_dedup"](
-        spark, SF_LABELS).collect()}
-    assert sum(got.values()) >= 0.9 * link.sum()
-    assert len(got) == len(rows)
+    want = link.sum(axis=1)
+    assert want.sum() > 200 * 200
+    assert len(got) == len(x) and all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.98 * want.sum()
+    single = want == 1          # the hot group must not carry the figure
+    assert sum(got[int(i)] for i in np.flatnonzero(single)) >= 0.95 * single.sum()
 
 
 def test_a_crowded_group_is_compared_whole():
@@ -256,15 +268,42 @@ def test_a_dense_cluster_keeps_no_list_of_all_its_links(spark):
     nodes = spark.createDataFrame(
         [(i, v, y, len(v)) for i, v, y in rows],
         "node bigint, vec array<float>, label int, dim int")
-    descent = embedding_dedup.NNDescent(nodes, Cuts(spark, "test"), 0.93, 12)
+    descent = embedding_dedup.NNDescent(nodes, Cuts(spark, "test"), 0.93, 12, 48)
     descent.seed([0, 1])
     descent.refine()
-    assert descent.graph.count() <= 12 * len(rows)
+    assert descent.graph.count() <= 48 * len(rows)
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(
         vectors(spark, rows)).collect()}
     assert [got[i] for i in range(len(rows))] == link.sum(axis=1).tolist()
 
 
+def test_saturated_lists_grow(spark):
+    """Clusters of 30 fill lists of 4 with links: these grow until every link of
+    a cluster has a place; lists of vectors without links stay as they are."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 32))
+    data = np.vstack([c + 0.05 * rng.standard_normal((30, 32)) for c in centres]
+                     + [rng.standard_normal((120, 32))]).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tolist(), 0, 32) for i, v in enumerate(data)],
+                                  "node bigint, vec array<float>, label int, dim int")
+    unit = data / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.93
+    np.fill_diagonal(link, False)
+    found = {}
+    for most in (4, 64):
+        descent = embedding_dedup.NNDescent(nodes, Cuts(spark, "test"), 0.93, 4, most)
+        descent.seed([0, 1])
+        for _ in range(8):
+            if not descent.refine():
+                break
+        found[most] = descent.graph.where("sim >= 0.93").count()
+        rooms = {r["v"]: r["room"] for r in descent.rooms.collect()}
+        assert set(rooms) == (set(range(180)) if most > 4 else set())
+        assert max(descent.grown) == (180 if most > 4 else 0)
+    assert all(n <= 64 for n in rooms.values())
+    assert found[4] <= 4 * len(data) and found[64] >= 0.99 * link.sum()
+
+
 def judged(spark, name, label):
     labels = spark.read.parquet(f"{SF_LABELS}/labels.parquet")
     got = QUERIES[name](spark, SF_LABELS)

@@ -4,17 +4,21 @@ Equal vectors of one label are one node.  Random hyperplane codes deal the
 nodes into small blocks whose members become first neighbours; then rounds of
 neighbours-of-neighbours joins refine the graph: every node compares all
 members of its list, of which at least one must be new, and offers each what
-beats the last place of its own list of ``width`` places.  A group gives the
-links that span it to the components, so a link that no list has room for still
+beats the last place of its own list of ``width`` places.  A list whose last
+place is still a link is saturated: its places are doubled, up to
+``max_width``, and all it holds counts as new again, so that what it had no
+room for is met once more.  A group gives the links that span it to the
+components, so a link that even a list of ``max_width`` has no room for still
 joins them, and no list of all links is stored.
 
 Links are then counted inside each component by tiles of two blocks of at most
 about TILE nodes, as partial sums per node.  A block's centre and radius decide
 by the triangle inequality of angles which tiles hold links only or none; the
-others are compared.  An audit holds the counts of sampled nodes against all
-vectors, per label and per degree class; while a class stays below ``recall``
-more rounds follow from new hyperplanes, and at last a pass of tiles over whole
-labels, which misses nothing.  Cosines are computed in double precision.
+others are compared.  An audit holds the counts of nodes sampled from every
+label and degree class against all vectors of their label; while a label or a
+class stays below ``recall`` more rounds follow from new hyperplanes, and at
+last a pass of tiles over whole labels, which misses nothing.  Cosines are
+computed in double precision.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ BLOCK = 48                  # members that a block aims at
 TILE = 512                  # nodes that a counting block aims at
 STRIPE = 64                 # blocks of one group that meet all others in one task
 MARGIN = 1e-6               # radians left to rounding before a tile is decided unseen
+SALTS = 32                  # shares of a crowded cell that learn their number of lots apart
+AUDIT_ROWS = 8192           # vectors that the audited nodes of a label meet in one group
 
 _PAIRS = "v bigint, u bigint, sim double, spans boolean"
 
@@ -102,7 +108,8 @@ def _spanning(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: float):
     """What each group's members offer each other: pairs (v, u, sim) for v's
     list, and the links that span the group (spans).  Columns: grp, node, vec,
-    fresh (new in this list), floor (the sim to beat)."""
+    fresh (new in this list), floor (the sim to beat).  ``width`` is the most
+    places that any list has."""
     for table in _groups(batches):
         table = table.combine_chunks()
         key, node = table.column("grp").to_numpy(), table.column("node").to_numpy()
@@ -144,17 +151,23 @@ def _pairs(parts) -> pa.RecordBatch:
 
 class NNDescent:
     """The neighbour graph (v, u, sim, fresh) of ``nodes`` (node, label, vec),
-    and the links met so far that connect what any compared group linked."""
+    the lists that have grown (v, room), and the links met so far that connect
+    what any compared group linked."""
 
-    def __init__(self, nodes: DataFrame, cuts: Cuts, threshold: float, width: int):
-        self.nodes, self.cuts, self.threshold, self.width = nodes, cuts, threshold, width
+    def __init__(self, nodes: DataFrame, cuts: Cuts, threshold: float, width: int,
+                 max_width: int, gain: float = 0.001):
+        self.nodes, self.cuts, self.threshold, self.gain = nodes, cuts, threshold, gain
+        self.width, self.max_width = width, max(width, max_width)
         self.parts = partitions_of(nodes.sparkSession)
         self.graph: DataFrame | None = None
         self.spans: DataFrame | None = None
+        self.rooms = nodes.sparkSession.createDataFrame([], "v bigint, room int")
+        self.grown: list[int] = []          # lists enlarged after each comparison
+        self.settled = False
         self.round = 0
 
     def _compare(self, members: DataFrame) -> DataFrame:
-        width, threshold = self.width, self.threshold
+        width, threshold = self.max_width, self.threshold
         return (members.select("grp", "node", "vec", "fresh", "floor")
                 .repartition(self.parts, "grp").sortWithinPartitions("grp")
                 .mapInArrow(lambda b: _compared(b, width, threshold), _PAIRS))
@@ -195,21 +208,46 @@ class NNDescent:
                 self.graph.select("v", "u", "sim", F.lit(True).alias("known")))
         one = offered.groupBy("v", "u").agg(F.max("sim").alias("sim"),
                                             F.max("known").alias("known"))
-        kept = one.withColumn("place", F.row_number().over(
-            W.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("place") <= self.width)
-        graph = self.cuts.cut(kept.select("v", "u", "sim", (~F.col("known")).alias("fresh")),
-                              "graph")
+        ranked = one.withColumn("place", F.row_number().over(
+            W.partitionBy("v").orderBy(F.desc("sim"), "u")))
+        listed = self.cuts.cut(
+            ranked.where(F.col("place") <= self.max_width).join(self.rooms, "v", "left")
+            .withColumn("room", F.coalesce("room", F.lit(self.width)))
+            .where(F.col("place") <= F.col("room"))
+            .select("v", "u", "sim", "known", "room", "place"), "listed")
+        # the last place of a full list tells whether it is saturated
+        saturated = ((F.col("place") == F.col("room")) & (F.col("sim") >= self.threshold)
+                     & (F.col("room") < self.max_width))
+        new = ~F.col("known") & (F.col("sim") >= self.threshold)
+        seen = listed.agg(F.count_if(saturated).alias("grown"), F.count_if(new).alias("links"),
+                          F.count("*").alias("places")).first()
+        self.grown.append(seen["grown"])
+        graph = listed.withColumn("fresh", ~F.col("known"))
+        if seen["grown"]:
+            full = listed.where(saturated).select(
+                "v", F.least(F.col("room") * 2, F.lit(self.max_width)).alias("more"))
+            rooms = self.cuts.cut(self.rooms.join(full, "v", "full")
+                                  .select("v", F.coalesce("more", "room").alias("room")), "rooms")
+            graph = listed.join(full, "v", "left").withColumn(
+                "fresh", ~F.col("known") | F.col("more").isNotNull())
+            self.cuts.drop(self.rooms)
+            self.rooms = rooms
+        graph = self.cuts.cut(graph.select("v", "u", "sim", "fresh"), "graph")
+        self.cuts.drop(found, listed)
         if self.graph is not None:
             self.cuts.drop(self.graph, self.spans)
-        self.cuts.drop(found)
         self.graph, self.spans = graph, spans
+        self.settled = not seen["grown"] and seen["links"] <= self.gain * seen["places"]
 
-    def refine(self) -> int:
-        """One neighbours-of-neighbours round; the number of new links in lists."""
+    def refine(self) -> bool:
+        """One neighbours-of-neighbours round; whether another one is due: lists
+        have grown, or more than ``gain`` of all places hold a new link."""
         self.round += 1
         g, width = self.graph, self.width
-        floors = g.groupBy("v").agg(
-            F.when(F.count("*") >= width, F.min("sim")).otherwise(F.lit(-2.0)).alias("floor"))
+        floors = (g.groupBy("v").agg(F.count("*").alias("held"), F.min("sim").alias("least"))
+                  .join(self.rooms, "v", "left")
+                  .select("v", F.when(F.col("held") >= F.coalesce("room", F.lit(width)),
+                                      F.col("least")).otherwise(F.lit(-2.0)).alias("floor")))
         # a list's owner is a neighbour of its members too; those who have a
         # popular member in their lists meet its own list in lots
         lots = g.groupBy(F.col("u").alias("grp")).agg(
@@ -230,7 +268,7 @@ class NNDescent:
             .select("node", "vec", F.coalesce("floor", F.lit(-2.0)).alias("floor")), "vectors")
         self._merge(self._compare(members.join(known, "node")))
         self.cuts.drop(known)
-        return self.graph.where(F.col("fresh") & (F.col("sim") >= self.threshold)).count()
+        return not self.settled
 
 
 def _bits(size: int):
@@ -239,6 +277,16 @@ def _bits(size: int):
         F.lit(0), F.ceil(F.log2(F.col("n") / size)).cast("int")))
 
 
+def _with_lots(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``rows`` (node, ...) with ``lots``: how many lots of about ``size`` rows
+    their key is dealt into.  A crowded key's rows learn it in SALTS shares."""
+    lots = (rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("lots")).where("lots > 1")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salt = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(SALTS)).cast("int")
+    return (rows.withColumn("salt", salt).join(lots, [*keys, "salt"], "left")
+            .withColumn("lots", F.coalesce("lots", F.lit(1).cast("bigint"))).drop("salt"))
+
+
 def _spheres(batches: Iterator[pa.RecordBatch]):
     """Centre and radius (angle) of each block of a stream sorted by grp."""
     for table in _groups(batches):
@@ -298,8 +346,7 @@ def count_links(nodes: DataFrame, cuts: Cuts, threshold: float,
     placed = cuts.cut(nodes.join(sizes, "team").join(coded, "node").select(
         "node", "copies", "team", "vec",
         F.expr(f"shiftright(codes[0], {CODE_BITS} - bits)").alias("cell")), "cells")
-    cells = placed.groupBy("team", "cell").agg(F.ceil(F.count("*") / TILE).alias("lots"))
-    dealt = cuts.cut(placed.join(cells, ["team", "cell"]).select(
+    dealt = cuts.cut(_with_lots(placed, ["team", "cell"], TILE).select(
         "node", "copies", "vec", "team", F.xxhash64(
             "team", "cell", F.pmod(F.xxhash64("node"), c("lots"))).alias("block")), "dealt")
     blocks = cuts.cut(
@@ -349,72 +396,53 @@ def count_links(nodes: DataFrame, cuts: Cuts, threshold: float,
     return out
 
 
-def _asked(counts: DataFrame, sample: int) -> list:
-    """About ``sample`` nodes, as many of each label and degree class as of any
-    other, with the nodes each stands for."""
-    kind = ["label", "class"]
-    ranked = (counts.withColumn("class", F.ceil(F.log2(F.col("near") + 1)))
-              .withColumn("place", F.row_number().over(
-                  W.partitionBy(*kind).orderBy(F.xxhash64("node", F.lit(11)), "node")))
-              .where(F.col("place") <= sample))
-    rows = (ranked.orderBy("place", F.xxhash64("node", F.lit(11)), "node").limit(sample)
-            .select("node", "label", "vec", "near", "class").collect())
-    sizes = {(r["label"], r["class"]): r["count"] for r in
-             counts.withColumn("class", F.ceil(F.log2(F.col("near") + 1))).groupBy(*kind).count()
-             .collect()}
-    drawn: dict[tuple, int] = {}
-    for r in rows:
-        drawn[r["label"], r["class"]] = drawn.get((r["label"], r["class"]), 0) + 1
-    return [(r["node"], r["label"], r["vec"], r["near"],
-             sizes[r["label"], r["class"]] / drawn[r["label"], r["class"]]) for r in rows]
-
-
 def audit(counts: DataFrame, threshold: float, sample: int) -> float:
-    """The least recall of any label or true degree class: the mean, over the
-    nodes with links that a sample of ``counts`` (node, label, vec, copies,
-    near) stands for, of the part of a node's links that was counted."""
-    asked = _asked(counts, sample)
-    queries = [q[:3] for q in asked]
-    true = {r["v"]: r["n"] for r in counts.select("node", "label", "vec", "copies").mapInArrow(
-        lambda b: _exact(b, queries, threshold), "v bigint, n bigint")
-        .groupBy("v").agg(F.sum("n").alias("n")).collect()}
-    sums: dict[tuple, list] = {}
-    for node, label, _, near, weight in asked:
-        n = true.get(node, 0)
-        if n:
-            for kind in (("label", label), ("links", n.bit_length())):
-                entry = sums.setdefault(kind, [0.0, 0.0])
-                entry[0] += weight * near / n
-                entry[1] += weight
-    return min((held / all_ for held, all_ in sums.values()), default=1.0)
-
-
-def _exact(batches: Iterator[pa.RecordBatch], queries, threshold: float):
-    by_kind: dict[tuple, list] = {}
-    for node, label, vec in queries:
-        by_kind.setdefault((label, len(vec)), []).append((node, vec))
-    for batch in slices(batches, 4096):
-        flat, at = _vectors(batch.column("vec"))
-        node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
-        label, dim = np.array(batch.column("label").to_pylist(), object), np.diff(at)
-        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for (want, size), asked in by_kind.items():
-            rows = np.flatnonzero((dim == size) & (label == want))
-            if len(rows):
-                x = _unit(np.stack([flat[at[r]:at[r] + size] for r in rows]))
-                sims = _unit(np.array([q[1] for q in asked], np.float64)) @ x.T
-                ids = np.array([q[0] for q in asked])
-                link = (sims >= threshold) & (ids[:, None] != node[rows][None, :])
-                out[0].append(ids)
-                out[1].append(link @ copies[rows])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
-                                         names=["v", "n"])
+    """The least recall of any label or true degree class over ``counts`` (node,
+    label, vec, copies, near): the mean, over the nodes with links that the
+    sample stands for, of the part of a node's links that was counted.
+
+    ``sample`` nodes are drawn from every degree class of every label and meet
+    all vectors of their label in groups of about AUDIT_ROWS; the driver gets
+    one number."""
+    c, kind, cuts = F.col, ["label", "dim", "class"], Cuts(counts.sparkSession, "audit")
+    rows = cuts.cut(_with_lots(counts.withColumns(
+        {"dim": F.size("vec"), "class": F.ceil(F.log2(c("near") + 1))}),
+        ["label", "dim"], AUDIT_ROWS), "rows")
+    place = F.row_number().over(
+        W.partitionBy(*kind).orderBy(F.xxhash64("node", F.lit(11)), "node"))
+    sizes = rows.groupBy(*kind).agg(F.count("*").alias("nodes"))
+    asked = cuts.cut(rows.withColumn("place", place).where(c("place") <= sample)
+                     .join(sizes, kind).withColumn(
+                         "weight", c("nodes") / F.least(c("nodes"), F.lit(sample))), "asked")
+    sides = (asked.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), c("lots") - 1)))
+             .withColumn("side", F.lit(0))
+             .unionByName(rows.withColumn("lot", F.pmod(F.xxhash64("node", F.lit(13)), c("lots")))
+                          .withColumn("side", F.lit(1)), allowMissingColumns=True)
+             .select(F.xxhash64("label", "dim", "lot").alias("grp"), "side", "node", "copies",
+                     "vec"))
+    found = (sides.repartition(partitions_of(counts.sparkSession), "grp")
+             .sortWithinPartitions("grp")
+             .mapInArrow(lambda b: _tiled(b, threshold, False),
+                         "node bigint, near bigint, other bigint")
+             .groupBy("node").agg(F.sum("near").alias("links")).where("links > 0"))
+    judged = cuts.cut(asked.join(found, "node").select(
+        "label", F.ceil(F.log2(c("links") + 1)).alias("class"), "weight",
+        (c("weight") * c("near") / c("links")).alias("held")), "judged")
+    recall = None
+    for key in ("label", "class"):
+        part = judged.groupBy(key).agg((F.sum("held") / F.sum("weight")).alias("recall"))
+        part = part.select("recall")
+        recall = part if recall is None else recall.unionByName(part)
+    least = recall.agg(F.min("recall")).first()[0]
+    cuts.drop(rows, asked, judged)
+    return 1.0 if least is None else least
 
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                            label_col: str = "label", threshold: float = 0.93, width: int = 12,
-                           tables: int = 6, max_rounds: int = 8, recall: float = 0.98,
-                           sample: int = 256, retries: int = 3) -> DataFrame:
+                           max_width: int = 48, tables: int = 6, max_rounds: int = 8,
+                           recall: float = 0.98, sample: int = 32,
+                           retries: int = 3) -> DataFrame:
     """One row per input row: vec_id, n_links (other vectors linked directly),
     component_id (smallest vec_id reachable), kept (vec_id = component_id).
 
@@ -422,6 +450,8 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
     null id, a null label, or a vector that is null, empty, zero or holds null
     or non-finite components link with nothing and are their own component.
     Equal vectors of a label are links of each other.  Empty table: no rows.
+    Lists start with ``width`` places and grow to ``max_width``; links beyond
+    that are not lost, as spanning links and the tiles find them.
     """
     cuts = Cuts(rows.sparkSession, "vectors")
     c = F.col
@@ -435,7 +465,7 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
     nodes = cuts.cut(given.where("sound").groupBy("label", "vec")
                      .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
                      .withColumn("dim", F.size("vec")), "nodes")
-    descent = NNDescent(nodes, cuts, threshold, width)
+    descent = NNDescent(nodes, cuts, threshold, width, max_width)
 
     def counted(found: DataFrame) -> DataFrame:
         near = (found.where("near IS NOT NULL").groupBy("node").agg(F.sum("near").alias("near")))
