@@ -259,7 +259,19 @@ def test_url_rules_and_terms(spark):
         (9, "casinos.org", "/", None, "allow"), (10, "free.org", "/win", None, "block"),
         (11, "free.org", "/free", None, "allow"), (None, "x.org", "", None, "allow")}
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
-    assert url_filter.keep_allowed(pages).columns == pages.columns
+    kept = url_filter.keep_allowed(pages)
+    assert kept.schema == pages.schema
+    assert sorted(map(str, kept.collect())) == sorted(
+        str(r) for r, verdict in ((r, url_filter.judge_urls(
+            spark.createDataFrame([r], pages.schema)).first()["verdict"])
+            for r in pages.collect()) if verdict == "allow")
+    shared = spark.createDataFrame(
+        [(1, "http://a.net/es/", "n"), (1, "http://ok.org/", None), (None, "http://ok.org/", "x"),
+         (None, None, None), (2, "http://ok.org/", "x"), (2, "http://ok.org/", "x")],
+        "page_id bigint, url string, verdict string")
+    assert sorted(map(str, url_filter.keep_allowed(shared).collect())) == sorted(
+        map(str, shared.collect()[1:]))
+    assert url_filter.keep_allowed(shared.limit(0)).count() == 0
 
 
 def plain_repeats(rows, length):

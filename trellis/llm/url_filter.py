@@ -125,9 +125,25 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         "n_strict int, n_soft int")
 
 
-def keep_allowed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-                 **rules) -> DataFrame:
-    """The rows whose URL is allowed, with all their columns."""
-    verdicts = judge_urls(pages, id_col, url_col, **rules)
-    allowed = verdicts.where("verdict = 'allow'").select(verdicts["page_id"].alias(id_col))
-    return pages.join(allowed.distinct(), id_col, "left_semi")
+def _allowed(batches: Iterator[pa.RecordBatch], url_col: str, rules, strict, soft,
+             soft_limit: int):
+    for batch in batches:
+        asked = pa.RecordBatch.from_arrays(
+            [pa.array(range(batch.num_rows), pa.int64()), batch.column(url_col)],
+            names=["page_id", "url"])
+        kept = [at for judged in _judged(iter([asked]), rules, strict, soft, soft_limit)
+                for at, verdict in zip(judged.column("page_id").to_pylist(),
+                                       judged.column("verdict").to_pylist())
+                if verdict == "allow"]
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
+def keep_allowed(pages: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT,
+                 soft_limit: int = 2) -> DataFrame:
+    """The rows whose URL is allowed, with all their columns and no others.
+
+    Every row is judged by its own URL where it is read, so rows that share an
+    id, or have none, are decided apart; a null URL is allowed; an empty table
+    gives no rows."""
+    return pages.mapInArrow(lambda batches: _allowed(batches, url_col, rules, strict, soft,
+                                                     soft_limit), pages.schema)
