@@ -119,3 +119,44 @@ def test_parse_events_and_modified_since(spark):
     assert read_events(spark, path, modified_since=future, recursive=True).count() == 0
     past = dt.datetime(2000, 1, 1)
     assert read_events(spark, path, modified_since=past, recursive=True).count() == 1
+
+
+def test_chat_logs_are_read_by_entry(spark):
+    """One huge log file is split among tasks: no row holds more than one entry,
+    and (block, pos) give the order they were written in."""
+    from trellis.sources.chatlog import ENTRY_SEPARATOR, QUESTION_PATTERN, read_chat_logs
+    base = os.path.join(_local(scratch_path(spark, "chats")), "chat_date=2024-01-01")
+    os.makedirs(base)
+    entries = [f"## 10:00:00 UTC\n\n**Question:** why {i}?\n\n{'line - ' * (i % 90)}\nso {i}\n\n"
+               for i in range(3000)] + ["no question\n\n"]
+    with open(os.path.join(base, "log.txt"), "w") as f:
+        f.write("".join(e + ENTRY_SEPARATOR for e in entries))
+    assert QUESTION_PATTERN and ENTRY_SEPARATOR == "---\n\n"
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = read_chat_logs(spark, os.path.dirname(base))
+        assert got.rdd.getNumPartitions() > 3
+        rows = got.orderBy("file", "block", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert [r.question for r in rows] == [f"why {i}?" for i in range(3000)]
+    assert all(r.answer.endswith(f"so {i}") for i, r in enumerate(rows))
+    assert len({r.block for r in rows}) > 3 and {r.chat_date for r in rows} == {"2024-01-01"}
+
+
+def test_churn_labels_come_from_the_later_period(spark):
+    import datetime as dt
+
+    from trellis.operators import models as M
+    rows = [(1, 2020, 3, "2020-03-05"), (1, 2021, 2, "2021-02-01"), (2, 2020, 4, "2020-04-30"),
+            (3, 2021, 12, "2021-12-31"), (2, 2020, 12, "2020-12-31")]
+    c360 = spark.createDataFrame([(c, y, m, dt.date.fromisoformat(d), 1, 2.0, 2.0)
+                                  for c, y, m, d in rows],
+                                 "customer_id int, year int, month int, last_order_date date, "
+                                 "total_orders bigint, total_spent double, avg_order_value double")
+    cut = M.label_cut(c360)
+    assert cut == dt.date(2021, 1, 1) and M.label_cut(c360, back=1) == dt.date(2020, 1, 1)
+    got = {(r.customer_id, r.month): (r.days_since_last_order, r.label)
+           for r in M.churn_snapshot(c360, cut).collect()}
+    assert got == {(1, 3): (302, 0.0), (2, 4): (246, 1.0), (2, 12): (1, 1.0)}

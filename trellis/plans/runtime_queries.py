@@ -11,7 +11,7 @@ from ..operators import models as M
 from ..operators import warehouse as W
 from ..operators.chunks import L_CODE
 from ..operators.tools import run_tool
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as X
 from ..sources.events import lineage_events
 from ..streaming import ingest as S
@@ -26,19 +26,53 @@ CODE_TAIL = "(?s)\n" + re.escape(L_CODE) + ".*"
 
 
 def q_churn_model(spark, d):
-    feats = W.churn_features(_c360(spark, d), AS_OF)
+    """Every customer-month scored by a model of the latest labelled period."""
+    c360 = cut_lineage(_c360(spark, d), "customer_360")
     path = scratch_path(spark, "churn_model")
-    M.save(M.fit_churn(feats), path)
-    scored = M.score_churn(M.load(path), feats)
+    M.save(M.fit_churn(M.churn_snapshot(c360, M.label_cut(c360))), path)
+    scored = M.score_churn(M.load(path), W.churn_features(c360, AS_OF))
     return W.churn_scores(scored, scored_at=STAMP).select("customer_id", "churn_probability",
                                                           "risk_level")
 
 
+def q_churn_snapshot(spark, d):
+    """Features and labels of the latest labelled period."""
+    c360 = cut_lineage(_c360(spark, d), "customer_360")
+    return M.churn_snapshot(c360, M.label_cut(c360))
+
+
+def q_churn_quality(spark, d):
+    """A model of the period before, judged on the latest one."""
+    c360 = cut_lineage(_c360(spark, d), "customer_360")
+    model = M.fit_churn(M.churn_snapshot(c360, M.label_cut(c360, back=1)))
+    return M.churn_quality(model, M.churn_snapshot(c360, M.label_cut(c360)))
+
+
+def _demand_pairs(spark, d):
+    return M.demand_pairs(W.inventory_features(_metrics(spark, d)))
+
+
 def q_demand_model(spark, d):
-    feats = W.inventory_features(_metrics(spark, d))
+    """Every product-month scored by a model of the next row's units."""
+    pairs = cut_lineage(_demand_pairs(spark, d), "demand_pairs")
     path = scratch_path(spark, "demand_model")
-    M.save(M.fit_demand(feats), path)
-    return W.inventory_forecast(M.score_demand(M.load(path), feats), AS_OF)
+    M.save(M.fit_demand(pairs), path)
+    return W.inventory_forecast(M.score_demand(M.load(path), pairs), AS_OF)
+
+
+def q_demand_pairs(spark, d):
+    """Rolling mean and the units of the product's next row."""
+    return _demand_pairs(spark, d).select("product_id", "year", "month", "total_sold",
+                                          "rolling_avg_sold", "next_sold", "next_month")
+
+
+def q_demand_quality(spark, d):
+    """A model of the rows whose next row lies before the last twelve months,
+    judged on the others."""
+    pairs = cut_lineage(_demand_pairs(spark, d), "demand_pairs")
+    cut = M.label_cut(pairs)
+    model = M.fit_demand(pairs.where(F.col("next_month") < F.lit(cut)))
+    return M.demand_quality(model, pairs.where(F.col("next_month") >= F.lit(cut)))
 
 
 def _streamed_graph(spark, d):
@@ -166,6 +200,25 @@ def q_tool_job_code(spark, d):
 QUERIES = {
     "m01_churn_model": (q_churn_model, None),
     "m02_demand_model": (q_demand_model, None),
+    "m01_churn_quality": (q_churn_quality, None),
+    "m02_demand_quality": (q_demand_quality, None),
+    "m01_churn_snapshot": (q_churn_snapshot, f"""
+WITH c AS (SELECT *, make_date(CAST(year AS INTEGER), CAST(month AS INTEGER), 1) AS m
+           FROM ({WQ["p08_customer_360"][1]})),
+k AS (SELECT CAST(max(m) - INTERVAL 11 MONTH AS DATE) AS cut FROM c),
+active AS (SELECT DISTINCT customer_id FROM c, k WHERE m >= cut)
+SELECT c.customer_id, total_orders, total_spent, avg_order_value,
+  CAST(date_diff('day', last_order_date, cut) AS INTEGER) AS days_since_last_order, year, month,
+  CASE WHEN a.customer_id IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS label
+FROM c CROSS JOIN k LEFT JOIN active a ON a.customer_id = c.customer_id
+WHERE m < cut"""),
+    "m02_demand_pairs": (q_demand_pairs, f"""
+SELECT product_id, year, month, total_sold,
+  avg(total_sold) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_avg_sold,
+  CAST(lead(total_sold) OVER w AS DOUBLE) AS next_sold,
+  lead(make_date(CAST(year AS INTEGER), CAST(month AS INTEGER), 1)) OVER w AS next_month
+FROM ({WQ["p06_product_metrics"][1]})
+WINDOW w AS (PARTITION BY product_id ORDER BY year, month)"""),
     "t01_stream_ingest": (q_stream_ingest, GQ["g01_graph_datasets"][1]),
     "t01_stream_graph": (q_stream_graph, O.sql("""
 SELECT 'jobs' AS "table", key AS a, namespace AS b, name AS c, NULL::VARCHAR AS detail

@@ -46,8 +46,8 @@ def run_warehouse(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str,
     feats = W.inventory_features(metrics)
     churn_feats = W.churn_features(c360, as_of)
     if models:
-        demand = M.fit_demand(feats)
-        churn_model = M.fit_churn(churn_feats)
+        demand = M.fit_demand(M.demand_pairs(feats))
+        churn_model = M.fit_churn(M.churn_snapshot(c360, M.label_cut(c360)))
         for name, model in (("demand_model", demand), ("churn_model", churn_model)):
             path = os.path.join(out_dir, "models", name)
             M.save(model, path)

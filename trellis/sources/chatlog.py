@@ -41,19 +41,24 @@ def append_chat(entries: DataFrame, path: str) -> None:
 
 
 def read_chat_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of every log file as ``(chat_date, file, pos, question,
-    answer)``; the question is the rest of the ``**Question:**`` line and the
-    answer everything after it, stripped."""
-    raw = (spark.read.text(path, wholetext=True)
+    """Entries of every log file as ``(chat_date, file, block, pos,
+    question, answer)``; the question is the rest of the ``**Question:**`` line
+    and the answer everything after it, stripped.
+
+    Records end at the entry separator, so a long file is split among tasks
+    like any line file and no row holds more than one entry.  ``block`` is the
+    byte at which a split of the file starts and ``pos`` rises inside a split:
+    by (file, block, pos) the entries stand as written."""
+    ent = (spark.read.option("lineSep", ENTRY_SEPARATOR).text(path)
            .select(F.col("chat_date").cast("string").alias("chat_date"),
-                   F.col("_metadata.file_name").alias("file"), "value"))
-    ent = raw.select("chat_date", "file",
-                     F.posexplode(F.split("value", ENTRY_SEPARATOR, -1)).alias("pos", "entry"))
+                   F.col("_metadata.file_name").alias("file"),
+                   F.col("_metadata.file_block_start").alias("block"),
+                   F.monotonically_increasing_id().alias("pos"), F.col("value").alias("entry")))
     q = F.regexp_extract("entry", QUESTION_PATTERN, 1)
     after = F.regexp_extract("entry", r"\*\*Question:\*\* [^\n]+([\s\S]*)$", 1)
     strip = F.regexp_replace(after, r"(?U)^\s+|\s+$", "")
     return (ent.filter(F.col("entry").rlike(QUESTION_PATTERN))
-            .select("chat_date", "file", "pos",
+            .select("chat_date", "file", "block", "pos",
                     F.regexp_replace(q, r"(?U)^\s+|\s+$", "").alias("question"),
                     strip.alias("answer"))
             .filter(F.col("answer") != ""))
