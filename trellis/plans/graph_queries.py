@@ -218,6 +218,14 @@ def q_trace(spark, d):
             .agg(F.min(F.col("depth") + 1).cast("int").alias("depth")))
 
 
+def q_trace_edges(spark, d):
+    """Every expanded lineage edge of the walk, with its kind and marks."""
+    g = graph(spark, d)
+    roots = g.column_lineage.select(F.col("dataset_key").alias("key"),
+                                    F.col("out_field").alias("field")).distinct()
+    return G.column_trace(g, roots)
+
+
 def q_dataset_schema(spark, d):
     return G.dataset_schema(graph(spark, d), SCHEMA_NAME)
 
@@ -272,6 +280,22 @@ def q_norm_names(spark, d):
 
 _IMPACT_COLS = "root_key, node_key, depth, kind, name"
 
+#: CTEs of the walk from every output field back to its sources.
+_TRACE = (
+    ("resolve", """
+SELECT lower(name) AS lname, arg_min(key, (first_time, first_seq)) AS rkey
+FROM lin_datasets GROUP BY lower(name)"""),
+    ("trace(root_key, root_field, root_name, ldataset, field, d)", """
+SELECT c.dataset_key, c.out_field, d.name, lower(d.name), c.out_field, 0
+FROM (SELECT DISTINCT dataset_key, out_field FROM lin_cl) c
+JOIN lin_datasets d ON d.key = c.dataset_key
+UNION
+SELECT t.root_key, t.root_field, t.root_name, lower(c.src_table), c.src_field, t.d + 1
+FROM trace t JOIN resolve r ON r.lname = t.ldataset
+JOIN lin_cl c ON c.dataset_key = r.rkey AND c.out_field = t.field
+WHERE t.d < 7"""))
+
+
 QUERIES = {
     "g01_graph_datasets": (q_datasets, O.sql(
         "SELECT key, namespace, name, format, schema, last_seen FROM lin_datasets",
@@ -390,19 +414,20 @@ GROUP BY w.root_key, w.node_key""",
 SELECT root_key, root_field, ldataset AS dataset, field, CAST(min(d) AS INTEGER) AS depth
 FROM trace
 WHERE NOT (ldataset = lower(root_name) AND field = root_field)
-GROUP BY root_key, root_field, ldataset, field""", "lin_datasets", "lin_cl", extra=(
-        ("resolve", """
-SELECT lower(name) AS lname, arg_min(key, (first_time, first_seq)) AS rkey
-FROM lin_datasets GROUP BY lower(name)"""),
-        ("trace(root_key, root_field, root_name, ldataset, field, d)", """
-SELECT c.dataset_key, c.out_field, d.name, lower(d.name), c.out_field, 0
-FROM (SELECT DISTINCT dataset_key, out_field FROM lin_cl) c
-JOIN lin_datasets d ON d.key = c.dataset_key
-UNION
-SELECT t.root_key, t.root_field, t.root_name, lower(c.src_table), c.src_field, t.d + 1
-FROM trace t JOIN resolve r ON r.lname = t.ldataset
-JOIN lin_cl c ON c.dataset_key = r.rkey AND c.out_field = t.field
-WHERE t.d < 7""")), recursive=True)),
+GROUP BY root_key, root_field, ldataset, field""", "lin_datasets", "lin_cl", extra=_TRACE,
+                                recursive=True)),
+    "g08_column_trace_edges": (q_trace_edges, O.sql(f"""
+SELECT n.root_key, n.root_field, n.depth, n.ldataset AS dataset, n.field,
+  c.src_table AS src_dataset, c.src_field, c.type, c.subtype,
+  s.depth <> n.depth + 1 AS revisited,
+  s.depth = n.depth + 1 AND n.depth + 1 > {G.MAX_DEPTH} AS truncated
+FROM reached n JOIN resolve r ON r.lname = n.ldataset
+JOIN lin_cl c ON c.dataset_key = r.rkey AND c.out_field = n.field AND c.src_table IS NOT NULL
+LEFT JOIN reached s ON s.root_key = n.root_key AND s.root_field = n.root_field
+  AND s.ldataset = lower(c.src_table) AND s.field = c.src_field
+WHERE n.depth <= {G.MAX_DEPTH}""", "lin_datasets", "lin_cl", extra=(*_TRACE, ("reached", """
+SELECT root_key, root_field, ldataset, field, CAST(min(d) AS INTEGER) AS depth
+FROM trace GROUP BY root_key, root_field, ldataset, field""")), recursive=True)),
     "g12_central": (q_central, O.sql(f"""
 SELECT key, kind, namespace, name FROM lin_nodes
 WHERE (kind = 'dataset' AND name = '{ROOT_NAME}') OR (kind = 'job' AND name = '{CENTRAL_JOB}')
