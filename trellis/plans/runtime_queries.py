@@ -114,13 +114,30 @@ def q_stream_run_stats(spark, d):
                     F.col("last.event_time").alias("last_time"))
 
 
-def q_warehouse_dag(spark, d):
+def _run_chain(spark, d, models=False):
     from .warehouse_dag import run_warehouse
     raw = {"orders": X.raw_orders(spark, d), "customers": X.raw_customers(spark, d),
            "products": X.raw_products(spark, d)}
-    out = scratch_path(spark, "warehouse")
-    paths = run_warehouse(spark, raw, out, AS_OF, loaded_at=STAMP)
-    return spark.read.parquet(paths["marketing_segments"])
+    return run_warehouse(spark, raw, scratch_path(spark, "warehouse"), AS_OF, loaded_at=STAMP,
+                         models=models)
+
+
+def q_warehouse_dag(spark, d):
+    return spark.read.parquet(_run_chain(spark, d)["marketing_segments"])
+
+
+def q_warehouse_models(spark, d):
+    """Rows of the tables that follow from the models' scores, when the chain
+    fits, saves and loads its own models, and how many rows hold a score in range."""
+    paths = _run_chain(spark, d, models=True)
+
+    def scored(name, good):
+        return spark.read.parquet(paths[name]).agg(
+            F.count("*").alias("n_rows"), F.count_if(F.expr(good)).alias("n_scored")
+        ).select(F.lit(name).alias("table"), "n_rows", "n_scored")
+
+    return (scored("inventory_forecast", "predicted_demand IS NOT NULL")
+            .unionByName(scored("churn_scores", "churn_probability BETWEEN 0 AND 1")))
 
 
 #: Table of the job chain -> its own query and the amount that the check sums.
@@ -229,6 +246,10 @@ UNION ALL SELECT 'column_lineage', dataset_key, out_field, src_table,
                  concat_ws('|', src_field, type, subtype) FROM lin_cl""",
                                                "lin_jobs", "lin_edges", "lin_runs", "lin_cl")),
     "t02_stream_run_stats": (q_stream_run_stats, GQ["a04_run_stats"][1]),
+    "p13_warehouse_models": (q_warehouse_models, f"""
+SELECT 'inventory_forecast' AS "table", count(*) AS n_rows, count(*) AS n_scored
+FROM ({WQ["p09_inventory_forecast"][1]})
+UNION ALL SELECT 'churn_scores', count(*), count(*) FROM ({WQ["p11_churn_scores"][1]})"""),
     "p13_warehouse_dag": (q_warehouse_dag, WQ["p12_marketing_segments"][1]),
     "p13_warehouse_tables": (q_warehouse_tables, "\nUNION ALL\n".join(
         f"SELECT '{name}' AS \"table\", count(*) AS n_rows, "
