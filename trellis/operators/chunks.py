@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_passage
-from ..session import cut_lineage, drop_cut
+from ..session import by_shuffle, cut_lineage, drop_cut
 from .graph_ops import find_jobs, source_datasets
 from .lineage_graph import LineageGraph, run_stats
 
@@ -80,8 +80,8 @@ def lineage_lines(g: LineageGraph, with_transform: bool = True) -> DataFrame:
 
 def dataset_chunks(g: LineageGraph) -> DataFrame:
     """One document per dataset."""
-    pc = find_jobs(g)
-    ll = lineage_lines(g)
+    pc = by_shuffle(find_jobs(g))
+    ll = by_shuffle(lineage_lines(g))
     d = g.datasets.join(pc.select("key", "producers", "consumers"), "key", "left") \
         .join(ll, "key", "left")
     text = F.concat_ws(
@@ -104,7 +104,8 @@ def dataset_chunks(g: LineageGraph) -> DataFrame:
 def job_chunks(g: LineageGraph, job_code: DataFrame | None = None) -> DataFrame:
     """One document per job (code appended when known:
     ``job_code(job_key, code)``)."""
-    names = g.datasets.select(F.col("key").alias("ds_key"), F.col("name").alias("ds_name"))
+    names = by_shuffle(g.datasets.select(F.col("key").alias("ds_key"),
+                                         F.col("name").alias("ds_name")))
     ins = (g.edges.filter(F.col("relation") == "feeds")
            .select(F.col("dst").alias("key"), F.col("src").alias("ds_key"))
            .join(names, "ds_key").groupBy("key")
@@ -114,9 +115,10 @@ def job_chunks(g: LineageGraph, job_code: DataFrame | None = None) -> DataFrame:
             .join(names, "ds_key").groupBy("key")
             .agg(F.array_sort(F.collect_list("ds_name")).alias("outputs")))
     rs = run_stats(g.runs).withColumnRenamed("job_key", "key")
-    j = g.jobs.join(ins, "key", "left").join(outs, "key", "left").join(rs, "key", "left")
+    j = (g.jobs.join(by_shuffle(ins), "key", "left").join(by_shuffle(outs), "key", "left")
+         .join(by_shuffle(rs), "key", "left"))
     if job_code is not None:
-        j = j.join(job_code.select(F.col("job_key").alias("key"), "code"), "key", "left")
+        j = j.join(by_shuffle(job_code.select(F.col("job_key").alias("key"), "code")), "key", "left")
     else:
         j = j.withColumn("code", F.lit(None).cast("string"))
 
@@ -149,14 +151,14 @@ def impact_chunks(g: LineageGraph) -> DataFrame:
         F.col("src").alias("key"), F.col("dst").alias("job_key"))
     p = g.edges.filter(F.col("relation") == "produces").select(
         F.col("src").alias("job_key"), F.col("dst").alias("out_key"))
-    src = source_datasets(g).select("key", "name")
-    chains = (f.join(src.select("key"), "key", "left_semi").join(p, "job_key")
-              .join(jobs, "job_key").join(outs, "out_key")
+    src = by_shuffle(source_datasets(g).select("key", "name"))
+    chains = (f.join(src.select("key"), "key", "left_semi").join(by_shuffle(p), "job_key")
+              .join(by_shuffle(jobs), "job_key").join(by_shuffle(outs), "out_key")
               .select("key", F.concat(F.lit(L_CHAIN_JOB), F.col("job_name"),
                                       F.lit(L_CHAIN_DATASET), F.col("out_name"), F.lit("'"))
                       .alias("line")))
     per = chains.groupBy("key").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    d = src.join(per, "key")
+    d = src.join(by_shuffle(per), "key")
     text = F.concat_ws(
         "\n",
         F.concat(F.lit(L_IMPACT), F.col("name")),

@@ -37,7 +37,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..functions.lineage import norm_job_name
-from ..session import cut_lineage
+from ..session import by_shuffle, cut_lineage
 
 # Fixed value: minimum similarity for a fuzzy match.
 SIMILARITY_THRESHOLD = 0.75
@@ -94,7 +94,7 @@ def _jobs(jobs: DataFrame) -> DataFrame:
 
 def match_exact(jobs: DataFrame, idx: DataFrame) -> DataFrame:
     """Equal normalised names."""
-    return (_jobs(jobs).join(idx, F.col("job_norm") == F.col("norm"))
+    return (_jobs(jobs).join(by_shuffle(idx), F.col("job_norm") == F.col("norm"))
             .select("job_key", "job_name", "file_name", "code",
                     F.lit("exact").alias("match_kind"), F.lit(1.0).alias("score")))
 
@@ -112,11 +112,11 @@ def match_suffix(jobs: DataFrame, idx: DataFrame) -> DataFrame:
     # file name is a suffix of the job name
     a = (j.select("job_key", "job_name", "job_norm",
                   F.explode(_suffixes(F.col("job_norm"))).alias("sfx"))
-         .join(idx, F.col("sfx") == F.col("norm")))
+         .join(by_shuffle(idx), F.col("sfx") == F.col("norm")))
     # job name is a suffix of the file name
     fsuf = idx.select("file_name", "code", "norm",
                       F.explode(_suffixes(F.col("norm"))).alias("sfx"))
-    b = j.join(fsuf, F.col("job_norm") == F.col("sfx"))
+    b = j.join(by_shuffle(fsuf), F.col("job_norm") == F.col("sfx"))
     cols = ["job_key", "job_name", "file_name", "code", "norm"]
     both = a.select(*cols).unionByName(b.select(*cols))
     w = Window.partitionBy("job_key").orderBy("norm", "file_name")
@@ -133,7 +133,7 @@ def _bigram_occurrences(df: DataFrame, key: str, s: str) -> DataFrame:
                         lambda i: F.substring(F.col(s), i, 2))
     g = df.select(key, s, F.posexplode(grams).alias("p", "gram")).filter(F.length("gram") == 2)
     w = Window.partitionBy(key, "gram").orderBy("p")
-    return g.withColumn("occ", F.row_number().over(w) - 1).drop("p")
+    return by_shuffle(g.withColumn("occ", F.row_number().over(w) - 1).drop("p"))
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -162,7 +162,7 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Dat
 
     lp = prefix(locc, "lkey", "ls")
     rp = prefix(rocc, "rkey", "rs")
-    by_gram = lp.join(rp, ["gram", "occ"]).select("lkey", "rkey").distinct()
+    by_gram = by_shuffle(lp).join(rp, ["gram", "occ"]).select("lkey", "rkey").distinct()
 
     # very short pairs (T <= 8 at t = 0.75): no bigram guarantee; a shared
     # character is required instead
@@ -171,10 +171,11 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Dat
     rs = right.filter(F.length("rs") < short_t)
 
     def chars(df, key, s):
-        return df.select(key, F.explode(F.split(F.col(s), "")).alias("ch")).distinct()
+        return by_shuffle(df.select(key, F.explode(F.split(F.col(s), "")).alias("ch")).distinct())
     by_char = (chars(ls, "lkey", "ls").join(chars(rs, "rkey", "rs"), "ch")
                .select("lkey", "rkey").distinct())
-    short_pairs = (by_char.join(ls, "lkey").join(rs, "rkey")
+    left, right = by_shuffle(left), by_shuffle(right)
+    short_pairs = (by_char.join(by_shuffle(ls), "lkey").join(by_shuffle(rs), "rkey")
                    .filter(F.length("ls") + F.length("rs") <= short_t)
                    .select("lkey", "rkey"))
     cands = by_gram.unionByName(short_pairs).distinct()
@@ -216,9 +217,9 @@ def _deletions(df: DataFrame, key: str, s: str) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
         lambda i: F.transform(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: without(i, j)))))
     by_gone = F.array(F.array(c), F.array_distinct(one), F.array_distinct(two))
-    return (df.where(n.between(1, DELETION_MAX_LEN))
-            .select(key, F.posexplode(by_gone).alias("gone", "variants"))
-            .select(key, F.explode("variants").alias("variant"), "gone"))
+    return by_shuffle(df.where(n.between(1, DELETION_MAX_LEN))
+                      .select(key, F.posexplode(by_gone).alias("gone", "variants"))
+                      .select(key, F.explode("variants").alias("variant"), "gone"))
 
 
 def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -227,7 +228,7 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     a = _deletions(left, "lkey", "ls").withColumnRenamed("gone", "lgone")
     pairs = (a.join(_deletions(right, "rkey", "rs"), "variant")
              .where("lgone + gone <= 2").select("lkey", "rkey").distinct())
-    return pairs.join(left, "lkey").join(right, "rkey")
+    return pairs.join(by_shuffle(left), "lkey").join(by_shuffle(right), "rkey")
 
 
 def unseen_bound(length: Column, distance: int) -> Column:
@@ -270,7 +271,7 @@ def _best_of_all(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     first = (bounded.groupBy("lkey").agg(
         F.min_by(F.struct("ls", "rkey", "rs"), F.struct(-F.col("upper"), "rkey")).alias("p"))
         .select("lkey", similarity(F.col("p.ls"), F.col("p.rs")).alias("lower")))
-    worth = (bounded.join(first, "lkey")
+    worth = (bounded.join(by_shuffle(first), "lkey")
              .filter(F.col("upper") >= F.greatest("lower", F.lit(threshold))))
     return _best(_scored(worth, threshold))
 
@@ -286,13 +287,13 @@ def match_fuzzy(jobs: DataFrame, idx: DataFrame,
         _best(_scored(near_pairs(left, right), threshold))
         .where(F.col("score") > unseen_bound(F.length("ls"), 2))
         .select("lkey", "rkey", "score"), "fuzzy_near")
-    rest = cut_lineage(left.join(settled, "lkey", "left_anti"), "fuzzy_rest")
+    rest = cut_lineage(left.join(by_shuffle(settled), "lkey", "left_anti"), "fuzzy_rest")
     best = settled
     if not rest.isEmpty():
         best = settled.unionByName(_best_of_all(rest, right, threshold)
                                    .select("lkey", "rkey", "score"))
-    return (best.join(j, F.col("lkey") == F.col("job_key"))
-            .join(idx, F.col("rkey") == F.col("norm"))
+    return (by_shuffle(best).join(j, F.col("lkey") == F.col("job_key"))
+            .join(by_shuffle(idx), F.col("rkey") == F.col("norm"))
             .select("job_key", "job_name", "file_name", "code",
                     F.lit("fuzzy").alias("match_kind"), "score"))
 
@@ -302,8 +303,8 @@ def match_code(jobs: DataFrame, code: DataFrame,
     """Exact -> suffix -> fuzzy, each on the jobs still unmatched;
     ``match_kind`` records the tier, unmatched jobs get ``miss``.  Each tier's
     (small) result is written once so later tiers do not recompute it."""
-    idx = cut_lineage(code_index(code), "code_idx")
-    js = cut_lineage(jobs.select("key", "name"), "match_jobs")
+    idx = by_shuffle(cut_lineage(code_index(code), "code_idx"))
+    js = by_shuffle(cut_lineage(jobs.select("key", "name"), "match_jobs"))
     exact = cut_lineage(match_exact(js, idx), "match_exact")
     rest = js.join(exact.select(F.col("job_key").alias("key")), "key", "left_anti")
     suffix = cut_lineage(match_suffix(rest, idx), "match_suffix")
@@ -331,17 +332,19 @@ def job_code(jobs: DataFrame, code: DataFrame, matches: DataFrame | None = None)
     """Code per job -- the cascade's match, else a file named exactly
     like the job, else the first file whose name is contained in the job name."""
     js = jobs.select(F.col("key").alias("job_key"), F.col("name").alias("job_name"))
-    files = code.select("file_name", "code")
+    files = by_shuffle(code.select("file_name", "code"))
     by_name = (js.join(files, F.col("job_name") == F.col("file_name"))
                .groupBy("job_key").agg(F.min_by("code", "file_name").alias("c_name")))
     subs = (js.select("job_key", F.explode(F.array_distinct(_substrings(F.col("job_name"))))
                       .alias("sub"))
             .join(files, F.col("sub") == F.col("file_name"))
             .groupBy("job_key").agg(F.min_by("code", "file_name").alias("c_sub")))
-    out = js.join(by_name, "job_key", "left").join(subs, "job_key", "left")
+    out = (js.join(by_shuffle(by_name), "job_key", "left")
+           .join(by_shuffle(subs), "job_key", "left"))
     if matches is not None:
-        out = out.join(matches.filter(F.col("code").isNotNull())
-                       .select("job_key", F.col("code").alias("c_match")), "job_key", "left")
+        out = out.join(by_shuffle(matches.filter(F.col("code").isNotNull())
+                                  .select("job_key", F.col("code").alias("c_match"))),
+                       "job_key", "left")
     else:
         out = out.withColumn("c_match", F.lit(None).cast("string"))
     return out.select("job_key", "job_name",
@@ -352,5 +355,5 @@ def attach_code(jobs: DataFrame, code: DataFrame,
                 threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """Jobs with their matched code (``code``) and match tier."""
     m = match_code(jobs, code, threshold)
-    return jobs.join(m.select("job_key", "code", "match_kind",
-                              "file_name").withColumnRenamed("job_key", "key"), "key", "left")
+    return jobs.join(by_shuffle(m.select("job_key", "code", "match_kind", "file_name")
+                                .withColumnRenamed("job_key", "key")), "key", "left")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_cut
+from ..session import by_shuffle, cut_lineage, drop_cut
 from .lineage_graph import LineageGraph
 
 MAX_DEPTH = 6
@@ -118,7 +118,7 @@ def impact_chain(g: LineageGraph) -> DataFrame:
 def find_jobs(g: LineageGraph, datasets: DataFrame | None = None) -> DataFrame:
     """Producers and consumers (sorted job names) per dataset."""
     d = (datasets if datasets is not None else g.datasets).select("key", "name", "namespace")
-    jobs = g.jobs.select(F.col("key").alias("job_key"), F.col("name").alias("job_name"))
+    jobs = by_shuffle(g.jobs.select(F.col("key").alias("job_key"), F.col("name").alias("job_name")))
     prod = (g.edges.filter(F.col("relation") == "produces")
             .select(F.col("dst").alias("key"), F.col("src").alias("job_key"))
             .join(jobs, "job_key").groupBy("key")
@@ -128,7 +128,7 @@ def find_jobs(g: LineageGraph, datasets: DataFrame | None = None) -> DataFrame:
             .join(jobs, "job_key").groupBy("key")
             .agg(F.array_sort(F.collect_list("job_name")).alias("consumers")))
     empty = F.array().cast("array<string>")
-    return (d.join(prod, "key", "left").join(cons, "key", "left")
+    return (d.join(by_shuffle(prod), "key", "left").join(by_shuffle(cons), "key", "left")
             .select("key", "name", "namespace",
                     F.coalesce("producers", empty).alias("producers"),
                     F.coalesce("consumers", empty).alias("consumers")))

@@ -23,7 +23,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import by_shuffle, cut_lineage
 from ..functions.lineage import (dataset_key, dataset_name, dataset_ns, first_transform,
                                  infer_format, job_key, job_short_name, render_schema)
 
@@ -163,7 +163,8 @@ def build_column_lineage(s: DataFrame) -> DataFrame:
 class WrittenGraph(LineageGraph):
     """The graph of some events whose tables are built when first read: each is
     written once to the shared checkpoint folder, from cleaned events and
-    sightings written once, and a query that reads two tables builds two."""
+    sightings written once, and a query that reads two tables builds two.  The
+    tables compress well, so their joins shuffle (``by_shuffle``)."""
 
     def __init__(self, events: DataFrame):
         self._events = events
@@ -178,23 +179,27 @@ class WrittenGraph(LineageGraph):
 
     @cached_property
     def datasets(self) -> DataFrame:
-        return cut_lineage(build_nodes_datasets(self._sightings), "datasets")
+        return by_shuffle(cut_lineage(build_nodes_datasets(self._sightings), "datasets"))
 
     @cached_property
     def jobs(self) -> DataFrame:
-        return cut_lineage(build_jobs(self._clean), "jobs")
+        return by_shuffle(cut_lineage(build_jobs(self._clean), "jobs"))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut_lineage(build_edges(self._sightings), "edges")
+        return by_shuffle(cut_lineage(build_edges(self._sightings), "edges"))
 
     @cached_property
     def runs(self) -> DataFrame:
-        return cut_lineage(build_runs(self._clean), "runs")
+        return by_shuffle(cut_lineage(build_runs(self._clean), "runs"))
 
     @cached_property
     def column_lineage(self) -> DataFrame:
-        return cut_lineage(build_column_lineage(self._sightings), "column_lineage")
+        return by_shuffle(cut_lineage(build_column_lineage(self._sightings), "column_lineage"))
+
+    @property
+    def nodes(self) -> DataFrame:
+        return by_shuffle(super().nodes)        # a union drops the requests of its sides
 
 
 def build_graph(events: DataFrame, materialize: bool = False) -> LineageGraph:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.scalars import contains_any, keep_lines, tokens
-from ..session import cut_lineage, spread
+from ..session import by_shuffle, cut_lineage, spread
 from .chunks import _ordered_join, lineage_lines
 from .graph_ops import find_jobs, longest_match
 from .lineage_graph import LineageGraph, run_stats
@@ -239,16 +239,17 @@ def contained_terms(questions: DataFrame, terms: DataFrame, qcol: str = "questio
     joining each term's rarest gram (counted over all terms) with the
     question's grams loses none, and ``contains`` decides the few candidates.
     Terms shorter than ``k`` join the question's substrings of their length.
+    Grams are many times the texts they come from, so all joins shuffle.
     """
-    t = terms.withColumn("lterm", F.lower("term"))
-    q = questions.select("q_id", F.lower(qcol).alias("_lq"))
+    t = by_shuffle(terms.withColumn("lterm", F.lower("term")))
+    q = by_shuffle(questions.select("q_id", F.lower(qcol).alias("_lq")))
     by_gram = t.where(F.length("lterm") >= k).withColumn("gram", F.explode(_grams(F.col("lterm"), k)))
     freq = by_gram.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
     w = Window.partitionBy("term_kind", "term").orderBy("_f", "gram")
     anchors = (by_gram.join(freq, "gram").withColumn("_r", F.row_number().over(w))
                .where("_r = 1").select("gram", "term_kind", "term", "lterm"))
     long = (q.select("q_id", F.explode(_grams(F.col("_lq"), k)).alias("gram"))
-            .join(anchors, "gram").join(q, "q_id")
+            .join(by_shuffle(anchors), "gram").join(q, "q_id")
             .where(F.col("_lq").contains(F.col("lterm"))).select("q_id", "term_kind", "term"))
     pieces = F.array_distinct(F.concat(*[_grams(F.col("_lq"), n) for n in range(1, k)]))
     short = (q.select("q_id", F.explode(pieces).alias("lterm"))
@@ -260,15 +261,15 @@ def token_subset_terms(questions: DataFrame, terms: DataFrame,
                        qcol: str = "question") -> DataFrame:
     """``(q_id, term_kind, term)`` where the term has more than one token and
     all of them are question tokens (joined on the term's rarest token)."""
-    t = (terms.withColumn("ttok", F.array_distinct(tokens("term")))
-         .filter(F.size("ttok") > 1))
+    t = by_shuffle(terms.withColumn("ttok", F.array_distinct(tokens("term")))
+                   .filter(F.size("ttok") > 1))
     freq = (t.select(F.explode("ttok").alias("tok")).groupBy("tok")
             .agg(F.count(F.lit(1)).alias("f")))
     te = t.select("term_kind", "term", "ttok", F.explode("ttok").alias("tok")).join(freq, "tok")
     w = Window.partitionBy("term_kind", "term").orderBy("f", "tok")
     rare = te.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "f")
     qt = questions.select("q_id", F.array_distinct(tokens(qcol)).alias("qtok"))
-    qe = qt.select("q_id", "qtok", F.explode("qtok").alias("tok"))
+    qe = by_shuffle(qt.select("q_id", "qtok", F.explode("qtok").alias("tok")))
     return (qe.join(rare, "tok").filter(tokens_subset(F.col("ttok"), F.col("qtok")))
             .select("q_id", "term_kind", "term"))
 
@@ -283,7 +284,7 @@ def detect_entities(questions: DataFrame, index: DataFrame, qcol: str = "questio
     piv = best.groupBy("q_id").agg(
         F.max(F.when(F.col("term_kind") == "namespace", F.col("term"))).alias("ns"),
         F.max(F.when(F.col("term_kind") == "name", F.col("term"))).alias("name"))
-    return questions.select("q_id").join(piv, "q_id", "left")
+    return questions.select("q_id").join(by_shuffle(piv), "q_id", "left")
 
 
 # ----------------------------------------------------------- graph context
@@ -300,14 +301,14 @@ def graph_context(g: LineageGraph, questions: DataFrame, job_code: DataFrame | N
     nodes = g.nodes.filter(F.coalesce(F.col("name"), F.lit("")) != "")
     terms = nodes.select(F.lit("node").alias("term_kind"), F.col("name").alias("term")).distinct()
     hits = contained_terms(questions, terms, qcol).select("q_id", F.col("term").alias("name"))
-    cand = hits.join(nodes, "name")
+    cand = by_shuffle(hits).join(nodes, "name")
     w = Window.partitionBy("q_id").orderBy(F.length("name").desc(), "name", "key")
     best = cand.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    best = best.join(questions.select("q_id", F.col(qcol).alias("_q")), "q_id")
+    best = by_shuffle(best).join(questions.select("q_id", F.col(qcol).alias("_q")), "q_id")
 
     # dataset documents
-    pc = find_jobs(g).select("key", "producers", "consumers")
-    ll = lineage_lines(g).withColumnRenamed("lines", "ll")
+    pc = by_shuffle(find_jobs(g).select("key", "producers", "consumers"))
+    ll = by_shuffle(lineage_lines(g).withColumnRenamed("lines", "ll"))
     ds = g.datasets.join(pc, "key", "left").join(ll, "key", "left")
     ds_doc = F.concat_ws(
         "\n",
@@ -321,10 +322,10 @@ def graph_context(g: LineageGraph, questions: DataFrame, job_code: DataFrame | N
                F.concat(F.lit("Producido por: "), F.array_join("producers", ", "))),
         F.when(F.size("consumers") > 0,
                F.concat(F.lit("Consumido por: "), F.array_join("consumers", ", "))))
-    ds_docs = ds.select("key", ds_doc.alias("ds_doc"))
+    ds_docs = by_shuffle(ds.select("key", ds_doc.alias("ds_doc")))
 
     # job documents: per-dataset blocks for inputs and outputs
-    ll_short = lineage_lines(g, with_transform=False)
+    ll_short = by_shuffle(lineage_lines(g, with_transform=False))
     blocks = g.datasets.join(ll_short, "key", "left").select(
         F.col("key").alias("ds_key"),
         F.concat_ws("\n",
@@ -340,22 +341,25 @@ def graph_context(g: LineageGraph, questions: DataFrame, job_code: DataFrame | N
     def side(relation: str, job_end: str, ds_end: str, label: str) -> DataFrame:
         e = g.edges.filter(F.col("relation") == relation).select(
             F.col(job_end).alias("key"), F.col(ds_end).alias("ds_key"))
-        return (e.join(blocks, "ds_key").groupBy("key")
-                .agg(F.count(F.lit(1)).alias(f"n_{label}"),
-                     _ordered_join(F.collect_list(F.struct(F.col("name").alias("o"),
-                                                           F.col("ds_key").alias("o2"),
-                                                           F.col("block").alias("text"))), "\n")
-                     .alias(f"b_{label}")))
-    rs = run_stats(g.runs).withColumnRenamed("job_key", "key")
+        return by_shuffle(
+            e.join(by_shuffle(blocks), "ds_key").groupBy("key")
+            .agg(F.count(F.lit(1)).alias(f"n_{label}"),
+                 _ordered_join(F.collect_list(F.struct(F.col("name").alias("o"),
+                                                       F.col("ds_key").alias("o2"),
+                                                       F.col("block").alias("text"))), "\n")
+                 .alias(f"b_{label}")))
+    rs = by_shuffle(run_stats(g.runs).withColumnRenamed("job_key", "key"))
     jobs = (g.jobs.join(rs, "key", "left").join(side("feeds", "dst", "src", "in"), "key", "left")
             .join(side("produces", "src", "dst", "out"), "key", "left"))
     if job_code is not None:
-        jobs = jobs.join(job_code.select(F.col("job_key").alias("key"), "code"), "key", "left")
+        jobs = jobs.join(by_shuffle(job_code.select(F.col("job_key").alias("key"), "code")), "key",
+                         "left")
     else:
         jobs = jobs.withColumn("code", F.lit(None).cast("string"))
     jobs = jobs.select("key", "name", "namespace", "n_complete", "n_fail", "last", "code",
                        "n_in", "b_in", "n_out", "b_out")
-    jb = best.filter(F.col("kind") == "job").select("q_id", "key", "_q").join(jobs, "key")
+    jb = (best.filter(F.col("kind") == "job").select("q_id", "key", "_q")
+          .join(by_shuffle(jobs), "key"))
     code_part = F.when(F.coalesce(F.col("code"), F.lit("")) != "",
                        F.when(is_code_query(F.col("_q")),
                               F.concat(F.lit("\nCódigo fuente ("), F.col("name"),
@@ -404,7 +408,7 @@ def namespace_summary(index: DataFrame, detected: DataFrame) -> DataFrame:
     ds = index.filter(F.col("kind") == "dataset").select(
         F.col("namespace").alias("ns"), "name", "id",
         keep_lines(F.col("document"), SUMMARY_PREFIXES).alias("summary"))
-    return detected.filter(F.col("ns").isNotNull()).select("q_id", "ns").join(ds, "ns")
+    return detected.filter(F.col("ns").isNotNull()).select("q_id", "ns").join(by_shuffle(ds), "ns")
 
 
 def budget(ranked: DataFrame, n_col: str = "n", min_rest: int = MIN_REST) -> DataFrame:
@@ -412,7 +416,7 @@ def budget(ranked: DataFrame, n_col: str = "n", min_rest: int = MIN_REST) -> Dat
     min_rest)`` of the rest by position."""
     p = ranked.groupBy("q_id").agg(F.count_if(F.col("tier") < 2).alias("_p"))
     w = Window.partitionBy("q_id").orderBy("tier", "pos")
-    r = ranked.join(p, "q_id").withColumn("_i", F.row_number().over(w))
+    r = ranked.join(by_shuffle(p), "q_id").withColumn("_i", F.row_number().over(w))
     keep = (F.col("tier") < 2) | (F.col("_i") - F.col("_p")
                                   <= F.greatest(F.col(n_col) - F.col("_p"), F.lit(min_rest)))
     return r.filter(keep).drop("_p", "_i")
@@ -421,8 +425,8 @@ def budget(ranked: DataFrame, n_col: str = "n", min_rest: int = MIN_REST) -> Dat
 def exact_boost(detected: DataFrame, index: DataFrame, seen: DataFrame) -> DataFrame:
     """The chunks named exactly like a question's detected name, where the
     question has not ``seen(q_id, name)`` that name already."""
-    return (detected.filter(F.col("name").isNotNull()).join(index, "name")
-            .join(seen, ["q_id", "name"], "left_anti"))
+    return (detected.filter(F.col("name").isNotNull()).join(by_shuffle(index), "name")
+            .join(by_shuffle(seen), ["q_id", "name"], "left_anti"))
 
 
 def hits_wanted(n: int = DEFAULT_N, cap: int = FETCH_CAP) -> int:
@@ -456,15 +460,17 @@ def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame, hits: Data
         qs = qs.join(search_text.select("q_id", "search"), "q_id", "left")
     else:
         qs = qs.withColumn("search", F.col("question"))
-    qs = cut_lineage(qs, "questions")
+    index = by_shuffle(index)
+    qs = by_shuffle(cut_lineage(qs, "questions"))
     ctx = cut_lineage(graph_context(g, qs.select("q_id", "question")), "context")
     sem = (hits.join(qs.select("q_id", "n"), "q_id")
            .filter(F.col("rank") <= F.least(F.col("n") * 2, F.lit(fetch_cap)))
            .join(index.select("id", "name", "document"), "id"))
     sem = first_per_name(sem)
     # the graph document's node name counts as already seen, in every tier below
-    named = (ctx.join(g.nodes.select(F.col("key").alias("node_key"), "name"), "node_key")
-             .select("q_id", "name").distinct())
+    named = by_shuffle(
+        ctx.join(by_shuffle(g.nodes.select(F.col("key").alias("node_key"), "name")), "node_key")
+        .select("q_id", "name").distinct())
     sem = cut_lineage(sem.join(named, ["q_id", "name"], "left_anti"), "semantic")
     det = cut_lineage(detect_entities(qs.select("q_id", F.col("search").alias("question")), index),
                       "detected")
@@ -474,7 +480,7 @@ def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame, hits: Data
     summ = namespace_summary(index, det)
     seen = (sem.select("q_id", "name").unionByName(boost.select("q_id", "name"))
             .unionByName(named))
-    summ = summ.join(seen, ["q_id", "name"], "left_anti")
+    summ = summ.join(by_shuffle(seen), ["q_id", "name"], "left_anti")
     summ_doc = (summ.groupBy("q_id", "ns")
                 .agg(_ordered_join(F.collect_list(F.struct(F.col("name").alias("o"),
                                                            F.col("id").alias("o2"),

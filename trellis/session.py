@@ -83,6 +83,17 @@ def drop_cut(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` with the request that its joins shuffle both sides (sort-merge).
+
+    A join is planned from the compressed size of written files, before any
+    explode: rows that are many times that estimate would be broadcast, and a
+    broadcast is built on the driver.  The request passes through projections,
+    filters, explodes and aggregates up to the next join.
+    """
+    return df.hint("merge")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
