@@ -378,9 +378,13 @@ def test_pipeline_stages_take_effect(spark):
                and out[i]["n_tokens"] == len(out[i]["token_ids"]) for i, t in rows.items())
 
 
-def test_block_length_follows_the_words():
-    sizes = [0, 1, 2 ** 24, 2 ** 24 + 1, 2 ** 25 + 1, 2 ** 29 + 1, 2 ** 40]
-    assert [mixing.block_length(n) for n in sizes] == [16, 16, 16, 32, 64, 1024, 1024]
+def test_block_length_is_one_for_every_size(spark):
+    size = 32 * 14_064                                      # 18 million words in all
+    table = docs(spark, [(i, "w", f"s{i % 2}") for i in range(40)]).withColumn(
+        "text", F.repeat(F.lit("w "), size))
+    taken = [r["taken"] for r in mixing.mix_documents(table).collect()]
+    assert sum(taken) == 40 * size and all(n % 16 == 0 for n in taken)
+    assert any(n % 32 for n in taken)                       # documents begin at blocks of 32
 
 
 def test_hash_ranges_do_not_change_the_mix(spark, monkeypatch):

@@ -12,8 +12,8 @@ permutation of the source's block indices (a new pass over it after every
 No source is ever one group: draws are numbered per (source, shard) and the
 shards by sums of 1024 neighbours, documents lie on their line in the order of a
 hash and are numbered per (source, range of the hash), and the joins run on
-(source, block).  The block length and the number of hash ranges follow from the
-size of the input; neither the order of the line nor a draw depends on the ranges.
+(source, block).  The number of hash ranges follows from the size of the input;
+neither the order of the line nor a draw depends on it.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ from .common import WORD, Cuts, fresh
 WEIGHTS = (5, 2, 1)
 CAP = 3
 
-LEAST_BLOCK, DOUBLINGS = 16, 6      # words of a block on small inputs; 1024 on large ones
-
 RANGE_ROWS = 65536          # rows that a hash range aims at, all sources together
 HASH_BITS = 60              # of ``hashed``
 ROUNDS = ((0.6180339887, 1043525, 7), (0.2915, 786433, 3), (0.7071067811, 393241, 11),
@@ -196,13 +194,7 @@ def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
         F.xxhash64(F.col(text_col)).alias("mark"))
 
 
-def block_length(words: int) -> int:
-    """Words of a block: 16, doubled while ``words`` would make more than 2**20
-    blocks, at most six times (1024)."""
-    return LEAST_BLOCK << sum(words > LEAST_BLOCK << 20 + i for i in range(DOUBLINGS))
-
-
-def document_takings(sizes: DataFrame, cuts: Cuts, block_words: int | None, shard_slots: int,
+def document_takings(sizes: DataFrame, cuts: Cuts, block_words: int, shard_slots: int,
                      seed: int) -> tuple[DataFrame, DataFrame]:
     """(documents laid out, words taken by block).
 
@@ -213,8 +205,6 @@ def document_takings(sizes: DataFrame, cuts: Cuts, block_words: int | None, shar
     that the mix takes, ``start`` counted from the row's first word.
     """
     sources = cuts.cut(source_targets(sizes, cuts), "targets")
-    if block_words is None:
-        block_words = block_length(sources.agg(F.sum("source_size")).first()[0] or 0)
     ranges = max(10, int(sizes.count() / RANGE_ROWS).bit_length())
     laid = (sizes.join(sources.select(F.col("source").alias("name"), "sid", "source_size",
                                       "target"), F.col("source").eqNullSafe(F.col("name")))
@@ -241,12 +231,12 @@ def document_takings(sizes: DataFrame, cuts: Cuts, block_words: int | None, shar
                                (last - first).alias("words"), "times")
 
 
-#: Parameters of the registered query; the block length follows from the size.
-SHARD_SLOTS, SEED = 16384, 20240611
+#: Parameters of the registered query, the same for every size of the input.
+BLOCK_WORDS, SHARD_SLOTS, SEED = 16, 16384, 20240611
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  source_col: str = "source", block_words: int | None = None,
+                  source_col: str = "source", block_words: int = BLOCK_WORDS,
                   shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
@@ -269,7 +259,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                source_col: str = "source", block_words: int | None = None,
+                source_col: str = "source", block_words: int = BLOCK_WORDS,
                 shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: the text of a row is made
     of the stretches that the mix takes of it, in order and repeated as often

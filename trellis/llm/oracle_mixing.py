@@ -3,7 +3,7 @@ are numbered per source in one window, and shares come from one sorted pass."""
 
 from __future__ import annotations
 
-from .mixing import CAP, DOUBLINGS, LEAST_BLOCK, ROUNDS, SEED, WEIGHTS
+from .mixing import BLOCK_WORDS, CAP, ROUNDS, SEED, WEIGHTS
 
 
 def _hashed(*parts) -> str:
@@ -30,8 +30,6 @@ round{i} AS (
     return ",".join(out)
 
 
-_UNIT = "(SELECT words FROM unit)"
-_DOUBLED = " + ".join(f"(n > {LEAST_BLOCK << 20 + i})::INT" for i in range(DOUBLINGS))
 _WEIGHT = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
 
 SQL = f"""
@@ -39,9 +37,6 @@ WITH d AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
   FROM documents),
-unit AS (
-  SELECT ({LEAST_BLOCK} << ({_DOUBLED}))::BIGINT AS words
-  FROM (SELECT coalesce(sum(size), 0)::BIGINT AS n FROM d)),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
@@ -69,7 +64,7 @@ line AS (
          greatest(1, length(bin(blocks)) // 2) AS half,
          {_hashed(SEED, "'order'", "sid")} AS key
   FROM (SELECT *, least({CAP} * blocks, floor(target / source_size * blocks + 0.5)) AS quota
-        FROM (SELECT *, (source_size + {_UNIT} - 1) // {_UNIT} AS blocks
+        FROM (SELECT *, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks
               FROM s WHERE source_size > 0))),
 slots AS (
   SELECT slot, {_hashed(SEED, "slot")} % (SELECT sum(quota)::BIGINT FROM line) AS pos
@@ -105,10 +100,10 @@ laid AS (
                           doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 words AS (
-  SELECT sid, pos, sum((least((block + 1) * {_UNIT}, pos + size)
-                       - greatest(block * {_UNIT}, pos)) * times) AS taken
+  SELECT sid, pos, sum((least((block + 1) * {BLOCK_WORDS}, pos + size)
+                       - greatest(block * {BLOCK_WORDS}, pos)) * times) AS taken
   FROM (SELECT sid, pos, size,
-               unnest(range(pos // {_UNIT}, (pos + size - 1) // {_UNIT} + 1)) AS block
+               unnest(range(pos // {BLOCK_WORDS}, (pos + size - 1) // {BLOCK_WORDS} + 1)) AS block
         FROM laid WHERE size > 0) JOIN times USING (sid, block)
   GROUP BY sid, pos)
 SELECT doc_id, size, source_size, target,
