@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import by_shuffle, cut_lineage, drop_cut
+from ..session import by_shuffle, cut_lineage, drop_cut, scratch_path
 from .lineage_graph import LineageGraph
 
 MAX_DEPTH = 6
@@ -262,19 +262,10 @@ def impact(g: LineageGraph, roots: DataFrame, max_depth: int | None = MAX_DEPTH)
                     .alias("truncated")))
 
 
-def reach(g: LineageGraph, limit: int | None = None) -> DataFrame:
-    """``(root_key, node_key, depth)`` for every dataset and all it leads to, at
-    the least depth (``limit`` at most), by path doubling.
-
-    A round starts from all pairs up to ``step`` apart.  A shortest path of
-    ``step + 1`` to ``2 * step`` edges has a node exactly ``step`` from its
-    start, so joining the pairs of that distance with all pairs finds every
-    one of them, and the least sum is its length.  The rounds are the logarithm
-    of the greatest depth (two more at most), and cycles end by themselves: a
-    pair never returns.  Edges lead from datasets to jobs and back, so after
-    the first round only datasets start a path that can be continued.  Keys
-    travel as numbers; each round is written once and replaces the last.
-    """
+def _doubled(g: LineageGraph, limit: int | None,
+             pairs_per_node: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(nodes, pairs up to ``step`` apart, step) of ``reach``; with
+    ``pairs_per_node`` no round starts from more pairs than that."""
     nodes = cut_lineage(g.nodes.select("key", (F.col("kind") == "dataset").alias("_ds"))
                         .withColumn("id", F.monotonically_increasing_id()), "reach_nodes")
     ids = nodes.select("key", "id")
@@ -282,8 +273,9 @@ def reach(g: LineageGraph, limit: int | None = None) -> DataFrame:
         g.edges.join(ids.withColumnsRenamed({"key": "src", "id": "a"}), "src")
         .join(ids.withColumnsRenamed({"key": "dst", "id": "b"}), "dst")
         .where("a <> b").select("a", "b", F.lit(1).alias("dist")).distinct(), "reach")
+    most = None if pairs_per_node is None else pairs_per_node * nodes.count()
     step = 1
-    while ((limit is None or step < limit)
+    while ((limit is None or step < limit) and (most is None or pairs.count() <= most)
            and not (tips := pairs.where(F.col("dist") == step)).isEmpty()):
         onward = pairs.select(F.col("a").alias("mid"), F.col("b").alias("c"),
                               (F.col("dist") + step).alias("dist"))
@@ -297,12 +289,69 @@ def reach(g: LineageGraph, limit: int | None = None) -> DataFrame:
         done, pairs = pairs, cut_lineage(least, "reach")
         drop_cut(done)
         step *= 2
-    return (pairs.join(nodes.where("_ds").select(F.col("key").alias("root_key"),
-                                                 F.col("id").alias("a")), "a")
-            .join(ids.select(F.col("key").alias("node_key"), F.col("id").alias("b")), "b")
+    return nodes, pairs, step
+
+
+def reach(g: LineageGraph, limit: int | None = None) -> DataFrame:
+    """``(root_key, node_key, depth)`` for every dataset and all it leads to, at
+    the least depth (``limit`` at most), by path doubling.
+
+    A round starts from all pairs up to ``step`` apart.  A shortest path of
+    ``step + 1`` to ``2 * step`` edges has a node exactly ``step`` from its
+    start, so joining the pairs of that distance with all pairs finds every
+    one of them, and the least sum is its length.  The rounds are the logarithm
+    of the greatest depth (two more at most), and cycles end by themselves: a
+    pair never returns.  Edges lead from datasets to jobs and back, so after
+    the first round only datasets start a path that can be continued.  Keys
+    travel as numbers; each round is written once and replaces the last.
+    """
+    nodes, pairs, _ = _doubled(g, limit)
+    datasets = nodes.where("_ds").select(F.col("id").alias("a"))
+    return _keyed(nodes, pairs.join(datasets, "a", "left_semi"))
+
+
+def _keyed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    return (pairs.join(nodes.select(F.col("key").alias("root_key"), F.col("id").alias("a")), "a")
+            .join(nodes.select(F.col("key").alias("node_key"), F.col("id").alias("b")), "b")
             .select("root_key", "node_key", F.col("dist").alias("depth")))
 
 
+#: Pairs a node that the doubling of ``reach_from`` may start a round with.
+PAIRS_PER_NODE = 256
+
+
+def reach_from(g: LineageGraph, roots: DataFrame,
+               pairs_per_node: int = PAIRS_PER_NODE) -> DataFrame:
+    """The rows of ``reach`` for ``roots(key)``, datasets, without the pairs of
+    all others.
+
+    Doubling goes on while the pairs up to ``step`` apart are few a node; then
+    the walk goes on from the roots alone, ``step`` edges at a time.  All nodes
+    up to ``far`` from a root are known, and a shortest path to one of the next
+    ``step`` has a node exactly ``far`` from it, so joining the nodes of that
+    distance with the pairs finds all of them.  Only new nodes are kept, level
+    by level in one written table.
+    """
+    nodes, pairs, step = _doubled(g, None, pairs_per_node)
+    pairs = by_shuffle(pairs)
+    path = scratch_path(g.edges.sparkSession, "reach_from")
+    spark, far, level = g.edges.sparkSession, step, 0
+    start = nodes.join(by_shuffle(roots.select("key").distinct()), "key", "left_semi")
+    new = pairs.join(start.where("_ds").select(F.col("id").alias("a")), "a", "left_semi")
+    while True:
+        new.write.parquet(f"{path}/level={level}")
+        found = spark.read.parquet(path)
+        tips = found.where((F.col("level") == level) & (F.col("dist") == far))
+        if tips.isEmpty():
+            return _keyed(nodes, found.drop("level"))
+        onward = pairs.select(F.col("a").alias("mid"), F.col("b").alias("c"),
+                              (F.col("dist") + far).alias("dist"))
+        new = (by_shuffle(tips.select("a", F.col("b").alias("mid"))).join(onward, "mid")
+               .where("a <> c").groupBy("a", F.col("c").alias("b")).agg(F.min("dist").alias("dist"))
+               .join(by_shuffle(found.select("a", "b")), ["a", "b"], "left_anti"))
+        far, level = far + step, level + 1
+
+
 def impact_of_all(g: LineageGraph, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The rows of ``impact`` with every dataset as root, by path doubling
     one level beyond the cap, where the truncated walks show."""
@@ -345,12 +394,11 @@ def impact_layers(impact_rows: DataFrame) -> DataFrame:
 
 def transitive_chain(g: LineageGraph, max_depth: int | None = None) -> DataFrame:
     """The documented transitive chain: impact of every source dataset,
-    followed to its end (by path doubling) unless ``max_depth`` stops it."""
+    followed to its end (``reach_from``) unless ``max_depth`` stops it."""
     sources = source_datasets(g).select("key")
     if max_depth is not None:
         return impact_named(g, sources, max_depth)
-    rows = reach(g).join(sources.select(F.col("key").alias("root_key")), "root_key", "left_semi")
-    return with_names(g, rows.withColumn("truncated", F.lit(False)))
+    return with_names(g, reach_from(g, sources).withColumn("truncated", F.lit(False)))
 
 
 def dataset_schema(g: LineageGraph, name: str, ns: str | None = None) -> DataFrame:
