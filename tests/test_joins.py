@@ -46,3 +46,46 @@ def test_deletion_variants_are_not_broadcast(spark):
     assert "Broadcast" not in plan(pairs)
     assert "Broadcast" not in plan(C.fuzzy_candidates(left, right, 0.75))
     assert sum(r["lkey"] == r["rkey"] for r in pairs.collect()) == 60
+
+
+def test_hits_by_dimensions_equal_the_full_search(spark):
+    import random
+    rnd = random.Random(5)
+
+    def vec(dims=40):
+        out = [0.0] * dims
+        for i in rnd.sample(range(1, dims), rnd.randint(1, 4)):
+            out[i] = float(rnd.choice([0.25, 0.5, 1.0, 3.0]))
+        if rnd.random() < 0.9:
+            out[0] = 0.1
+        return out
+    index = cut_lineage(spark.createDataFrame(
+        [(f"id{i % 290:03d}", vec()) for i in range(300)], "id string, vec array<double>"))
+    asked = [(f"q{i}", vec()) for i in range(30)] + [("q_none", [0.0] * 39 + [1e-3])]
+    queries = cut_lineage(spark.createDataFrame(asked, "q_id string, qvec array<double>"))
+    full = R.vector_search(index, queries, R.hits_wanted(), metric="cosine", id_col="id",
+                           vec_col="vec").select("q_id", "rank", "id")
+    for share in (0.05, 0.0, 1.0):
+        assert sorted(map(tuple, R.vector_hits(index, queries, common_share=share).collect())) \
+            == sorted(map(tuple, full.collect()))
+
+
+def test_chains_from_the_sources_alone(spark):
+    from trellis.operators import graph_ops as G
+    edges = []
+    for i in range(60):                     # a long chain with a cycle and side branches
+        edges += [(f"d{i}", f"j{i}", "feeds"), (f"j{i}", f"d{i + 1}", "produces")]
+    edges += [("j40", "d7", "produces"), ("s", "j5", "feeds"), ("j20", "x", "produces")]
+    keys = sorted({k for a, b, _ in edges for k in (a, b)})
+
+    class Graph:
+        pass
+    g = Graph()
+    g.nodes = cut_lineage(spark.createDataFrame(
+        [(k, "job" if k.startswith("j") else "dataset") for k in keys], "key string, kind string"))
+    g.edges = cut_lineage(spark.createDataFrame(edges, "src string, dst string, relation string"))
+    roots = spark.createDataFrame([("d0",), ("s",)], "key string")
+    whole = {tuple(r) for r in G.reach(g).collect() if r["root_key"] in ("d0", "s")}
+    assert {d for _, _, d in whole} == set(range(1, 121))
+    for few in (1, 5, 1000):
+        assert {tuple(r) for r in G.reach_from(g, roots, few).collect()} == whole

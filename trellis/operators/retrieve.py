@@ -26,6 +26,7 @@ from ..session import by_shuffle, cut_lineage, spread
 from .chunks import _ordered_join, lineage_lines
 from .graph_ops import find_jobs, longest_match
 from .lineage_graph import LineageGraph, run_stats
+from .text_vectors import COMMON_SHARE, SLACK, likely_scores
 
 # Fixed values the retrieval rules must reproduce.
 LIST_KEYWORDS = (
@@ -434,11 +435,97 @@ def hits_wanted(n: int = DEFAULT_N, cap: int = FETCH_CAP) -> int:
     return min(2 * max(n, LIST_MIN_N), cap)
 
 
-def vector_hits(index_vecs: DataFrame, query_vecs: DataFrame, n: int = DEFAULT_N) -> DataFrame:
+@F.pandas_udf(DoubleType())
+def _length(terms: pd.Series, weights: pd.Series, dims: pd.Series) -> pd.Series:
+    """Vector lengths, summed over all dimensions as ``vector_search`` does."""
+    out = []
+    for at, w, n in zip(terms, weights, dims):
+        full = np.zeros((1, n))
+        full[0, np.asarray(at, dtype=np.int64)] = w
+        out.append(float(np.sqrt((full * full).sum(axis=1))[0]))
+    return pd.Series(out, dtype="float64")
+
+
+def _nonzero(vectors: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
+    """``(row, id, terms, weights, norm)``: the dimensions of each vector that are
+    not zero, ascending, written once; ``row`` tells vectors of one id apart."""
+    found = (spread(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")))
+             .where("_v is not null")
+             .select("id", "_v", F.expr("filter(sequence(0, size(_v) - 1), i -> _v[i] <> 0D)")
+                     .alias("terms"))
+             .select("id", "terms", F.expr("transform(terms, i -> _v[i])").alias("weights"),
+                     F.size("_v").alias("dims")))
+    return by_shuffle(cut_lineage(
+        found.withColumn("row", F.monotonically_increasing_id())
+        .withColumn("norm", _length("terms", "weights", "dims")).drop("dims"), name))
+
+
+def vector_hits(index_vecs: DataFrame, query_vecs: DataFrame, n: int = DEFAULT_N,
+                common_share: float = COMMON_SHARE) -> DataFrame:
     """Semantic hits ``(q_id, rank, id)`` from ``index_vecs(id, vec)`` and
-    ``query_vecs(q_id, qvec)``, the chunk and question vectors."""
-    return vector_search(index_vecs, query_vecs, hits_wanted(n), metric="cosine", id_col="id",
-                         vec_col="vec").select("q_id", "rank", "id")
+    ``query_vecs(q_id, qvec)``, the chunk and question vectors.
+
+    The same rows as ``vector_search`` by cosine, without scoring every pair:
+    the vectors are mostly zeros, so the texts that can be among a query's best
+    come from joins on the dimensions (``text_vectors.likely_scores``), and only
+    their distances are computed, summed in the order of the dimensions.  A query
+    that shares dimensions with too few texts is filled up with the first ids,
+    at distance 1.  Vectors with negative parts have no such bounds and are
+    scored in full.
+    """
+    k = hits_wanted(n)
+    index = _nonzero(index_vecs, "id", "vec", "index_vectors")
+    queries = _nonzero(query_vecs, "q_id", "qvec", "query_vectors").withColumnsRenamed(
+        {"id": "q_id", "row": "q_row", "norm": "q_norm"})
+    negative = F.exists("weights", lambda w: w < 0)
+    if not (index.where(negative).isEmpty() and queries.where(negative).isEmpty()):
+        return vector_search(index_vecs, query_vecs, k, metric="cosine", id_col="id",
+                             vec_col="vec").select("q_id", "rank", "id")
+
+    def parts(rows, row, norm, weight):
+        return rows.select(F.col(row), norm, F.explode(F.arrays_zip("terms", "weights"))
+                           .alias("p")).select(row, F.col("p.terms").alias("term"),
+                                               (F.col("p.weights") / F.col(norm)).alias(weight))
+
+    postings = cut_lineage(parts(index, "row", "norm", "weight")
+                           .withColumnRenamed("row", "id"), "postings")
+    size = index.count()
+    tops = postings.groupBy("term").agg(F.max("weight").alias("top"),
+                                        (F.count("*") > common_share * size).alias("common"))
+    asked = (parts(queries, "q_row", "q_norm", "qw").join(tops, "term")
+             .withColumnRenamed("q_row", "q_id"))
+    scores = cut_lineage(likely_scores(asked, postings, k), "likely")
+    by_score = Window.partitionBy("q_id").orderBy(F.col("score").desc())
+    kth = (scores.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") <= k)
+           .groupBy("q_id").agg(F.min("score").alias("kth"), F.count("*").alias("found")))
+    kth = by_shuffle(cut_lineage(kth, "likely_kth"))
+    near = (scores.join(kth, "q_id").where((F.col("found") < k)
+                                           | (F.col("score") >= F.col("kth") - SLACK))
+            .select(F.col("q_id").alias("q_row"), F.col("id").alias("row")))
+    dot = F.expr("aggregate(q_terms, 0D, (a, t) -> a + coalesce(q_part[t] * part[t], 0D))")
+    q = queries.select("q_row", "q_id", "q_norm", F.col("terms").alias("q_terms"),
+                       F.map_from_arrays("terms", "weights").alias("q_part"))
+    x = index.select("row", "id", "norm", F.map_from_arrays("terms", "weights").alias("part"))
+    near = (near.join(q, "q_row").join(x, "row")
+            .select("q_row", "row", "q_id", "id", (F.lit(1.0) - dot / (F.col("q_norm") * F.col("norm")))
+                    .alias("distance")))
+    # texts without a shared dimension: at most 2k first ids can be needed
+    few = (queries.select("q_row", "q_id", "q_norm")
+           .join(kth.withColumnRenamed("q_id", "q_row"), "q_row", "left")
+           .where(F.coalesce("found", F.lit(0)) < k).select("q_row", "q_id", "q_norm"))
+    first = (index.where("norm > 0").select("row", "id", "norm").orderBy("id", "row").limit(2 * k)
+             .unionByName(index.select("row", "id", "norm").orderBy("id", "row").limit(2 * k))
+             .distinct())
+    none = (few.crossJoin(F.broadcast(first))
+            .join(by_shuffle(scores.select(F.col("q_id").alias("q_row"), F.col("id").alias("row"))),
+                  ["q_row", "row"], "left_anti")
+            .select("q_row", "row", "q_id", "id", F.when(
+                (F.col("q_norm") > 0) & (F.col("norm") > 0), F.lit(1.0))
+                .otherwise(F.lit(float("nan"))).alias("distance")))
+    best = Window.partitionBy("q_row").orderBy("distance", "id", "row")
+    return (near.unionByName(none)
+            .withColumn("rank", F.row_number().over(best).cast("bigint"))
+            .where(F.col("rank") <= k).select("q_id", "rank", "id"))
 
 
 def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame, hits: DataFrame,
