@@ -6,6 +6,8 @@ from trellis.operators import codematch as C
 from trellis.operators import retrieve as R
 from trellis.session import cut_lineage
 
+from conftest import SF_SMALL
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -89,3 +91,44 @@ def test_chains_from_the_sources_alone(spark):
     assert {d for _, _, d in whole} == set(range(1, 121))
     for few in (1, 5, 1000):
         assert {tuple(r) for r in G.reach_from(g, roots, few).collect()} == whole
+
+
+def written_inputs(df) -> str:
+    return " ".join(df.inputFiles())
+
+
+def test_fuzzy_match_reads_its_inputs_once(spark):
+    from trellis.plans.code_queries import q_fuzzy
+    assert "events.parquet" not in written_inputs(q_fuzzy(spark, SF_SMALL))
+
+
+def test_named_nodes_and_detected_names_end_their_plan(spark):
+    from trellis.plans.retrieve_queries import q_exact_boost, q_graph_context
+    for query in (q_graph_context, q_exact_boost):
+        found = plan(query(spark, SF_SMALL))
+        assert "Broadcast" not in found and "Generate" not in found
+
+
+def fuzzy_inputs(spark, n=200):
+    names = [(f"etl_user_{i}",) * 2 for i in range(n)]
+    return (cut_lineage(spark.createDataFrame(names, "lkey string, ls string")),
+            cut_lineage(spark.createDataFrame(names, "rkey string, rs string")))
+
+
+def test_tasks_of_the_fuzzy_match_grow_with_names_and_pairs(spark, monkeypatch):
+    left, right = fuzzy_inputs(spark)
+    want = {tuple(r) for r in C._scored(C.near_pairs(left, right), 0.75).collect()}
+    monkeypatch.setattr(C, "NAMES_PER_TASK", 10)
+    monkeypatch.setattr(C, "PAIRS_PER_TASK", 100)
+    pairs = C.near_pairs(left, right)
+    assert "hashpartitioning(variant" in plan(pairs) and ", 40), REPARTITION_BY_NUM" in plan(pairs)
+    scored = C._scored(pairs, 0.75)
+    tasks = -(-pairs.count() // 100)
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan(scored)
+    assert {tuple(r) for r in scored.collect()} == want
+
+
+def test_similarity_is_computed_once_a_pair(spark):
+    left, right = fuzzy_inputs(spark, 20)
+    scored = C._scored(C.near_pairs(left, right), 0.75)
+    assert plan(scored).count("ArrowEvalPython") == 1

@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -75,7 +75,8 @@ def similarity_at_least(threshold: float):
             else:
                 out.append(sm.ratio())
         return pd.Series(out, dtype="float64")
-    return sim
+    # a deterministic one would be computed again for the filter on its result
+    return sim.asNondeterministic()
 
 
 def code_index(code: DataFrame) -> DataFrame:
@@ -222,11 +223,21 @@ def _deletions(df: DataFrame, key: str, s: str) -> DataFrame:
                       .select(key, F.explode("variants").alias("variant"), "gone"))
 
 
+#: Names whose variants a task joins at most, as a mean.
+NAMES_PER_TASK = 5_000
+
+
+def _tasks(rows: int, per_task: int, spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // per_task))
+
+
 def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs ``(lkey, ls, rkey, rs)`` that at most two insertions and deletions
-    turn into each other (names up to ``DELETION_MAX_LEN``)."""
-    a = _deletions(left, "lkey", "ls").withColumnRenamed("gone", "lgone")
-    pairs = (a.join(_deletions(right, "rkey", "rs"), "variant")
+    turn into each other (names up to ``DELETION_MAX_LEN``).  The tasks of the
+    join grow with the names."""
+    n = _tasks(left.count() + right.count(), NAMES_PER_TASK, left.sparkSession)
+    a = _deletions(left, "lkey", "ls").withColumnRenamed("gone", "lgone").repartition(n, "variant")
+    pairs = (a.join(_deletions(right, "rkey", "rs").repartition(n, "variant"), "variant")
              .where("lgone + gone <= 2").select("lkey", "rkey").distinct())
     return pairs.join(by_shuffle(left), "lkey").join(by_shuffle(right), "rkey")
 
@@ -249,11 +260,17 @@ def _best(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+#: Pairs that a task sorts and scores at most, as a mean.
+PAIRS_PER_TASK = 100_000
+
+
 def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs that reach ``threshold`` with their score.  Rows of one file stay
     together (sorted) so that a task reuses one matcher per file; a salt on the
-    job key splits a file hit by many jobs."""
-    slots = pairs.sparkSession.sparkContext.defaultParallelism
+    job key splits a file hit by many jobs.  The tasks grow with the pairs,
+    which are written once to be counted, so a task's memory does not."""
+    pairs = cut_lineage(pairs, "scored_pairs")
+    slots = _tasks(pairs.count(), PAIRS_PER_TASK, pairs.sparkSession)
     salt = F.pmod(F.xxhash64("lkey"), F.lit(slots))
     return (pairs.repartition(slots, "rkey", salt).sortWithinPartitions("rkey")
             .withColumn("score", similarity_at_least(threshold)(F.col("ls"), F.col("rs")))

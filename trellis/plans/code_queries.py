@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import codematch as C
+from ..session import by_shuffle, cut_lineage
 from ..sources.code import job_code_files
 from . import oracle as O
 from ..operators.lineage_graph import build_jobs, clean_events
@@ -29,7 +30,9 @@ def q_suffix(spark, d):
 
 def q_fuzzy(spark, d):
     jobs, code = _inputs(spark, d)
-    return C.match_fuzzy(jobs, C.code_index(code)).select("job_key", "file_name", "score")
+    jobs = by_shuffle(cut_lineage(jobs, "match_jobs"))      # both are read several times
+    idx = by_shuffle(cut_lineage(C.code_index(code), "code_idx"))
+    return C.match_fuzzy(jobs, idx).select("job_key", "file_name", "score")
 
 
 def q_cascade(spark, d):
