@@ -240,15 +240,17 @@ def contained_terms(questions: DataFrame, terms: DataFrame, qcol: str = "questio
     joining each term's rarest gram (counted over all terms) with the
     question's grams loses none, and ``contains`` decides the few candidates.
     Terms shorter than ``k`` join the question's substrings of their length.
-    Grams are many times the texts they come from, so all joins shuffle.
+    Grams are many times the texts they come from, so all joins shuffle; the
+    anchors are written once, which ends the plan over the terms there.
     """
     t = by_shuffle(terms.withColumn("lterm", F.lower("term")))
     q = by_shuffle(questions.select("q_id", F.lower(qcol).alias("_lq")))
     by_gram = t.where(F.length("lterm") >= k).withColumn("gram", F.explode(_grams(F.col("lterm"), k)))
     freq = by_gram.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
     w = Window.partitionBy("term_kind", "term").orderBy("_f", "gram")
-    anchors = (by_gram.join(freq, "gram").withColumn("_r", F.row_number().over(w))
-               .where("_r = 1").select("gram", "term_kind", "term", "lterm"))
+    anchors = cut_lineage(by_gram.join(freq, "gram").withColumn("_r", F.row_number().over(w))
+                          .where("_r = 1").select("gram", "term_kind", "term", "lterm"),
+                          "term_anchors")
     long = (q.select("q_id", F.explode(_grams(F.col("_lq"), k)).alias("gram"))
             .join(by_shuffle(anchors), "gram").join(q, "q_id")
             .where(F.col("_lq").contains(F.col("lterm"))).select("q_id", "term_kind", "term"))
@@ -278,7 +280,7 @@ def token_subset_terms(questions: DataFrame, terms: DataFrame,
 def detect_entities(questions: DataFrame, index: DataFrame, qcol: str = "question") -> DataFrame:
     """Per question the longest matching namespace and name
     (ties: alphabetical).  ``(q_id, ns, name)``; null when none matches."""
-    terms = index_terms(index)
+    terms = cut_lineage(index_terms(index), "terms")
     hits = contained_terms(questions, terms, qcol).unionByName(
         token_subset_terms(questions, terms, qcol)).distinct()
     best = longest_match(hits, ["q_id", "term_kind"], "term")
@@ -300,12 +302,16 @@ def graph_context(g: LineageGraph, questions: DataFrame, job_code: DataFrame | N
     """Context document of the node with the longest name contained in
     the question (ties: name, then key).  ``(q_id, node_key, kind, context)``."""
     nodes = g.nodes.filter(F.coalesce(F.col("name"), F.lit("")) != "")
-    terms = nodes.select(F.lit("node").alias("term_kind"), F.col("name").alias("term")).distinct()
+    terms = cut_lineage(nodes.select(F.lit("node").alias("term_kind"), F.col("name").alias("term"))
+                        .distinct(), "node_names")
     hits = contained_terms(questions, terms, qcol).select("q_id", F.col("term").alias("name"))
     cand = by_shuffle(hits).join(nodes, "name")
     w = Window.partitionBy("q_id").orderBy(F.length("name").desc(), "name", "key")
     best = cand.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    best = by_shuffle(best).join(questions.select("q_id", F.col(qcol).alias("_q")), "q_id")
+    # read for datasets and for jobs
+    best = by_shuffle(cut_lineage(
+        by_shuffle(best).join(questions.select("q_id", F.col(qcol).alias("_q")), "q_id"),
+        "named_nodes"))
 
     # dataset documents
     pc = by_shuffle(find_jobs(g).select("key", "producers", "consumers"))
