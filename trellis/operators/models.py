@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .warehouse import churn_features
 
 CHURN_FEATURES = ("total_orders", "total_spent", "avg_order_value", "days_since_last_order")
@@ -55,13 +56,15 @@ def demand_pairs(features: DataFrame) -> DataFrame:
 
 def fit_churn(snapshot: DataFrame, seed: int = 42, max_iter: int = 10) -> PipelineModel:
     """M01 training: GBT classifier of ``label`` on the churn features of a
-    ``churn_snapshot``."""
+    ``churn_snapshot``.  Training reads its rows several times, so they are
+    written once."""
+    rows = cut_lineage(snapshot.select(*CHURN_FEATURES, "label"), "churn_training")
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=list(CHURN_FEATURES), outputCol="features",
                         handleInvalid="keep"),
         GBTClassifier(labelCol="label", featuresCol="features", maxIter=max_iter, seed=seed),
     ])
-    return pipe.fit(snapshot)
+    return pipe.fit(rows)
 
 
 def fit_demand(pairs: DataFrame, seed: int = 42, max_iter: int = 10) -> PipelineModel:

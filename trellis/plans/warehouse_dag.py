@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import models as M
 from ..operators import warehouse as W
+from ..session import cut_lineage
 from ..sources.tables import write_table
 
 PARTITIONED = ("orders_clean", "fact_sales", "product_metrics", "daily_revenue",
@@ -46,13 +47,16 @@ def run_warehouse(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str,
     feats = W.inventory_features(metrics)
     churn_feats = W.churn_features(c360, as_of)
     if models:
-        demand = M.fit_demand(M.demand_pairs(feats))
+        # the rows that training reads several times and the model then scores
+        pairs = cut_lineage(M.demand_pairs(feats).select("product_id", "sku", *M.DEMAND_FEATURES,
+                                                         "next_sold"), "demand_pairs")
+        demand = M.fit_demand(pairs)
         churn_model = M.fit_churn(M.churn_snapshot(c360, M.label_cut(c360)))
         for name, model in (("demand_model", demand), ("churn_model", churn_model)):
             path = os.path.join(out_dir, "models", name)
             M.save(model, path)
             paths[name] = path
-        scored = M.score_demand(M.load(paths["demand_model"]), feats)
+        scored = M.score_demand(M.load(paths["demand_model"]), pairs)
         churn_scored = M.score_churn(M.load(paths["churn_model"]), churn_feats)
     else:
         scored = W.given_demand(feats)

@@ -45,8 +45,8 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw/customers``: every customer."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
-                                                 "c_mktsegment")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
+                                                       "c_mktsegment"))
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     seg = (F.when(F.col("c_mktsegment") == "BUILDING", "premium")
            .when(F.col("c_mktsegment") == "AUTOMOBILE", "standard")
@@ -69,7 +69,8 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw/products``: some null SKUs, null and zero prices."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size",
+                                                   "p_retailprice"))
     price = (F.when(F.col("p_partkey") % 40 == 1, F.lit(None).cast("double"))
              .when(F.col("p_partkey") % 40 == 2, F.lit(0.0))
              .otherwise(F.col("p_retailprice")))
