@@ -54,7 +54,8 @@ def _demand_pairs(spark, d):
 
 def q_demand_model(spark, d):
     """Every product-month scored by a model of the next row's units."""
-    pairs = cut_lineage(_demand_pairs(spark, d), "demand_pairs")
+    pairs = cut_lineage(_demand_pairs(spark, d).select("product_id", "sku", *M.DEMAND_FEATURES,
+                                                       "next_sold"), "demand_pairs")
     path = scratch_path(spark, "demand_model")
     M.save(M.fit_demand(pairs), path)
     return W.inventory_forecast(M.score_demand(M.load(path), pairs), AS_OF)
