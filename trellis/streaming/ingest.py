@@ -16,9 +16,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lineage_graph import (LineageGraph, build_graph, build_runs, clean_events,
-                                       run_stats)
+from ..operators.lineage_graph import (LineageGraph, build_column_lineage, build_edges, build_jobs,
+                                       build_nodes_datasets, build_runs, clean_events, run_stats,
+                                       sightings)
 from ..schemas import EVENT
+from ..session import cut_lineage
 from ..sources.keyed import KeyedTable
 
 
@@ -99,6 +101,16 @@ def stored_graph(spark: SparkSession, store: str, buckets: int = 16) -> LineageG
     return None if tables["jobs"] is None else LineageGraph(**tables)
 
 
+def batch_graph(events: DataFrame) -> LineageGraph:
+    """The graph of a batch for one merge: cleaned events and sightings are
+    written once; the tables are not, as the merge writes each by bucket."""
+    ev = cut_lineage(clean_events(events), "events")
+    s = cut_lineage(sightings(ev), "sightings")
+    return LineageGraph(datasets=build_nodes_datasets(s), jobs=build_jobs(ev),
+                        edges=build_edges(s), runs=build_runs(ev),
+                        column_lineage=build_column_lineage(s))
+
+
 def event_stream(spark: SparkSession, src: str, max_files_per_trigger: int) -> DataFrame:
     """New event files under ``src``, with the file of every row."""
     return (spark.readStream.schema(EVENT)
@@ -117,7 +129,7 @@ def stream_ingest(spark: SparkSession, src: str, store: str, checkpoint: str,
     """
     def per_batch(df: DataFrame, batch_id: int) -> None:
         numbered = df.withColumn("seq", F.monotonically_increasing_id())
-        merge_into_store(spark, build_graph(numbered, materialize=True), store, buckets)
+        merge_into_store(spark, batch_graph(numbered), store, buckets)
 
     writer = (event_stream(spark, src, max_files_per_trigger).writeStream
               .foreachBatch(per_batch).option("checkpointLocation", checkpoint))
