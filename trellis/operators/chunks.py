@@ -46,9 +46,15 @@ L_CHAIN_DATASET = "' -> dataset '"
 L_AFFECTED = "' changes schema or is deleted, the following are affected:"
 
 
+#: The characters of Unicode's White_Space property, as ``(?U)\\s`` has them.
+WHITESPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+              + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def _strip(c: Column) -> Column:
-    """Python ``str.strip()``: leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: leading/trailing Unicode whitespace (read from the
+    ends of the text only)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def _ordered_join(items: Column, sep: str) -> Column:
@@ -179,10 +185,10 @@ def split_sections(md: DataFrame, path_col: str = "path",
     parts = md.select(F.col(path_col).alias("source"),
                       F.posexplode(F.split(F.col(content_col), r"\n## ", -1))
                       .alias("idx", "section"))
-    first_line = F.regexp_extract("section", r"^([^\n]*)", 1)
-    has_body = F.col("section").contains("\n")
-    body = F.when(has_body, _strip(F.regexp_extract("section", r"^[^\n]*\n([\s\S]*)$", 1))) \
-        .otherwise(F.lit(""))
+    first_line = F.substring_index("section", "\n", 1)
+    first_end = F.instr("section", "\n")         # 0: the section is one line
+    body = F.when(first_end > 0, _strip(F.col("section").substr(
+        first_end + 1, F.length("section")))).otherwise(F.lit(""))
     title = F.when(F.col("idx") == 0, F.col("source")).otherwise(_strip(first_line))
     text = F.when(F.col("idx") == 0, _strip(F.col("section"))).otherwise(
         F.concat(F.lit("## "), _strip(first_line), F.lit("\n\n"), body))
