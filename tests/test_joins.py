@@ -132,3 +132,51 @@ def test_similarity_is_computed_once_a_pair(spark):
     left, right = fuzzy_inputs(spark, 20)
     scored = C._scored(C.near_pairs(left, right), 0.75)
     assert plan(scored).count("ArrowEvalPython") == 1
+
+
+def written(monkeypatch, *modules) -> dict:
+    """The tables that the modules cut from now on, by name."""
+    found: dict = {}
+    for module in modules:
+        def cut(df, name="cut", real=module.cut_lineage):
+            found.setdefault(name, []).append(out := real(df, name))
+            return out
+        monkeypatch.setattr(module, "cut_lineage", cut)
+    return found
+
+
+def test_vector_hits_write_no_pairs_but_the_best(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from trellis.operators import text_vectors as T
+    index = cut_lineage(spark.createDataFrame(
+        [(f"id{i:04d}", [1.0, 0.0, float(i % 7), float(i % 30 == 0)]) for i in range(1200)]
+        + [("blank", [0.0] * 4)], "id string, vec array<double>"))
+    asked = [(f"q{i}", [0.0, 0.0, 0.0, 2.0] if i % 2 else [0.5, 0.0, 1.0, 3.0]) for i in range(50)]
+    queries = cut_lineage(spark.createDataFrame(asked, "q_id string, qvec array<double>"))
+    texts = {r["id"]: r["vec"] for r in index.collect()}
+
+    def best(q):
+        dot = {x: sum(a * b for a, b in zip(q, v)) / (sum(b * b for b in v) ** 0.5 or 1)
+               for x, v in texts.items()}
+        return sorted(texts, key=lambda x: (x == "blank", -round(dot[x], 9), x))[:R.hits_wanted()]
+    want = {(q_id, i + 1, x) for q_id, q in asked for i, x in enumerate(best(q))}
+    found = written(monkeypatch, R, T)
+    vectors = [(index.withColumn("vec", array_to_vector("vec")),
+                queries.withColumn("qvec", array_to_vector("qvec"))), (index, queries)]
+    monkeypatch.setattr(R, "TEXTS_PER_BLOCK", 500, raising=False)
+    for passes in (32_768, 1):
+        monkeypatch.setattr(R, "VECTORS_PER_PASS", passes, raising=False)
+        for x, q in vectors[-1:] if passes == 1 else vectors:
+            assert {tuple(r) for r in R.vector_hits(x, q).collect()} == want
+    assert max(t.count() for tables in found.values() for t in tables) <= len(texts)
+
+
+def test_documents_come_to_the_rows_that_stay(spark, monkeypatch):
+    from trellis.plans.retrieve_queries import q_retrieve
+    found = written(monkeypatch, R)
+    q_retrieve(spark, SF_SMALL).collect()
+    assert "document" not in found["semantic"][0].columns
+    # of the questions' substrings those that are some name's rarest
+    rarest = {r[0] for t in found["term_anchors"] for r in t.select("gram").collect()}
+    grams = [r for t in found["question_grams"] for r in t.select("gram").collect()]
+    assert grams and {r[0] for r in grams} <= rarest

@@ -17,16 +17,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.scalars import contains_any, keep_lines, tokens
-from ..session import by_shuffle, cut_lineage, spread
+from ..session import by_shuffle, cut_lineage, scratch_path, spread
 from .chunks import _ordered_join, lineage_lines
 from .graph_ops import find_jobs, longest_match
 from .lineage_graph import LineageGraph, run_stats
-from .text_vectors import COMMON_SHARE, SLACK, likely_scores
+from .text_vectors import COMMON_SHARE, is_few
 
 # Fixed values the retrieval rules must reproduce.
 LIST_KEYWORDS = (
@@ -194,10 +196,9 @@ def approx_search(index: DataFrame, queries: DataFrame, k: int, bucket_length: f
 def embed_text(df: DataFrame, text_col: str = "text", num_features: int = 1 << 12):
     """Text vectors without an external model (tokens -> hashed term
     frequencies -> IDF -> unit length).  Returns (fitted model, frame with
-    ``vec: array<double>``)."""
+    ``vec: array<double>`` and the same without its zeros, ``_unit``)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[\s_\-/]+"),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
@@ -206,7 +207,7 @@ def embed_text(df: DataFrame, text_col: str = "text", num_features: int = 1 << 1
     ])
     model = pipe.fit(df)
     out = model.transform(df).withColumn("vec", vector_to_array("_unit")) \
-        .drop("_tok", "_tf", "_idf", "_unit")
+        .drop("_tok", "_tf", "_idf")
     return model, out
 
 
@@ -239,25 +240,29 @@ def contained_terms(questions: DataFrame, terms: DataFrame, qcol: str = "questio
     A contained term's grams of ``k`` characters all occur in the question, so
     joining each term's rarest gram (counted over all terms) with the
     question's grams loses none, and ``contains`` decides the few candidates.
-    Terms shorter than ``k`` join the question's substrings of their length.
-    Grams are many times the texts they come from, so all joins shuffle; the
-    anchors are written once, which ends the plan over the terms there.
+    A term shorter than ``k`` is its own gram.  Grams are many times the texts
+    they come from: those of questions that are no term's rarest are left out
+    before the join (by a broadcast if the rarest are few, as counted), and all
+    other joins shuffle; the anchors are written once, which ends the plan over
+    the terms there.
     """
     t = by_shuffle(terms.withColumn("lterm", F.lower("term")))
-    q = by_shuffle(questions.select("q_id", F.lower(qcol).alias("_lq")))
+    q = questions.select("q_id", F.lower(qcol).alias("_lq")).where("q_id is not null")
     by_gram = t.where(F.length("lterm") >= k).withColumn("gram", F.explode(_grams(F.col("lterm"), k)))
     freq = by_gram.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
     w = Window.partitionBy("term_kind", "term").orderBy("_f", "gram")
-    anchors = cut_lineage(by_gram.join(freq, "gram").withColumn("_r", F.row_number().over(w))
-                          .where("_r = 1").select("gram", "term_kind", "term", "lterm"),
-                          "term_anchors")
-    long = (q.select("q_id", F.explode(_grams(F.col("_lq"), k)).alias("gram"))
-            .join(by_shuffle(anchors), "gram").join(q, "q_id")
+    rarest = (by_gram.join(freq, "gram").withColumn("_r", F.row_number().over(w))
+              .where("_r = 1").select("gram", "term_kind", "term", "lterm"))
+    short = t.where(F.length("lterm") < k).select(F.col("lterm").alias("gram"), "term_kind", "term",
+                                                  "lterm")
+    anchors = cut_lineage(rarest.unionByName(short), "term_anchors")
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("_lq"), n) for n in range(1, k + 1)]))
+    asked = q.select("q_id", "_lq", F.explode(pieces).alias("gram"))
+    wanted = anchors.select("gram").distinct()
+    if is_few(wanted):
+        asked = cut_lineage(asked.join(F.broadcast(wanted), "gram", "left_semi"), "question_grams")
+    return (by_shuffle(asked).join(by_shuffle(anchors), "gram")
             .where(F.col("_lq").contains(F.col("lterm"))).select("q_id", "term_kind", "term"))
-    pieces = F.array_distinct(F.concat(*[_grams(F.col("_lq"), n) for n in range(1, k)]))
-    short = (q.select("q_id", F.explode(pieces).alias("lterm"))
-             .join(t.where(F.length("lterm") < k), "lterm").select("q_id", "term_kind", "term"))
-    return long.unionByName(short)
 
 
 def token_subset_terms(questions: DataFrame, terms: DataFrame,
@@ -421,9 +426,10 @@ def namespace_summary(index: DataFrame, detected: DataFrame) -> DataFrame:
 def budget(ranked: DataFrame, n_col: str = "n", min_rest: int = MIN_REST) -> DataFrame:
     """Priority rows (tier 0/1) always, then the first ``max(n - p,
     min_rest)`` of the rest by position."""
-    p = ranked.groupBy("q_id").agg(F.count_if(F.col("tier") < 2).alias("_p"))
     w = Window.partitionBy("q_id").orderBy("tier", "pos")
-    r = ranked.join(by_shuffle(p), "q_id").withColumn("_i", F.row_number().over(w))
+    first = F.count_if(F.col("tier") < 2).over(Window.partitionBy("q_id"))
+    r = (ranked.where("q_id is not null").withColumn("_p", first)
+         .withColumn("_i", F.row_number().over(w)))
     keep = (F.col("tier") < 2) | (F.col("_i") - F.col("_p")
                                   <= F.greatest(F.col(n_col) - F.col("_p"), F.lit(min_rest)))
     return r.filter(keep).drop("_p", "_i")
@@ -454,84 +460,159 @@ def _length(terms: pd.Series, weights: pd.Series, dims: pd.Series) -> pd.Series:
 
 def _nonzero(vectors: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
     """``(row, id, terms, weights, norm)``: the dimensions of each vector that are
-    not zero, ascending, written once; ``row`` tells vectors of one id apart."""
-    found = (spread(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")))
-             .where("_v is not null")
-             .select("id", "_v", F.expr("filter(sequence(0, size(_v) - 1), i -> _v[i] <> 0D)")
-                     .alias("terms"))
-             .select("id", "terms", F.expr("transform(terms, i -> _v[i])").alias("weights"),
-                     F.size("_v").alias("dims")))
+    not zero, ascending, written once; ``row`` tells vectors of one id apart.
+    Vectors are arrays, or the vectors of Spark ML, read without their zeros."""
+    v = F.col(vec_col)
+    if isinstance(vectors.schema[vec_col].dataType, VectorUDT):
+        sparse = vectors.where(v.isNotNull()).select(
+            F.col(id_col).alias("id"), F.unwrap_udt(v).alias("_u")).select(
+            "id", F.col("_u.values").alias("_w"),
+            F.coalesce("_u.indices", F.expr("sequence(0, size(_u.values) - 1)")).alias("_at"),
+            F.coalesce("_u.size", F.size("_u.values")).alias("dims"))
+        found = (spread(sparse).withColumn("_keep", F.expr(
+            "filter(sequence(0, size(_w) - 1), i -> size(_w) > 0 and _w[i] <> 0D)"))
+            .select("id", F.expr("transform(_keep, i -> _at[i])").alias("terms"),
+                    F.expr("transform(_keep, i -> _w[i])").alias("weights"), "dims"))
+    else:
+        found = (spread(vectors.select(F.col(id_col).alias("id"), v.alias("_v")))
+                 .where("_v is not null")
+                 .select("id", "_v", F.expr("filter(sequence(0, size(_v) - 1), i -> _v[i] <> 0D)")
+                         .alias("terms"))
+                 .select("id", "terms", F.expr("transform(terms, i -> _v[i])").alias("weights"),
+                         F.size("_v").alias("dims")))
     return by_shuffle(cut_lineage(
         found.withColumn("row", F.monotonically_increasing_id())
         .withColumn("norm", _length("terms", "weights", "dims")).drop("dims"), name))
 
 
+#: Texts that a task compares at once, and vectors and their parts that travel to it.
+TEXTS_PER_BLOCK, VECTORS_PER_PASS, PARTS_PER_PASS = 32_768, 32_768, 1_000_000
+
+
+def _lists(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of numbers as one array, with where each begins and ends."""
+    ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+    flat = np.concatenate([np.asarray(r) for r in rows]) if len(rows) else np.zeros(0)
+    return flat, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+
+
+def _nearest(queries: tuple, k: int, common_share: float):
+    """The function of a task that compares ``queries`` with its block of texts.
+
+    Every product is added in the order of the dimensions, as ``vector_search``
+    adds them, so the distances are the same.  Dimensions that more than
+    ``common_share`` of the block's texts have are added as whole columns, all
+    others to the texts that have them.
+    """
+    qrows, qterms, qweights, qnorms = queries
+
+    def near(block: pd.DataFrame):
+        size = len(block)
+        terms, begin, end = _lists(block["terms"].tolist())
+        weights = _lists(block["weights"].tolist())[0].astype(np.float64)
+        at = np.repeat(np.arange(size), end - begin)
+        order = np.argsort(terms, kind="stable")
+        terms, weights, at = terms[order], weights[order], at[order]
+        norms, rows = block["norm"].to_numpy(np.float64), block["row"].to_numpy()
+        names, first = np.unique(terms, return_index=True)
+        columns = {}
+        for t, x, y in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(terms)]):
+            if y - x > common_share * size:
+                full = np.zeros(size)
+                full[at[x:y]] = weights[x:y]
+                columns[t] = (None, full)
+            else:
+                columns[t] = (at[x:y], weights[x:y])
+        blank = norms == 0
+        some_blank, kk = bool(blank.any()), min(k, size)
+        out: tuple[list, list, list] = [], [], []
+        for q, q_terms, q_weights, q_norm in zip(qrows, qterms, qweights, qnorms):
+            dot = np.zeros(size)
+            for t, w in zip(q_terms, q_weights):
+                if (found := columns.get(t)) is not None:
+                    if found[0] is None:
+                        dot += w * found[1]
+                    else:
+                        dot[found[0]] += w * found[1]
+            if q_norm == 0:
+                dist = np.full(size, np.inf)
+            elif some_blank:                # no direction, no distance: after all others
+                dist = np.where(blank, np.inf, 1.0 - dot / (q_norm * np.where(blank, 1.0, norms)))
+            else:
+                dist = 1.0 - dot / (q_norm * norms)
+            if kk < size:
+                best = np.flatnonzero(dist <= np.partition(dist, kk - 1)[kk - 1])
+            else:
+                best = np.arange(size)
+            best = best[np.argsort(dist[best], kind="stable")[:kk]]   # the block is in order of ids
+            out[0].append(np.full(kk, q))
+            out[1].append(rows[best])
+            out[2].append(dist[best])
+            if len(out[0]) >= 1000:
+                yield pd.DataFrame(dict(zip(("vec", "row", "distance"), map(np.concatenate, out))))
+                out = [], [], []
+        if out[0]:
+            yield pd.DataFrame(dict(zip(("vec", "row", "distance"), map(np.concatenate, out))))
+
+    def fn(it):
+        held, rows = [], 0
+        for pdf in it:
+            while len(pdf):
+                part, pdf = pdf[:TEXTS_PER_BLOCK - rows], pdf[TEXTS_PER_BLOCK - rows:]
+                held.append(part)
+                rows += len(part)
+                if rows == TEXTS_PER_BLOCK:
+                    yield from near(pd.concat(held))
+                    held, rows = [], 0
+        if held:
+            yield from near(pd.concat(held))
+    return fn
+
+
 def vector_hits(index_vecs: DataFrame, query_vecs: DataFrame, n: int = DEFAULT_N,
                 common_share: float = COMMON_SHARE) -> DataFrame:
     """Semantic hits ``(q_id, rank, id)`` from ``index_vecs(id, vec)`` and
     ``query_vecs(q_id, qvec)``, the chunk and question vectors.
 
-    The same rows as ``vector_search`` by cosine, without scoring every pair:
-    the vectors are mostly zeros, so the texts that can be among a query's best
-    come from joins on the dimensions (``text_vectors.likely_scores``), and only
-    their distances are computed, summed in the order of the dimensions.  A query
-    that shares dimensions with too few texts is filled up with the first ids,
-    at distance 1.  Vectors with negative parts have no such bounds and are
-    scored in full.
+    The same rows as ``vector_search`` by cosine.  The vectors are mostly zeros
+    and are compared without them: texts lie in blocks, a bounded batch of
+    question vectors travels to every block, and a block gives back the best of
+    each vector, so no pair of a question and a text is ever written beyond
+    those.  Questions of equal vectors are searched once.  Vectors with negative
+    parts are scored in full.
     """
     k = hits_wanted(n)
     index = _nonzero(index_vecs, "id", "vec", "index_vectors")
     queries = _nonzero(query_vecs, "q_id", "qvec", "query_vectors").withColumnsRenamed(
-        {"id": "q_id", "row": "q_row", "norm": "q_norm"})
+        {"id": "q_id", "row": "q_row"})
     negative = F.exists("weights", lambda w: w < 0)
     if not (index.where(negative).isEmpty() and queries.where(negative).isEmpty()):
-        return vector_search(index_vecs, query_vecs, k, metric="cosine", id_col="id",
-                             vec_col="vec").select("q_id", "rank", "id")
-
-    def parts(rows, row, norm, weight):
-        return rows.select(F.col(row), norm, F.explode(F.arrays_zip("terms", "weights"))
-                           .alias("p")).select(row, F.col("p.terms").alias("term"),
-                                               (F.col("p.weights") / F.col(norm)).alias(weight))
-
-    postings = cut_lineage(parts(index, "row", "norm", "weight")
-                           .withColumnRenamed("row", "id"), "postings")
-    size = index.count()
-    tops = postings.groupBy("term").agg(F.max("weight").alias("top"),
-                                        (F.count("*") > common_share * size).alias("common"))
-    asked = (parts(queries, "q_row", "q_norm", "qw").join(tops, "term")
-             .withColumnRenamed("q_row", "q_id"))
-    scores = cut_lineage(likely_scores(asked, postings, k), "likely")
-    by_score = Window.partitionBy("q_id").orderBy(F.col("score").desc())
-    kth = (scores.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") <= k)
-           .groupBy("q_id").agg(F.min("score").alias("kth"), F.count("*").alias("found")))
-    kth = by_shuffle(cut_lineage(kth, "likely_kth"))
-    near = (scores.join(kth, "q_id").where((F.col("found") < k)
-                                           | (F.col("score") >= F.col("kth") - SLACK))
-            .select(F.col("q_id").alias("q_row"), F.col("id").alias("row")))
-    dot = F.expr("aggregate(q_terms, 0D, (a, t) -> a + coalesce(q_part[t] * part[t], 0D))")
-    q = queries.select("q_row", "q_id", "q_norm", F.col("terms").alias("q_terms"),
-                       F.map_from_arrays("terms", "weights").alias("q_part"))
-    x = index.select("row", "id", "norm", F.map_from_arrays("terms", "weights").alias("part"))
-    near = (near.join(q, "q_row").join(x, "row")
-            .select("q_row", "row", "q_id", "id", (F.lit(1.0) - dot / (F.col("q_norm") * F.col("norm")))
-                    .alias("distance")))
-    # texts without a shared dimension: at most 2k first ids can be needed
-    few = (queries.select("q_row", "q_id", "q_norm")
-           .join(kth.withColumnRenamed("q_id", "q_row"), "q_row", "left")
-           .where(F.coalesce("found", F.lit(0)) < k).select("q_row", "q_id", "q_norm"))
-    first = (index.where("norm > 0").select("row", "id", "norm").orderBy("id", "row").limit(2 * k)
-             .unionByName(index.select("row", "id", "norm").orderBy("id", "row").limit(2 * k))
-             .distinct())
-    none = (few.crossJoin(F.broadcast(first))
-            .join(by_shuffle(scores.select(F.col("q_id").alias("q_row"), F.col("id").alias("row"))),
-                  ["q_row", "row"], "left_anti")
-            .select("q_row", "row", "q_id", "id", F.when(
-                (F.col("q_norm") > 0) & (F.col("norm") > 0), F.lit(1.0))
-                .otherwise(F.lit(float("nan"))).alias("distance")))
-    best = Window.partitionBy("q_row").orderBy("distance", "id", "row")
-    return (near.unionByName(none)
-            .withColumn("rank", F.row_number().over(best).cast("bigint"))
-            .where(F.col("rank") <= k).select("q_id", "rank", "id"))
+        return vector_search(*(
+            x.withColumn(c, vector_to_array(c)) if isinstance(x.schema[c].dataType, VectorUDT) else x
+            for x, c in ((index_vecs, "vec"), (query_vecs, "qvec"))),
+            k, metric="cosine", id_col="id", vec_col="vec").select("q_id", "rank", "id")
+    alike = cut_lineage(queries.groupBy("terms", "weights", "norm")
+                        .agg(F.min("q_row").alias("vec")), "distinct_vectors")
+    vec_of = queries.join(by_shuffle(alike), ["terms", "weights", "norm"]).select("q_id", "vec")
+    size = alike.agg(F.count("*"), F.sum(F.size("terms"))).first()
+    passes = max(1, -(-size[0] // VECTORS_PER_PASS), -(-(size[1] or 0) // PARTS_PER_PASS))
+    spark = index.sparkSession
+    blocks = max(spark.sparkContext.defaultParallelism, -(-index.count() // TEXTS_PER_BLOCK))
+    path = scratch_path(spark, "nearest")
+    for p in range(passes):
+        batch = alike.where(F.pmod(F.xxhash64("vec"), F.lit(passes)) == p).toArrow()
+        sent = tuple(batch[c].to_pylist() for c in ("vec", "terms", "weights", "norm"))
+        (index.repartition(blocks, "row").sortWithinPartitions("id", "row")
+         .select("row", "terms", "weights", "norm")
+         .mapInPandas(_nearest(sent, k, common_share), "vec bigint, row bigint, distance double")
+         .write.parquet(f"{path}/pass={p}"))
+    near = spark.read.parquet(path)
+    near = (near.withColumn("_r", F.rank().over(Window.partitionBy("vec").orderBy("distance")))
+            .where(F.col("_r") <= k).drop("_r"))
+    best = Window.partitionBy("vec").orderBy("distance", "id", "row")
+    near = by_shuffle(near).join(by_shuffle(index.select("row", "id")), "row")
+    near = near.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    return by_shuffle(vec_of).join(by_shuffle(near), "vec").select("q_id", "rank", "id")
 
 
 def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame, hits: DataFrame,
@@ -545,7 +626,7 @@ def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame, hits: Data
     question reads ``min(2n, fetch_cap)``; then the namespace summary (R12);
     the rest is cut to the budget, ``min_rest`` at least (K04).  Questions,
     detected names and each tier are written once, since several tiers read
-    them.
+    them.  Rows hold numbers of documents; the texts come to the rows that stay.
     """
     qs = questions.select("q_id", "question",
                           recall_n(F.col("question"), n).alias("n"))
@@ -553,25 +634,40 @@ def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame, hits: Data
         qs = qs.join(search_text.select("q_id", "search"), "q_id", "left")
     else:
         qs = qs.withColumn("search", F.col("question"))
-    index = by_shuffle(index)
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        return by_shuffle(cut_lineage(df.withColumn("doc", F.monotonically_increasing_id()), name))
+    index = numbered(index, "chunks")
     qs = by_shuffle(cut_lineage(qs, "questions"))
-    ctx = cut_lineage(graph_context(g, qs.select("q_id", "question")), "context")
-    sem = (hits.join(qs.select("q_id", "n"), "q_id")
-           .filter(F.col("rank") <= F.least(F.col("n") * 2, F.lit(fetch_cap)))
-           .join(index.select("id", "name", "document"), "id"))
-    sem = first_per_name(sem)
+    ctx = numbered(graph_context(g, qs.select("q_id", "question")), "context")
     # the graph document's node name counts as already seen, in every tier below
-    named = by_shuffle(
-        ctx.join(by_shuffle(g.nodes.select(F.col("key").alias("node_key"), "name")), "node_key")
-        .select("q_id", "name").distinct())
-    sem = cut_lineage(sem.join(named, ["q_id", "name"], "left_anti"), "semantic")
-    det = cut_lineage(detect_entities(qs.select("q_id", F.col("search").alias("question")), index),
-                      "detected")
-    boost = (exact_boost(det, index, sem.select("q_id", "name").unionByName(named))
-             .groupBy("q_id", "name").agg(F.min_by("document", "id").alias("document")))
+    named = by_shuffle(cut_lineage(
+        ctx.select("q_id", "node_key")
+        .join(by_shuffle(g.nodes.select(F.col("key").alias("node_key"), "name")), "node_key")
+        .select("q_id", "name").distinct(), "named"))
+    det = by_shuffle(cut_lineage(
+        detect_entities(qs.select("q_id", F.col("search").alias("question")), index), "detected"))
+    about = (qs.select("q_id", "n")
+             .join(by_shuffle(named.groupBy("q_id").agg(F.collect_set("name").alias("_named"))),
+                   "q_id", "left")
+             .join(by_shuffle(det.groupBy("q_id").agg(
+                 F.collect_set("name").alias("_name"), (F.count("ns") > 0).alias("_listed"))),
+                 "q_id", "left"))
+    is_in = lambda names: F.coalesce(F.array_contains(names, F.col("name")), F.lit(False))
+    sem = (by_shuffle(hits).join(index.select("id", "name", "doc"), "id")
+           .join(by_shuffle(about), "q_id")
+           .filter(F.col("rank") <= F.least(F.col("n") * 2, F.lit(fetch_cap)))
+           .where(~is_in("_named"))
+           .select("q_id", "rank", "id", "name", "doc", is_in("_name").alias("detected"),
+                   F.coalesce("_listed", F.lit(False)).alias("listed")))
+    sem = cut_lineage(first_per_name(sem), "semantic")
+    # of the names that a question has seen, those that a tier compares with
+    seen = sem.where("detected").select("q_id", "name").unionByName(named)
+    boost = (exact_boost(det, index, seen)
+             .groupBy("q_id", "name").agg(F.min_by("doc", "id").alias("doc")))
     boost = cut_lineage(boost, "boost")
     summ = namespace_summary(index, det)
-    seen = (sem.select("q_id", "name").unionByName(boost.select("q_id", "name"))
+    seen = (sem.where("listed").select("q_id", "name").unionByName(boost.select("q_id", "name"))
             .unionByName(named))
     summ = summ.join(by_shuffle(seen), ["q_id", "name"], "left_anti")
     summ_doc = (summ.groupBy("q_id", "ns")
@@ -581,15 +677,20 @@ def retrieve(questions: DataFrame, g: LineageGraph, index: DataFrame, hits: Data
                                    "\n\n").alias("body"))
                 .select("q_id", F.concat(F.lit("Datasets in "), F.col("ns"), F.lit(":\n\n"),
                                          F.col("body")).alias("document")))
-    rows = (ctx.select("q_id", F.lit(0).alias("tier"), F.lit(0).alias("pos"),
-                       F.col("context").alias("document"))
-            .unionByName(boost.select("q_id", F.lit(1).alias("tier"), F.lit(0).alias("pos"),
-                                      "document"))
-            .unionByName(sem.select("q_id", F.lit(2).alias("tier"), F.col("rank").alias("pos"),
-                                    "document"))
-            .unionByName(summ_doc.select("q_id", F.lit(3).alias("tier"),
-                                         F.lit(1 << 30).alias("pos"), "document")))
-    return budget(rows.join(qs.select("q_id", "n"), "q_id"), min_rest=min_rest)
+    summ_doc = numbered(summ_doc, "summaries")
+
+    def tier(df: DataFrame, number: int, pos: Column, of: int) -> DataFrame:
+        return df.select("q_id", F.lit(number).alias("tier"), pos.alias("pos"),
+                         F.lit(of).alias("of"), "doc")
+    rows = (tier(ctx, 0, F.lit(0), 0).unionByName(tier(boost, 1, F.lit(0), 1))
+            .unionByName(tier(sem, 2, F.col("rank"), 1))
+            .unionByName(tier(summ_doc, 3, F.lit(1 << 30), 2)))
+    kept = budget(by_shuffle(rows).join(qs.select("q_id", "n"), "q_id"), min_rest=min_rest)
+    texts = (ctx.select(F.lit(0).alias("of"), "doc", F.col("context").alias("document"))
+             .unionByName(index.select(F.lit(1).alias("of"), "doc", "document"))
+             .unionByName(summ_doc.select(F.lit(2).alias("of"), "doc", "document")))
+    return (by_shuffle(kept).join(by_shuffle(texts), ["of", "doc"])
+            .select("q_id", "tier", "pos", "document", "n"))
 
 
 # ------------------------------------------------------------ chat history
