@@ -180,3 +180,41 @@ def test_documents_come_to_the_rows_that_stay(spark, monkeypatch):
     rarest = {r[0] for t in found["term_anchors"] for r in t.select("gram").collect()}
     grams = [r for t in found["question_grams"] for r in t.select("gram").collect()]
     assert grams and {r[0] for r in grams} <= rarest
+
+
+def test_chains_are_walked_in_tasks_and_in_rounds_alike(spark, monkeypatch):
+    from trellis.operators import graph_ops as G
+    from trellis.operators.lineage_graph import LineageGraph
+    edges = []
+    for i in range(40):                     # two chains that meet, a cycle, a node alone
+        edges += [(f"d{i}", f"j{i}", "feeds"), (f"j{i}", f"d{i + 1}", "produces")]
+    edges += [("j30", "d9", "produces"), ("s", "j12", "feeds"), ("t", "j2", "feeds")]
+    data = [(k, f"name of {k}") for k in {x for a, b, _ in edges for x in (a, b)} | {"alone"}]
+    schema = "key string, namespace string, name string"
+    g = LineageGraph(*(cut_lineage(spark.createDataFrame(
+        [(k, "ns", n) for k, n in data if k.startswith("j") == jobs], schema)) for jobs in (False, True)),
+        cut_lineage(spark.createDataFrame(edges, "src string, dst string, relation string")), None, None)
+    after: dict = {}
+    for a, b, _ in edges:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for root in ("d0", "s", "t"):
+        level, seen, depth = {root}, {root}, 0
+        while level := {y for x in level for y in after.get(x, ())} - seen:
+            depth, seen = depth + 1, seen | level
+            want |= {(root, y, depth, "job" if y[0] == "j" else "dataset", f"name of {y}")
+                     for y in level}
+
+    def rows():
+        return sorted(map(tuple, G.transitive_chain(g).drop("truncated").select(
+            "root_key", "node_key", "depth", "kind", "name").collect()))
+    monkeypatch.setattr(G, "EDGES_SENT", 0, raising=False)
+    monkeypatch.setattr(G, "NODES_SENT", 0, raising=False)
+    assert rows() == sorted(want)
+    monkeypatch.undo()
+    rounds: list = []
+    monkeypatch.setattr(G, "scratch_path", lambda *a: rounds.append(a))
+    for places in (1, 1 << 26):             # one root at a time, all at once
+        monkeypatch.setattr(G, "PLACES", places, raising=False)
+        assert rows() == sorted(want)
+    assert not rounds

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,17 +264,22 @@ def impact(g: LineageGraph, roots: DataFrame, max_depth: int | None = MAX_DEPTH)
                     .alias("truncated")))
 
 
-def _doubled(g: LineageGraph, limit: int | None,
-             pairs_per_node: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(nodes, pairs up to ``step`` apart, step) of ``reach``; with
-    ``pairs_per_node`` no round starts from more pairs than that."""
-    nodes = cut_lineage(g.nodes.select("key", (F.col("kind") == "dataset").alias("_ds"))
+def _numbered(g: LineageGraph, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(nodes with a number and the columns ``carry``, pairs one edge apart)."""
+    nodes = cut_lineage(g.nodes.select("key", (F.col("kind") == "dataset").alias("_ds"), *carry)
                         .withColumn("id", F.monotonically_increasing_id()), "reach_nodes")
     ids = nodes.select("key", "id")
     pairs = cut_lineage(
         g.edges.join(ids.withColumnsRenamed({"key": "src", "id": "a"}), "src")
         .join(ids.withColumnsRenamed({"key": "dst", "id": "b"}), "dst")
         .where("a <> b").select("a", "b", F.lit(1).alias("dist")).distinct(), "reach")
+    return nodes, pairs
+
+
+def _doubled(nodes: DataFrame, pairs: DataFrame, limit: int | None,
+             pairs_per_node: int | None = None) -> tuple[DataFrame, int]:
+    """(pairs up to ``step`` apart, step) of ``reach``, from those of ``_numbered``;
+    with ``pairs_per_node`` no round starts from more pairs than that."""
     most = None if pairs_per_node is None else pairs_per_node * nodes.count()
     step = 1
     while ((limit is None or step < limit) and (most is None or pairs.count() <= most)
@@ -289,7 +296,7 @@ def _doubled(g: LineageGraph, limit: int | None,
         done, pairs = pairs, cut_lineage(least, "reach")
         drop_cut(done)
         step *= 2
-    return nodes, pairs, step
+    return pairs, step
 
 
 def reach(g: LineageGraph, limit: int | None = None) -> DataFrame:
@@ -305,45 +312,109 @@ def reach(g: LineageGraph, limit: int | None = None) -> DataFrame:
     the first round only datasets start a path that can be continued.  Keys
     travel as numbers; each round is written once and replaces the last.
     """
-    nodes, pairs, _ = _doubled(g, limit)
+    nodes, pairs = _numbered(g)
+    pairs, _ = _doubled(nodes, pairs, limit)
     datasets = nodes.where("_ds").select(F.col("id").alias("a"))
     return _keyed(nodes, pairs.join(datasets, "a", "left_semi"))
 
 
-def _keyed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    return (pairs.join(nodes.select(F.col("key").alias("root_key"), F.col("id").alias("a")), "a")
-            .join(nodes.select(F.col("key").alias("node_key"), F.col("id").alias("b")), "b")
-            .select("root_key", "node_key", F.col("dist").alias("depth")))
+def _keyed(nodes: DataFrame, pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Numbered pairs by key, with the columns ``carry`` of the node reached.
+    Few nodes, as counted, meet the pairs without a shuffle."""
+    few = nodes.limit(NODES_SENT + 1).count() <= NODES_SENT
+    ends = [nodes.select(F.col("key").alias("root_key"), F.col("id").alias("a")),
+            nodes.select(F.col("key").alias("node_key"), F.col("id").alias("b"), *carry)]
+    roots, reached = (F.broadcast(x) if few else x for x in ends)
+    return pairs.join(roots, "a").join(reached, "b").select(
+        "root_key", "node_key", F.col("dist").alias("depth"), *carry)
 
 
 #: Pairs a node that the doubling of ``reach_from`` may start a round with.
 PAIRS_PER_NODE = 256
-
-
-def reach_from(g: LineageGraph, roots: DataFrame,
-               pairs_per_node: int = PAIRS_PER_NODE) -> DataFrame:
+#: Edges that may travel to the tasks of a walk, nodes that may, and places (roots
+#: times nodes) that a task marks at once.
+EDGES_SENT, NODES_SENT, PLACES = 4_000_000, 500_000, 1 << 26
+
+
+def _walks(ids: np.ndarray, begin: np.ndarray, onward: np.ndarray, rows: int = 1 << 16):
+    """The function of a task that walks from its roots, level by level: node ``i``
+    has the number ``ids[i]`` and leads to ``onward[begin[i]:begin[i + 1]]``."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dist", pa.int32())])
+    size = len(ids)
+
+    def walk(roots: np.ndarray):
+        who, at = np.arange(len(roots)), np.searchsorted(ids, roots)
+        seen = np.zeros(len(roots) * size, dtype=bool)
+        seen[who * size + at] = True
+        held, n, depth = [], 0, 0
+        while len(who):
+            depth += 1
+            first = begin[at]
+            many = begin[at + 1] - first
+            ends = np.cumsum(many)
+            edge = np.arange(ends[-1]) + np.repeat(first - ends + many, many)
+            place = np.repeat(who * size, many) + onward[edge]
+            place = np.unique(place[~seen[place]])
+            seen[place] = True
+            who = place // size
+            at = place - who * size
+            held.append((roots[who], ids[at], np.full(len(who), depth, dtype=np.int32)))
+            n += len(who)
+            if n >= rows or not len(who):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema)
+                held, n = [], 0
+
+    def fn(batches):
+        for batch in batches:
+            roots = np.intersect1d(batch.column(0).to_numpy(zero_copy_only=False), ids)
+            step = max(1, PLACES // max(size, 1))
+            for i in range(0, len(roots), step):
+                yield from walk(roots[i:i + step])
+    return fn
+
+
+def reach_from(g: LineageGraph, roots: DataFrame, pairs_per_node: int = PAIRS_PER_NODE,
+               carry: Sequence[str] = ()) -> DataFrame:
     """The rows of ``reach`` for ``roots(key)``, datasets, without the pairs of
-    all others.
-
-    Doubling goes on while the pairs up to ``step`` apart are few a node; then
-    the walk goes on from the roots alone, ``step`` edges at a time.  All nodes
-    up to ``far`` from a root are known, and a shortest path to one of the next
-    ``step`` has a node exactly ``far`` from it, so joining the nodes of that
-    distance with the pairs finds all of them.  Only new nodes are kept, level
-    by level in one written table.
+    all others; ``carry`` names further columns of the node reached.
+
+    Edges that are few, as counted, travel to the tasks as numbers, and each task
+    walks from some of the roots to the end, with bounded marks, so the depth
+    takes no rounds and only the rows of the result are written.
+
+    More edges are walked in rounds.  Doubling goes on while the pairs up to
+    ``step`` apart are few a node; then the walk goes on from the roots alone,
+    ``step`` edges at a time.  All nodes up to ``far`` from a root are known, and
+    a shortest path to one of the next ``step`` has a node exactly ``far`` from
+    it, so joining the nodes of that distance with the pairs finds all of them.
+    Only new nodes are kept, level by level in one written table.
     """
-    nodes, pairs, step = _doubled(g, None, pairs_per_node)
+    nodes, pairs = _numbered(g, carry)
+    spark = g.edges.sparkSession
+    start = (nodes.join(by_shuffle(roots.select("key").distinct()), "key", "left_semi")
+             .where("_ds").select(F.col("id").alias("a")))
+    if pairs.limit(EDGES_SENT + 1).count() <= EDGES_SENT:
+        edges = pairs.select("a", "b").toArrow()
+        a, b = (edges[c].to_numpy() for c in ("a", "b"))
+        ids, order = np.unique(np.concatenate([a, b])), np.argsort(a, kind="stable")
+        begin = np.searchsorted(a[order], np.append(ids, np.iinfo(np.int64).max))
+        onward = np.searchsorted(ids, b[order])
+        start = cut_lineage(start, "roots")
+        tasks = max(spark.sparkContext.defaultParallelism, -(-start.count() * len(ids) // PLACES))
+        return _keyed(nodes, start.repartition(tasks).mapInArrow(
+            _walks(ids, begin, onward), "a bigint, b bigint, dist int"), carry)
+    pairs, step = _doubled(nodes, pairs, None, pairs_per_node)
     pairs = by_shuffle(pairs)
-    path = scratch_path(g.edges.sparkSession, "reach_from")
-    spark, far, level = g.edges.sparkSession, step, 0
-    start = nodes.join(by_shuffle(roots.select("key").distinct()), "key", "left_semi")
-    new = pairs.join(start.where("_ds").select(F.col("id").alias("a")), "a", "left_semi")
+    path = scratch_path(spark, "reach_from")
+    far, level = step, 0
+    new = pairs.join(start, "a", "left_semi")
     while True:
         new.write.parquet(f"{path}/level={level}")
         found = spark.read.parquet(path)
         tips = found.where((F.col("level") == level) & (F.col("dist") == far))
         if tips.isEmpty():
-            return _keyed(nodes, found.drop("level"))
+            return _keyed(nodes, found.drop("level"), carry)
         onward = pairs.select(F.col("a").alias("mid"), F.col("b").alias("c"),
                               (F.col("dist") + far).alias("dist"))
         new = (by_shuffle(tips.select("a", F.col("b").alias("mid"))).join(onward, "mid")
@@ -398,7 +469,7 @@ def transitive_chain(g: LineageGraph, max_depth: int | None = None) -> DataFrame
     sources = source_datasets(g).select("key")
     if max_depth is not None:
         return impact_named(g, sources, max_depth)
-    return with_names(g, reach_from(g, sources).withColumn("truncated", F.lit(False)))
+    return reach_from(g, sources, carry=("kind", "name")).withColumn("truncated", F.lit(False))
 
 
 def dataset_schema(g: LineageGraph, name: str, ns: str | None = None) -> DataFrame:
