@@ -163,9 +163,9 @@ def test_vector_hits_write_no_pairs_but_the_best(spark, monkeypatch):
     found = written(monkeypatch, R, T)
     vectors = [(index.withColumn("vec", array_to_vector("vec")),
                 queries.withColumn("qvec", array_to_vector("qvec"))), (index, queries)]
-    monkeypatch.setattr(R, "TEXTS_PER_BLOCK", 500, raising=False)
+    monkeypatch.setattr(T, "TEXTS_PER_BLOCK", 500, raising=False)
     for passes in (32_768, 1):
-        monkeypatch.setattr(R, "VECTORS_PER_PASS", passes, raising=False)
+        monkeypatch.setattr(T, "VECTORS_PER_PASS", passes, raising=False)
         for x, q in vectors[-1:] if passes == 1 else vectors:
             assert {tuple(r) for r in R.vector_hits(x, q).collect()} == want
     assert max(t.count() for tables in found.values() for t in tables) <= len(texts)
@@ -218,3 +218,32 @@ def test_chains_are_walked_in_tasks_and_in_rounds_alike(spark, monkeypatch):
         monkeypatch.setattr(G, "PLACES", places, raising=False)
         assert rows() == sorted(want)
     assert not rounds
+
+
+def test_questions_with_few_rare_hits_share_the_search_of_common_terms(spark, monkeypatch):
+    from trellis.operators import text_vectors as T
+    texts = cut_lineage(spark.createDataFrame(
+        [(f"id{i:03d}", f"lake ds {i % 60} w{i % 7} " + "ds " * (i % 5)) for i in range(240)]
+        + [("other", "nothing of it")], "id string, text string"))
+    asked = cut_lineage(spark.createDataFrame(
+        [(f"q{i}", f"lake ds {i}") for i in range(60)] + [("none", "zzz"), ("common", "ds lake")],
+        "q_id string, text string"))
+    index = T.TextIndex(texts, "id")
+    unit, want = {}, set()
+    for r in index.postings.collect():
+        unit.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    weights: dict = {}
+    for r in index.weigh(asked, "q_id").collect():
+        weights.setdefault(r["q_id"], {})[r["term"]] = r["weight"]
+    for q, terms in weights.items():
+        score = {x: round(sum(w * v.get(t, 0.0) for t, w in terms.items()), 9) for x, v in unit.items()}
+        best = sorted((x for x in score if score[x] > 0), key=lambda x: (-score[x], x))[:12]
+        want |= {(q, i + 1, x) for i, x in enumerate(best)}
+    found = written(monkeypatch, T)
+    monkeypatch.setattr(T, "TEXTS_PER_BLOCK", 50, raising=False)
+    for passes in (32_768, 1):
+        monkeypatch.setattr(T, "VECTORS_PER_PASS", passes, raising=False)
+        hits = T.TextIndex(texts, "id").search(asked, "q_id", 12)
+        assert {(r["q_id"], r["rank"], r["id"]) for r in hits.collect()} == want
+    # 62 queries leave few vectors of common terms to search
+    assert all(t.count() <= 4 for t in found["alike"])

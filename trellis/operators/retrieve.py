@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.scalars import contains_any, keep_lines, tokens
-from ..session import by_shuffle, cut_lineage, scratch_path, spread
+from ..session import by_shuffle, cut_lineage, spread
 from .chunks import _ordered_join, lineage_lines
 from .graph_ops import find_jobs, longest_match
 from .lineage_graph import LineageGraph, run_stats
-from .text_vectors import COMMON_SHARE, is_few
+from .text_vectors import COMMON_SHARE, by_blocks, is_few, products, sparse_columns
 
 # Fixed values the retrieval rules must reproduce.
 LIST_KEYWORDS = (
@@ -485,55 +486,22 @@ def _nonzero(vectors: DataFrame, id_col: str, vec_col: str, name: str) -> DataFr
         .withColumn("norm", _length("terms", "weights", "dims")).drop("dims"), name))
 
 
-#: Texts that a task compares at once, and vectors and their parts that travel to it.
-TEXTS_PER_BLOCK, VECTORS_PER_PASS, PARTS_PER_PASS = 32_768, 32_768, 1_000_000
-
-
-def _lists(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lists of numbers as one array, with where each begins and ends."""
-    ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
-    flat = np.concatenate([np.asarray(r) for r in rows]) if len(rows) else np.zeros(0)
-    return flat, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
-
-
-def _nearest(queries: tuple, k: int, common_share: float):
-    """The function of a task that compares ``queries`` with its block of texts.
+def _nearest(queries: pa.Table, k: int, common_share: float):
+    """The function of a task that compares ``queries`` with a block of texts.
 
     Every product is added in the order of the dimensions, as ``vector_search``
-    adds them, so the distances are the same.  Dimensions that more than
-    ``common_share`` of the block's texts have are added as whole columns, all
-    others to the texts that have them.
-    """
-    qrows, qterms, qweights, qnorms = queries
+    adds them, so the distances are the same."""
+    qrows, qterms, qweights, qnorms = (queries[c].to_pylist()
+                                       for c in ("vec", "terms", "weights", "norm"))
 
     def near(block: pd.DataFrame):
-        size = len(block)
-        terms, begin, end = _lists(block["terms"].tolist())
-        weights = _lists(block["weights"].tolist())[0].astype(np.float64)
-        at = np.repeat(np.arange(size), end - begin)
-        order = np.argsort(terms, kind="stable")
-        terms, weights, at = terms[order], weights[order], at[order]
+        size, columns = len(block), sparse_columns(block, common_share)
         norms, rows = block["norm"].to_numpy(np.float64), block["row"].to_numpy()
-        names, first = np.unique(terms, return_index=True)
-        columns = {}
-        for t, x, y in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(terms)]):
-            if y - x > common_share * size:
-                full = np.zeros(size)
-                full[at[x:y]] = weights[x:y]
-                columns[t] = (None, full)
-            else:
-                columns[t] = (at[x:y], weights[x:y])
         blank = norms == 0
         some_blank, kk = bool(blank.any()), min(k, size)
         out: tuple[list, list, list] = [], [], []
         for q, q_terms, q_weights, q_norm in zip(qrows, qterms, qweights, qnorms):
-            dot = np.zeros(size)
-            for t, w in zip(q_terms, q_weights):
-                if (found := columns.get(t)) is not None:
-                    if found[0] is None:
-                        dot += w * found[1]
-                    else:
-                        dot[found[0]] += w * found[1]
+            dot = products(columns, size, q_terms, q_weights)
             if q_norm == 0:
                 dist = np.full(size, np.inf)
             elif some_blank:                # no direction, no distance: after all others
@@ -554,19 +522,7 @@ def _nearest(queries: tuple, k: int, common_share: float):
         if out[0]:
             yield pd.DataFrame(dict(zip(("vec", "row", "distance"), map(np.concatenate, out))))
 
-    def fn(it):
-        held, rows = [], 0
-        for pdf in it:
-            while len(pdf):
-                part, pdf = pdf[:TEXTS_PER_BLOCK - rows], pdf[TEXTS_PER_BLOCK - rows:]
-                held.append(part)
-                rows += len(part)
-                if rows == TEXTS_PER_BLOCK:
-                    yield from near(pd.concat(held))
-                    held, rows = [], 0
-        if held:
-            yield from near(pd.concat(held))
-    return fn
+    return near
 
 
 def vector_hits(index_vecs: DataFrame, query_vecs: DataFrame, n: int = DEFAULT_N,
@@ -594,19 +550,9 @@ def vector_hits(index_vecs: DataFrame, query_vecs: DataFrame, n: int = DEFAULT_N
     alike = cut_lineage(queries.groupBy("terms", "weights", "norm")
                         .agg(F.min("q_row").alias("vec")), "distinct_vectors")
     vec_of = queries.join(by_shuffle(alike), ["terms", "weights", "norm"]).select("q_id", "vec")
-    size = alike.agg(F.count("*"), F.sum(F.size("terms"))).first()
-    passes = max(1, -(-size[0] // VECTORS_PER_PASS), -(-(size[1] or 0) // PARTS_PER_PASS))
-    spark = index.sparkSession
-    blocks = max(spark.sparkContext.defaultParallelism, -(-index.count() // TEXTS_PER_BLOCK))
-    path = scratch_path(spark, "nearest")
-    for p in range(passes):
-        batch = alike.where(F.pmod(F.xxhash64("vec"), F.lit(passes)) == p).toArrow()
-        sent = tuple(batch[c].to_pylist() for c in ("vec", "terms", "weights", "norm"))
-        (index.repartition(blocks, "row").sortWithinPartitions("id", "row")
-         .select("row", "terms", "weights", "norm")
-         .mapInPandas(_nearest(sent, k, common_share), "vec bigint, row bigint, distance double")
-         .write.parquet(f"{path}/pass={p}"))
-    near = spark.read.parquet(path)
+    near = by_blocks(index, alike, ["id", "row"], ["row", "terms", "weights", "norm"],
+                     lambda batch: _nearest(batch, k, common_share),
+                     "vec bigint, row bigint, distance double")
     near = (near.withColumn("_r", F.rank().over(Window.partitionBy("vec").orderBy("distance")))
             .where(F.col("_r") <= k).drop("_r"))
     best = Window.partitionBy("vec").orderBy("distance", "id", "row")
