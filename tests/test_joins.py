@@ -247,3 +247,31 @@ def test_questions_with_few_rare_hits_share_the_search_of_common_terms(spark, mo
         assert {(r["q_id"], r["rank"], r["id"]) for r in hits.collect()} == want
     # 62 queries leave few vectors of common terms to search
     assert all(t.count() <= 4 for t in found["alike"])
+
+
+def test_texts_are_numbered_and_stored_without_further_copies(spark, monkeypatch, tmp_path):
+    from trellis.operators import chunks as K
+    from trellis.sources import keyed
+    body = "\n## ".join(f"part {i} " + "x" * 60 for i in range(3))
+    md = cut_lineage(spark.createDataFrame(
+        [("b.md", body), ("a.md", "short"), ("a.md", body + " one"), ("a.md", body + " two")],
+        "path string, content string"))
+    found = written(monkeypatch, K, keyed)
+    new = K.knowledge_chunks(md)
+    rows = sorted(map(tuple, new.select("id", "source").collect()),
+                  key=lambda r: int(r[0].rpartition(":")[2]))
+    assert rows == [(f"knowledge::{s}::{i}", s) for i, s in enumerate(["a.md"] * 6 + ["b.md"] * 3)]
+    texts = {r["document"] for r in new.collect()}
+    assert len(texts) == 3 + 2 and sum("two" in t for t in texts) == 1
+    assert all("text" not in t.columns for name in ("ordinal_rows", "ordinal") for t in found[name])
+
+    store = keyed.KeyedTable(spark, str(tmp_path), ["id"], 8)
+    schema = "id string, document string"
+    first = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(60)] + [("n", None)], schema)
+    assert store.replace(first.limit(0)) == [] and store.read() is None
+    assert store.replace(first) == list(range(8)) and store.replace(first) == []
+    change = spark.createDataFrame([("c7", "other"), ("c8", "text 8"), ("n", None)], schema)
+    assert len(store.replace(change)) == 1
+    want = {r["id"]: r["document"] for r in first.collect()} | {"c7": "other"}
+    assert {r["id"]: r["document"] for r in store.read().collect()} == want
+    assert store.read().count() == 61 and "keyed_new" not in found

@@ -226,9 +226,17 @@ def global_ordinal(df: DataFrame, order: list[str], out: str = "ordinal",
 
 def knowledge_chunks(md: DataFrame) -> DataFrame:
     """Section chunks of markdown files ``(path, content)``; ids number
-    sections over the whole load in (file name, section) order."""
+    sections over the whole load in (file name, section) order.  Sections are
+    numbered by their file and place alone and meet their texts once."""
     secs = split_sections(md)
-    numbered = global_ordinal(secs, ["source", "idx"])
+    same = Window.partitionBy("source", "idx")      # sections of files of one name
+    numbers = (global_ordinal(secs.select("source", "idx"), ["source", "idx"])
+               .withColumn("copy", F.row_number().over(same.orderBy("ordinal")))
+               .select(F.col("source").alias("_source"), F.col("idx").alias("_idx"),
+                       F.col("copy").alias("_copy"), "ordinal"))
+    numbered = (secs.withColumn("copy", F.row_number().over(same.orderBy("text")))
+                .join(by_shuffle(numbers), F.col("source").eqNullSafe(F.col("_source"))
+                      & (F.col("idx") == F.col("_idx")) & (F.col("copy") == F.col("_copy"))))
     return numbered.select(
         F.concat(F.lit("knowledge::"), F.col("source"), F.lit("::"),
                  F.col("ordinal").cast("string")).alias("id"),

@@ -23,7 +23,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import by_shuffle, cut_lineage
+from ..session import by_shuffle, cut_lineage, drop_cut
 from ..functions.lineage import (dataset_key, dataset_name, dataset_ns, first_transform,
                                  infer_format, job_key, job_short_name, render_schema)
 
@@ -197,6 +197,11 @@ class WrittenGraph(LineageGraph):
     def column_lineage(self) -> DataFrame:
         return by_shuffle(cut_lineage(build_column_lineage(self._sightings), "column_lineage"))
 
+    def drop(self) -> None:
+        """Delete the tables written so far; they are built anew if read again."""
+        for name in [n for n, t in vars(self).items() if n != "_events"]:
+            drop_cut(vars(self).pop(name))
+
     @property
     def nodes(self) -> DataFrame:
         return by_shuffle(super().nodes)        # a union drops the requests of its sides

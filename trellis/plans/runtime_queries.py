@@ -180,8 +180,9 @@ def q_sync(spark, d):
     from .sync import sync
     store = scratch_path(spark, "index_store")
     events = lineage_events(spark, d)
-    sync(spark, events, None, None, store)
-    _, index, _ = sync(spark, events, job_code_files(spark, d), markdown_files(spark, d), store)
+    for code, markdown in ((None, None), (job_code_files(spark, d), markdown_files(spark, d))):
+        built, index, _ = sync(spark, events, code, markdown, store)
+        built.drop()                        # the index is stored
     text = F.when(F.col("kind") == "job", F.regexp_replace("document", CODE_TAIL, "")).otherwise(
         F.col("document"))
     return index.withColumn("document", text)

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_cut, is_missing_path
+from ..session import cut_lineage, drop_cut, is_missing_path, scratch_path
 
 BUCKET = "_bucket"
 
@@ -75,18 +75,36 @@ class KeyedTable:
         return touched
 
     def replace(self, new: DataFrame) -> list[int]:
-        """Rows of ``new`` (one per key) replace the rows of their keys; rows
-        equal to what is stored are left out first, so unchanged buckets are
-        not touched."""
-        stored = self.read()
+        """Rows of ``new`` (one per key) replace the rows of their keys; buckets
+        in which every new row equals what is stored are not touched.
+
+        New and stored rows meet once, by bucket, and are written once beside
+        the store; what is to be committed lies there by bucket already."""
+        columns = new.columns
+        rows = new.withColumn("_new", F.lit(True)).withColumn(BUCKET, self._bucket())
+        stored = self._stored()
         if stored is not None:
-            columns = new.columns
-            same = [F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}")) for c in columns]
-            on = same[0]
-            for test in same[1:]:
-                on = on & test
-            new = new.alias("n").join(stored.select(*columns).alias("s"), on, "left_anti")
-        newest = F.max_by(F.struct(*new.columns), "_new").alias("_row")
-        return self.merge(new, lambda rows: rows.groupBy(*[F.col(k).alias(f"_k{i}")
-                                                           for i, k in enumerate(self.key)])
-                          .agg(newest).select("_row.*"))
+            rows = rows.unionByName(stored.select(*columns, BUCKET).withColumn("_new", F.lit(False)))
+        row, is_new = F.struct(*columns), F.col("_new")
+        same = F.min_by(row, is_new).eqNullSafe(F.max_by(row, is_new))
+        found = (rows.repartition(BUCKET)
+                 .groupBy(BUCKET, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)])
+                 .agg(F.max_by(row, is_new).alias("_row"),
+                      (F.max(is_new) & (F.min(is_new) | ~same)).alias("_changed")))
+        path = scratch_path(self.spark, "keyed_merged")
+        found.select("_row.*", "_changed", BUCKET).write.partitionBy(BUCKET).parquet(path)
+        if not self._written(path):
+            return []
+        merged = self.spark.read.parquet(path)
+        touched = sorted(r[0] for r in merged.where("_changed").select(BUCKET).distinct().collect())
+        if touched:                         # at most one number per bucket
+            (merged.where(F.col(BUCKET).isin(touched)).drop("_changed").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path))
+        drop_cut(merged)
+        return touched
+
+    def _written(self, path: str) -> bool:
+        """False if no row was written under ``path``, which has no schema then."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return any(f.isDirectory() for f in files.listStatus(target))
